@@ -1,11 +1,15 @@
 """The queries of this subpackage and their SQL."""
 
-from . import mixture, url_rules
+from . import embedding_dedup, mixture, packing, quality_rules, url_rules
 
 QUERIES = {
+    "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
     "op2_mixture": mixture.op2_mixture,
+    "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_url_rules": url_rules.op4_url_rules,
+    "op8_packing": packing.op8_packing,
 }
+#: Queries that have no entry are tested against brute force in tests/llm.
 ORACLES = {
     "op2_mixture": mixture.OP2_SQL,
     "op4_url_rules": url_rules.OP4_SQL,
