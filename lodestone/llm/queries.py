@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import embedding_dedup, mixture, packing, quality_rules, url_rules
+from . import embedding_dedup, mixture, ngram_join, packing, quality_rules, url_rules
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_url_rules": url_rules.op4_url_rules,
     "op8_packing": packing.op8_packing,
+    "op9_ngram_join": ngram_join.op9_ngram_join,
 }
 #: Queries that have no entry are tested against brute force in tests/llm.
 ORACLES = {
