@@ -6,6 +6,7 @@ hundred kilobytes at a time, so that a task's memory does not depend on how long
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -42,11 +43,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: survives lost executors and ends the lineage."""
-    spark = df.sparkSession
+    """df written as Parquet in the shared folder and read again: survives lost executors and ends the lineage.
+
+    Shuffle files that nothing refers to any more go when the driver's JVM collects its garbage, which a job of many
+    steps can't leave to chance.
+    """
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
