@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SEPARATOR, Words, gram_mask, grams, map_groups, materialise, mix, prefix_hash, span_hash, string_buffers, table, text_chunks  # noqa: F401
+from .common import IS_SEPARATOR, Words, gram_mask, grams, materialise, mix, prefix_hash, span_hash, table, text_chunks
 
 SYMBOLS = b"#*$%&|<>"
 #: Frequent words of the languages.
@@ -143,6 +143,10 @@ def js_distance(counts: np.ndarray, reference: np.ndarray, prior: float) -> np.n
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
+def base_failed(counts: dict[str, np.ndarray]) -> np.ndarray:
+    return (counts["n_words"] < 20) | (100 * counts["n_repeat_words"] > 30 * counts["n_words"])
+
+
 def features(documents: DataFrame, id_col: str) -> DataFrame:
     kind = documents.select(id_col).dtypes[0][1]
 
@@ -152,9 +156,8 @@ def features(documents: DataFrame, id_col: str) -> DataFrame:
             for low, high, w in text_chunks(batch.column("text")):
                 counts = base_counts(w)
                 chars, words = histograms(w, listed)
-                failed = (counts["n_words"] < 20) | (100 * counts["n_repeat_words"] > 30 * counts["n_words"])
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel().astype(np.int32))) for x in (chars, words)]
-                yield pa.RecordBatch.from_arrays([batch.column("id")[low:high], batch.column("lang")[low:high], *(pa.array(counts[c].astype(np.int64)) for c in BASE), pa.array(failed), *lists], names=["id", "lang", *BASE, "base_failed", "chars", "words"])
+                yield pa.RecordBatch.from_arrays([batch.column("id")[low:high], batch.column("lang")[low:high], *(pa.array(counts[c].astype(np.int64)) for c in BASE), pa.array(base_failed(counts)), *lists], names=["id", "lang", *BASE, "base_failed", "chars", "words"])
 
     schema = f"id {kind}, lang string, {', '.join(f'{c} long' for c in BASE)}, base_failed boolean, chars array<int>, words array<int>"
     return documents.select(F.col(id_col).alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").alias("text")).mapInArrow(run, schema)
@@ -168,6 +171,18 @@ def references(found: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(np.array(r["h"][:n_chars], float), np.array(r["h"][n_chars:], float)) for r in rows if sum(r["h"][:n_chars])]
 
 
+def verdicts(n_words: np.ndarray, word_chars: np.ndarray, failed: np.ndarray, chars: np.ndarray, words: np.ndarray, known: list) -> tuple[np.ndarray, np.ndarray]:
+    """(distances in characters and words from the nearest reference, kept)."""
+    near, best = np.zeros((2, len(failed))), np.full(len(failed), np.inf)
+    for ref_chars, ref_words in known:
+        d = np.stack([js_distance(chars, ref_chars, PRIOR), js_distance(words, ref_words, PRIOR)])
+        over = np.maximum(d[0] / MOST_CHARS, d[1] / MOST_WORDS)
+        near = np.where(over < best, d, near)
+        best = np.minimum(best, over)
+    judged = (n_words >= MIN_WORDS) & (word_chars >= MIN_CHARS) & (len(known) > 0)
+    return near, ~failed & ~(judged & (best > 1))
+
+
 def judge(documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row per document: id, the base counts, base_failed, char_distance, word_distance, kept.
 
@@ -188,20 +203,28 @@ def judge(documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 continue
             failed = batch.column("base_failed").to_numpy(zero_copy_only=False)
             chars, words = (np.stack(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("chars", "words"))
-            n = batch.num_rows
-            near, best = np.zeros((2, n)), np.full(n, np.inf)
-            for ref_chars, ref_words in known:
-                d = np.stack([js_distance(chars, ref_chars, PRIOR), js_distance(words, ref_words, PRIOR)])
-                over = np.maximum(d[0] / MOST_CHARS, d[1] / MOST_WORDS)
-                near = np.where(over < best, d, near)
-                best = np.minimum(best, over)
-            judged = (batch.column("n_words").to_numpy() >= MIN_WORDS) & (batch.column("word_chars").to_numpy() >= MIN_CHARS) & (len(known) > 0)
-            kept = ~failed & ~(judged & (best > 1))
+            near, kept = verdicts(batch.column("n_words").to_numpy(), batch.column("word_chars").to_numpy(), failed, chars, words, known)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", *BASE, "base_failed")), pa.array(near[0]), pa.array(near[1]), pa.array(kept)], names=["id", *BASE, "base_failed", "char_distance", "word_distance", "kept"])
 
     schema = f"id {kind}, {', '.join(f'{c} long' for c in BASE)}, base_failed boolean, char_distance double, word_distance double, kept boolean"
     return found.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
+def keep_good(documents: DataFrame) -> DataFrame:
+    """The documents that judge keeps, with all their columns. The texts are read twice and nothing is shuffled but the
+    sums for the references."""
+    known = references(features(documents, "doc_id"))
+
+    def run(batches):
+        listed = common_hashes()
+        for batch in batches:
+            for low, high, w in text_chunks(batch.column("text")):
+                counts = base_counts(w)
+                kept = verdicts(counts["n_words"], counts["word_chars"], base_failed(counts), *histograms(w, listed), known)[1]
+                yield batch.slice(low, high - low).filter(pa.array(kept))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
