@@ -1,0 +1 @@
+"""Nothing streams in this engine: its iterations have state, but no unbounded input. The folder marks the place."""
