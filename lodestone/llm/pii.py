@@ -115,15 +115,19 @@ def revealing(texts: DataFrame) -> DataFrame:
     held = texts.withColumn("span", F.explode(base_spans(F.col("text")))).select("th", entity(F.col("span")).alias("e"), near_terms(F.col("text"), F.col("span")).alias("near"))
     held = materialise(held)
     pairs = held.select("th", "e", F.explode("near").alias("t")).distinct()
-    together = materialise(pairs.groupBy("e", "t").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= MIN_TEXTS))
     entities = held.select("th", "e").distinct()
     n_e = entities.groupBy("e").agg(F.count("*").alias("n_e"))
-    candidates = together.select("t").distinct()
-    n_t = texts.select("th", F.explode(terms(F.col("text"))).alias("t")).join(candidates, "t").groupBy("t").agg(F.countDistinct("th").alias("n_t"))
     n = texts.select("th").distinct().count()
     p_e = F.col("n_e") / F.lit(float(max(n, 1)))
-    disclosed = F.log2(F.col("n_both") / F.col("n_t") / p_e) / F.nullif(-F.log2(p_e), F.lit(0.0))
-    strong = together.join(n_t, "t").join(n_e, "e").where(disclosed >= DISCLOSURE).select("e", "t")
+    disclosed = lambda texts_with_t: F.log2(F.col("n_both") / texts_with_t / p_e) / F.nullif(-F.log2(p_e), F.lit(0.0))
+    # a term stands in at least as many texts as it stands near entities in: one that discloses too little even if
+    # there are no others needs no count over the corpus
+    n_near = pairs.select("th", "t").distinct().groupBy("t").agg(F.count("*").alias("n_near"))
+    together = pairs.groupBy("e", "t").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= MIN_TEXTS)
+    possible = materialise(together.join(n_e, "e").join(n_near, "t").where(disclosed(F.col("n_near")) >= DISCLOSURE).select("e", "t", "n_both", "n_e"))
+    candidates = possible.select("t").distinct()
+    n_t = texts.select("th", F.explode(terms(F.col("text"))).alias("t")).join(candidates, "t").groupBy("t").agg(F.countDistinct("th").alias("n_t"))
+    strong = possible.join(n_t, "t").where(disclosed(F.col("n_t")) >= DISCLOSURE).select("e", "t")
     return materialise(entities.join(strong, "e").groupBy("th").agg(F.sort_array(F.collect_set("t")).alias("terms")))
 
 
