@@ -58,6 +58,11 @@ class SparseMatrix:
         """The same matrix, computed once: what an iteration reads again and again."""
         return SparseMatrix(written(self.entries), self.n_rows, self.n_cols)
 
+    def bucketed(self, name: str, parts: int) -> SparseMatrix:
+        """The same matrix as a table bucketed and sorted by column: joining it with a vector moves the vector alone."""
+        self.entries.repartition(parts, "j").write.bucketBy(parts, "j").sortBy("j").saveAsTable(name)
+        return SparseMatrix(self.spark.table(name), self.n_rows, self.n_cols)
+
     def n_values(self) -> int:
         return self.entries.count()
 

@@ -3,13 +3,15 @@
 The array plan is one query without a driver loop: the matrix is one row of arrays, the vector an array, and
 higher-order functions iterate. It runs in one task and is for matrices of at most ARRAY_VALUES entries and ARRAY_ROWS
 rows. The join plan takes any size: each step is a product by join and aggregation, written to the shared folder (which
-cuts the lineage and survives lost executors), and one sum of differences returned to the driver.
+cuts the lineage and survives lost executors), and one sum of differences returned to the driver. Where the vector is
+too long to broadcast, the matrix is bucketed by column once, so that no step moves it for the join.
 """
 
 from __future__ import annotations
 
 import math
 import time
+import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -17,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.codec import adjusted_epsilon, trunc
+from lodestone.operators import vector
 from lodestone.operators.matrix import SparseMatrix
 from lodestone.operators.vector import damped, norm, spmv
 from lodestone.plans.state import written
@@ -207,9 +210,16 @@ def join_stage(a: SparseMatrix, initial: DataFrame, stage: Stage, budget: int, n
 
 
 def join_plan(a: SparseMatrix, initial: DataFrame, stages: list[Stage], limit: int) -> Result:
-    a, x, runs, left = a.kept(), initial, [], limit
-    for k, stage in enumerate(stages):
-        x, run = join_stage(a, x, stage, left, k)
-        left -= run.iterations
-        runs.append(run)
-    return Result(x, a.spark.createDataFrame([tuple(vars(r).values()) for r in runs], META))
+    spark, x, runs, left = a.spark, initial, [], limit
+    large = a.n_cols > vector.BROADCAST_ROWS
+    name = f"lodestone_{uuid.uuid4().hex}"
+    a = a.bucketed(name, int(spark.conf.get("spark.sql.shuffle.partitions"))) if large else a.kept()
+    try:
+        for k, stage in enumerate(stages):
+            x, run = join_stage(a, x, stage, left, k)
+            left -= run.iterations
+            runs.append(run)
+    finally:
+        if large:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return Result(x, spark.createDataFrame([tuple(vars(r).values()) for r in runs], META))

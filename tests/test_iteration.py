@@ -1,6 +1,7 @@
 import pytest
 
 from lodestone.functions.statistics import average, median, timing_report
+from lodestone.operators import vector
 from lodestone.operators.eigen import pagerank, power_iteration
 from lodestone.operators.matrix import SparseMatrix
 from lodestone.operators.vector import constant
@@ -79,6 +80,22 @@ def test_zero_vector_and_zero_budget(spark, links, plan):
     assert iterations(nothing) == [(False, 0)] and values(nothing.vector) == pytest.approx([0.5**0.5] * 2)
 
 
+def test_long_vectors_meet_a_bucketed_matrix(spark, links, monkeypatch):
+    monkeypatch.setattr(vector, "BROADCAST_ROWS", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        far, near = (pagerank(links, limit=3, plan=p) for p in ("join", "array"))
+        assert values(far.vector) == pytest.approx(values(near.vector), abs=1e-15)
+        table = links.bucketed("lodestone_test_links", 4)
+        plan = vector.spmv(table, constant(spark, 5, 1.0))._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan
+        assert plan.count("hashpartitioning(j") == 1  # the vector alone moves for the join
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP TABLE IF EXISTS lodestone_test_links")
+
+
 def test_symmetric_spectrum_never_converges(spark):
     flip = SparseMatrix.of(spark.createDataFrame([(0, 1, 1.0), (1, 0, 2.0)], "i long, j long, v double"), 2, 2)
     assert iterations(power_iteration(flip, limit=30)) == [(False, 30)]
