@@ -54,7 +54,16 @@ def materialise(df: DataFrame) -> DataFrame:
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that materialise wrote, once nothing reads it any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df.scratch)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -159,9 +168,10 @@ def gram_mask(first: np.ndarray, n: int, k: int) -> np.ndarray:
     return np.arange(max(0, total - k + 1)) + k <= limit
 
 
-def map_groups(df: DataFrame, keys: list[str], fn: Callable, schema: str, order: list[str] = ()) -> DataFrame:
+def map_groups(df: DataFrame, keys: list[str], fn: Callable, schema: str, order: list[str] = (), placed: bool = False) -> DataFrame:
     """fn(key tuple, table) for the rows of each key, one group in memory at a time; fn returns a dict of columns or
-    None. Groups must be bounded by construction; a partition may hold any number of them."""
+    None. Groups must be bounded by construction; a partition may hold any number of them. placed: df already has equal
+    keys in one partition."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -207,7 +217,7 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable, schema: str, order:
         if out:
             yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, parsed)
+    return (df if placed else df.repartition(*keys)).sortWithinPartitions(*keys, *order).mapInArrow(run, parsed)
 
 
 def uniform(seed: str, *columns):

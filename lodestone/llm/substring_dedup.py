@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, gram_mask, grams, map_groups, materialise, mix, powers, table, text_chunks
+from .common import U, discard, gram_mask, grams, map_groups, materialise, mix, powers, table, text_chunks
 from .ngram_join import word_keys
 
 WINDOW, ANCHOR = 13, 7
@@ -160,44 +160,44 @@ def shared_anchors(texts: DataFrame) -> DataFrame:
             key, cls, many = pairs_of_many(np.concatenate(keys), np.concatenate(classes))
             one = np.ones(len(key), bool)
             one[1:] = key[1:] != key[:-1]
-            rows = [(-1, key[many].tobytes(), cls[many].tobytes())] if many.any() else []
-            key, cls = key[one], cls[one]
-            bucket = ((key >> U(32)) * U(buckets) >> U(32)).astype(np.int64)  # rises with the key
-            cut = np.searchsorted(bucket, np.arange(buckets + 1))
-            rows += [(b, key[x:y].tobytes(), cls[x:y].tobytes()) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+            rows = []
+            for base, use in ((0, one), (buckets, many)):  # to be counted, or known to be shared already
+                k, c = key[use], cls[use]
+                bucket = ((k >> U(32)) * U(buckets) >> U(32)).astype(np.int64)  # rises with the key
+                cut = np.searchsorted(bucket, np.arange(buckets + 1))
+                rows += [(base + b, k[x:y].tobytes(), c[x:y].tobytes()) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=names)
 
     def unpacked(table_: pa.Table, name: str, kind) -> np.ndarray:
         return np.frombuffer(b"".join(table_.column(name).to_pylist()), kind)
 
-    def count(_, rows):
-        key, cls, many = pairs_of_many(unpacked(rows, "keys", U), unpacked(rows, "cls", np.int64))
-        return {"k1": cls[many], "key": key[many].astype(np.int64)}
-
-    def spread(batches):
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            if t.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(unpacked(t, "cls", np.int64)), pa.array(unpacked(t, "keys", np.int64))], names=["k1", "key"])
+    def count(bucket, rows):
+        key, cls = unpacked(rows, "keys", U), unpacked(rows, "cls", np.int64)
+        if bucket[0] < buckets:
+            key, cls, many = pairs_of_many(key, cls)
+            key, cls = key[many], cls[many]
+        return {"k1": cls, "key": key.astype(np.int64)}
 
     packed = texts.select("text").mapInArrow(collect, "bucket long, keys binary, cls binary")
-    packed = materialise(packed)
-    counted = map_groups(packed.where("bucket >= 0"), ["bucket"], count, "k1 long, key long")
-    local = packed.where("bucket < 0").mapInArrow(spread, "k1 long, key long")
-    return materialise(counted.unionByName(local).groupBy("k1").agg(F.collect_set("key").alias("keys")))
+    counted = map_groups(packed, ["bucket"], count, "k1 long, key long")
+    return materialise(counted.groupBy("k1").agg(F.collect_set("key").alias("keys")))
+
+
+FLIP = 0x2545F4914F6CDD1D
 
 
 def segments(marked: DataFrame) -> DataFrame:
-    """(id, k1, start, key, s1, s2, words): segments with shared anchors of the texts (id, text, keys); words only once
-    for equal segments of a batch."""
+    """(id, k1, start, key, s1, s2, least, words): segments with shared anchors of the texts (id, text, keys), with two
+    hashes of their words. Of equal segments of a batch one has the words, and the least id among them."""
 
     def run(batches):
         for batch in batches:
-            sent: set[int] = set()
-            ids = batch.column("id").to_pylist()
+            first: dict[int, int] = {}
+            ids = np.array(batch.column("id").to_pylist(), np.int64)
             lists = batch.column("keys")
             flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            parts, words = [], []
             for low, high, w in text_chunks(batch.column("text")):
                 k1 = word_keys(w)[0]
                 start, n, key = runs(w)
@@ -211,21 +211,22 @@ def segments(marked: DataFrame) -> DataFrame:
                 if not len(start):
                     continue
                 last = start + n + WINDOW - 2
-                sums = []
-                for flip in (0, 0x2545F4914F6CDD1D):
-                    # a hash of the stretch from the sums of position-free powers: as for bytes, over word hashes
-                    sums.append(stretch_hash(w.hash ^ U(flip), start, last + 1).astype(np.int64))
+                s1, s2 = (stretch_hash(w.hash ^ U(flip), start, last + 1).astype(np.int64) for flip in (0, FLIP))
                 raw = w.data.tobytes()
-                words = []
-                for s1, a, b in zip(sums[0].tolist(), w.start[start].tolist(), w.end[last].tolist(), strict=True):
-                    words.append(None if s1 in sent else raw[a:b])
-                    sent.add(s1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[low + i] for i in text], pa.int64()), pa.array(k1[text]), pa.array(start - w.first[text]), pa.array(key.astype(np.int64)), *map(pa.array, sums), pa.array(words, pa.binary())],
-                    names=["id", "k1", "start", "key", "s1", "s2", "words"],
-                )
-
-    return marked.select("id", "text", "keys").mapInArrow(run, "id long, k1 long, start long, key long, s1 long, s2 long, words binary")
+                for s, a, b in zip(s1.tolist(), w.start[start].tolist(), w.end[last].tolist(), strict=True):
+                    new = s not in first
+                    words.append(raw[a:b] if new else None)
+                    if new:
+                        first[s] = len(words) - 1
+                parts.append((ids[low + text], k1[text], start - w.first[text], key.astype(np.int64), s1, s2))
+            if parts:
+                columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+                least = np.full(len(words), np.iinfo(np.int64).max)
+                np.minimum.at(least, [first[s] for s in columns[4].tolist()], columns[0])
+                none = np.array([x is None for x in words])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(least, mask=none), pa.array(words, pa.binary())], names=["id", "k1", "start", "key", "s1", "s2", "least", "words"])
+
+    return marked.select("id", "text", "keys").mapInArrow(run, "id long, k1 long, start long, key long, s1 long, s2 long, least long, words binary")
 
 
 def stretch_hash(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -238,14 +239,19 @@ def stretch_hash(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.n
 def window_hashes(words: bytes) -> tuple[np.ndarray, np.ndarray]:
     for _, _, w in text_chunks(pa.array([words.decode()])):
         g = grams(w.hash, WINDOW)
-        return g.astype(np.int64), grams(w.hash ^ U(0x2545F4914F6CDD1D), WINDOW).astype(np.int64)
+        return g.astype(np.int64), grams(w.hash ^ U(FLIP), WINDOW).astype(np.int64)
 
 
-def first_documents(contents: DataFrame) -> DataFrame:
-    """(s1, s2, firsts) for the different segments (s1, s2, key, doc, words): each window's first document."""
-    busy = contents.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SEGMENTS).select("key")
-    shards = -(-contents.count() // SEGMENTS) or 1
-    quiet = contents.join(busy, "key", "left_anti").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+def first_documents(found: DataFrame) -> DataFrame:
+    """(s1, s2, firsts) for the different segments among found: each window's first document."""
+    per_key = found.select("key", "s1", "s2").distinct().groupBy("key").agg(F.count("*").alias("n"))
+    sizes = materialise(per_key)
+    busy = sizes.where(F.col("n") > SEGMENTS).select("key")
+    shards = -(-(sizes.agg(F.sum("n")).first()[0] or 0) // SEGMENTS) or 1
+    sent = found.where("words is not null").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    # one shuffle, by shard: what a batch sends of equal segments is one row already
+    least = lambda rows: rows.groupBy("shard", "s1", "s2").agg(F.min("least").alias("doc"), F.first("words").alias("words"))
+    quiet = least(sent.join(busy, "key", "left_anti").repartition("shard"))
 
     def search(_, rows):
         symbols: dict[bytes, int] = {}
@@ -255,7 +261,7 @@ def first_documents(contents: DataFrame) -> DataFrame:
             automaton.add(word, doc)
         return {"s1": rows.column("s1").to_numpy(), "s2": rows.column("s2").to_numpy(), "firsts": [automaton.first_documents(x, WINDOW) for x in words]}
 
-    found = map_groups(quiet, ["shard"], search, "s1 long, s2 long, firsts array<long>", ["doc", "s1"])
+    found = map_groups(quiet, ["shard"], search, "s1 long, s2 long, firsts array<long>", ["doc", "s1"], placed=True)
 
     def windows(batches):
         for batch in batches:
@@ -264,7 +270,7 @@ def first_documents(contents: DataFrame) -> DataFrame:
                 n = len(a)
                 yield pa.RecordBatch.from_arrays([pa.array([s1] * n), pa.array([s2] * n), pa.array([doc] * n), pa.array(np.arange(n)), pa.array(a), pa.array(b)], names=["s1", "s2", "doc", "i", "a", "b"])
 
-    single = contents.join(busy, "key", "left_semi").mapInArrow(windows, "s1 long, s2 long, doc long, i long, a long, b long")
+    single = least(sent.join(busy, "key", "left_semi")).select("s1", "s2", "doc", "words").mapInArrow(windows, "s1 long, s2 long, doc long, i long, a long, b long")
     least = single.groupBy("a", "b").agg(F.min("doc").alias("first"))
     listed = single.join(least, ["a", "b"]).groupBy("s1", "s2").agg(F.sort_array(F.collect_list(F.struct("i", "first"))).alias("x"))
     return found.unionByName(listed.select("s1", "s2", F.col("x.first").alias("firsts")))
@@ -286,12 +292,13 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     anchors = shared_anchors(named)
     keys = anchors.join(classes.select("k1", "rep"), "k1").groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"))
     found = materialise(segments(named.join(keys.withColumnRenamed("rep", "id"), "id")))
-    contents = materialise(found.groupBy("s1", "s2", "key").agg(F.min("id").alias("doc"), F.max("words").alias("words")))
-    firsts = first_documents(contents)
+    discard(anchors)
+    firsts = first_documents(found)
     judged = found.select("id", "k1", "start", "s1", "s2").join(firsts, ["s1", "s2"])
     covered = F.transform("firsts", lambda d: (d >= 0) & (d < F.col("id")))
     hits = judged.select("id", "k1", F.struct("start", covered.alias("mask")).alias("hit")).where(F.exists("hit.mask", lambda x: x))
     hits = materialise(hits.groupBy("id", "k1").agg(F.collect_list("hit").alias("hits")))
+    discard(found)
 
     def cut(batches):
         for batch in batches:
