@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table, text_chunks
+from .common import U, materialise, table, text_chunks
 
 CLASSES, WIDTH = 256, 24
 OTHER, END = CLASSES - 2, CLASSES - 1
@@ -133,6 +133,23 @@ class Words:
         return np.where(real, self.cls[at], OTHER)[inverse], np.where(real, self.c[at], -1.0)[inverse]
 
 
+def most_frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of the most frequent words in the order of frequency: all whose class of counts fits into
+    FREQUENT with the classes above it. A class spans 1/16 of a doubling, so the driver gets a bounded histogram and
+    then no more than FREQUENT words, however many tasks there are."""
+    level = F.floor(F.log2("c") * 16)
+    sizes = sorted(((r["level"], r["n"]) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    total, least = 0, None
+    for at, n in sizes:
+        if (total := total + n) > FREQUENT:
+            break
+        least = at
+    if least is None:
+        return np.zeros(0, U), np.zeros(0, np.int64)
+    top = counts.where(level >= least).toPandas().sort_values(["c", "h"], ascending=[False, True])
+    return top["h"].to_numpy(np.int64).astype(U), top["c"].to_numpy(np.int64)
+
+
 def sequences(first: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(w2, w1, w0, start) of the tokens of consecutive texts, each with its end; start of each text and the total."""
     n = len(first) - 1
@@ -196,9 +213,9 @@ def score(documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
     counts = materialise(training_counts(rows))
     ends = rows.where("not held_out").count()
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).toPandas()
-    frequent = Words(top["h"].to_numpy(np.int64).astype(np.uint64), top["c"].to_numpy(np.int64))
-    in_classes = top["c"].to_numpy(float)[:OTHER]
+    top_h, top_c = most_frequent(counts)
+    frequent = Words(top_h, top_c)
+    in_classes = top_c[:OTHER].astype(float)
     unigram = np.full(CLASSES, 0.1)
     unigram[: len(in_classes)] += in_classes
     unigram[OTHER] += total - in_classes.sum()
