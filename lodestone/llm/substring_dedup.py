@@ -246,7 +246,8 @@ def first_documents(found: DataFrame) -> DataFrame:
     """(s1, s2, firsts) for the different segments among found: each window's first document."""
     per_key = found.select("key", "s1", "s2").distinct().groupBy("key").agg(F.count("*").alias("n"))
     sizes = materialise(per_key)
-    busy = sizes.where(F.col("n") > SEGMENTS).select("key")
+    # a table of its own, so that Spark knows its size: few keys are busy, and then the segments need not move for them
+    busy = materialise(sizes.where(F.col("n") > SEGMENTS).select("key"))
     shards = -(-(sizes.agg(F.sum("n")).first()[0] or 0) // SEGMENTS) or 1
     sent = found.where("words is not null").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
     # one shuffle, by shard: what a batch sends of equal segments is one row already
@@ -293,12 +294,13 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     keys = anchors.join(classes.select("k1", "rep"), "k1").groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"))
     found = materialise(segments(named.join(keys.withColumnRenamed("rep", "id"), "id")))
     discard(anchors)
-    firsts = first_documents(found)
+    firsts = materialise(first_documents(found))
     judged = found.select("id", "k1", "start", "s1", "s2").join(firsts, ["s1", "s2"])
     covered = F.transform("firsts", lambda d: (d >= 0) & (d < F.col("id")))
     hits = judged.select("id", "k1", F.struct("start", covered.alias("mask")).alias("hit")).where(F.exists("hit.mask", lambda x: x))
     hits = materialise(hits.groupBy("id", "k1").agg(F.collect_list("hit").alias("hits")))
     discard(found)
+    discard(firsts)
 
     def cut(batches):
         for batch in batches:
