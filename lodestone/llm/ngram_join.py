@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, components, grams, map_groups, materialise, mix, table, text_chunks
+from .common import U, components, discard, grams, map_groups, materialise, mix, table, text_chunks
 from .embedding_dedup import Forest
 
 SHINGLE = 5
@@ -102,9 +102,9 @@ def described(rows: DataFrame, with_sets: bool) -> DataFrame:
     return rows.select("id", "text").mapInArrow(run, f"id {kind}, k1 long, k2 long, data binary")
 
 
-def blocks(rows: DataFrame, group: str, member: str, size: int = BLOCK) -> DataFrame:
+def blocks(rows: DataFrame, group: str, member: str) -> DataFrame:
     """rows, each for every pair (i, j), i <= j, of blocks of its group in which its own block takes part."""
-    sizes = rows.groupBy(group).agg(F.count("*").alias("_n")).where("_n > 1").select(group, F.ceil(F.col("_n") / (size * 3 // 4)).cast("int").alias("_b"))
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_n")).where("_n > 1").select(group, F.ceil(F.col("_n") / (BLOCK * 3 // 4)).cast("int").alias("_b"))
     own = F.when(F.col("_b") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64(member), F.col("_b")).cast("int"))
     spread = rows.join(sizes, group).withColumn("own", own).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
     return spread.withColumn("i", F.least("own", "_o")).withColumn("j", F.greatest("own", "_o")).drop("_b", "_o")
@@ -129,11 +129,16 @@ def bucket_edges(classes: DataFrame, threshold: float) -> DataFrame:
                         key = mix(key + part[:, c])
                     yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), batch.column("cid")], names=["bucket", "cid"])
 
+    def short(batches):
+        for batch in batches:
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).astype(np.uint8).reshape(-1, VALUES)
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array([x.tobytes() for x in sig], pa.binary())], names=["cid", "sig"])
+
     def prune(key, rows):
         _, i, j = key
         left, right = two_sides(rows, i, j)
         cid = rows.column("cid").to_pylist()
-        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint32).reshape(-1, VALUES)
+        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(-1, VALUES)
         forest = Forest()
         a, b = survivors(sig[left], sig[right], threshold)
         for x, y in zip(left[a].tolist(), right[b].tolist(), strict=True):
@@ -144,8 +149,12 @@ def bucket_edges(classes: DataFrame, threshold: float) -> DataFrame:
 
     banded = materialise(classes.select("cid", "sig").mapInArrow(bands, "bucket long, cid long"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    rows = banded.join(shared, "bucket").join(classes.select("cid", "sig"), "cid")
-    return map_groups(blocks(rows, "bucket", "cid"), ["bucket", "i", "j"], prune, "a long, b long")
+    # one byte of each value will do here: equal values have equal bytes, so that no pair looks less alike than it is
+    bytes_of = classes.select("cid", "sig").mapInArrow(short, "cid long, sig binary")
+    rows = banded.join(shared, "bucket").join(bytes_of, "cid")
+    edges = materialise(map_groups(blocks(rows, "bucket", "cid"), ["bucket", "i", "j"], prune, "a long, b long"))
+    discard(banded)
+    return edges
 
 
 def verified(members: DataFrame, threshold: float) -> DataFrame:
@@ -224,15 +233,21 @@ def jaccard_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     have kept true, as ids tell them not apart). Other columns are left out; an empty table gives no rows.
     """
     texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    keys = materialise(described(texts, False).withColumn("valid", F.col("data").isNotNull() & F.col("id").isNotNull()))
-    grouped = keys.where("valid").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("w"), F.first("data").alias("sig"))
-    named = materialise(materialise(grouped).withColumn("cid", F.monotonically_increasing_id()))
+    signed = materialise(described(texts, False).withColumn("valid", F.col("data").isNotNull() & F.col("id").isNotNull()))
+    grouped = signed.where("valid").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("w"), F.first("data").alias("sig"))
+    named = materialise(grouped.withColumn("cid", F.monotonically_increasing_id()))
+    keys = materialise(signed.drop("data"))
+    discard(signed)
     close = materialise(components(bucket_edges(named.select("cid", "sig"), threshold)).select(F.col("id").alias("cid"), F.col("component").alias("comp")))
     of_group = materialise(named.join(close, "cid").select("comp", "cid", "w", "rep", "k1", "k2", "sig"))
+    with_signatures, named = named, materialise(named.drop("sig"))
+    discard(with_signatures)
     wanted = of_group.select(F.col("rep").alias("id")).distinct()
-    sets = described(texts.join(wanted, "id"), True).dropDuplicates(["k1", "k2"]).select("k1", "k2", F.col("data").alias("shingles"))
+    # members grow with the corpus: their texts come by the same sort-merge join at every size
+    sets = described(texts.join(wanted.hint("merge"), "id"), True).dropDuplicates(["k1", "k2"]).select("k1", "k2", F.col("data").alias("shingles"))
     members = materialise(of_group.join(sets, ["k1", "k2"]).select("comp", "cid", "w", "sig", "shingles"))
     found = materialise(verified(members, threshold))
+    discard(members)
     linked = components(found.where("n is null").select(F.col("cid").alias("a"), F.col("other").alias("b"))).select(F.col("id").alias("cid"), F.col("component").alias("comp"))
     smallest = linked.join(named.select("cid", "rep"), "cid").groupBy("comp").agg(F.min("rep").alias("class_id"))
     count = found.where("other is null").groupBy("cid").agg(F.sum("n").alias("n"))
