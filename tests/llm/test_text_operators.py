@@ -241,6 +241,16 @@ def test_symbols_instead_of_text_are_rejected(spark):
     assert all(verdicts[i] != failed for (i, _, _), failed in zip(prose, plain, strict=True))
 
 
+def test_long_texts_without_common_words_are_rejected(spark):
+    def text(seed, share, n=600):
+        rnd = random.Random(seed)
+        return " ".join(rnd.choice("the of and to in a is that it was".split()) if rnd.random() < share else rnd.choice("bcdfgh") + str.join("", rnd.choices("aeioulnrst", k=5)) for _ in range(n))
+
+    rows = [(i, text(i, 0.28), "en") for i in range(40)] + [(100 + i, text(i, 0, 300 + 300 * i), "en") for i in range(3)]
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(kept[100 + i] for i in range(3)) and all(kept[i] for i in range(40))
+
+
 # Language model
 
 
