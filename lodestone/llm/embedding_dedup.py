@@ -2,9 +2,15 @@
 
 Every pass orders the vectors by a key of concatenated random hashes (the signs of random projections), range-partitions
 them and compares each vector with the few before it in this order. Verified pairs are united at once within a task, so
-it returns a forest and no list of pairs; forests of all passes are joined by connected components. The number of
-passes follows from the number of vectors, so that a pair just at the threshold is missed by all passes with a
-probability of MISS at most.
+it returns a forest and no list of pairs; forests of all passes are joined by connected components.
+
+The first round's number of passes follows from the number of vectors as if they were spread evenly. Every pass also
+measures, for each vector, how many leading signs narrow its surroundings down to a window; from that follows with
+which probability a pair of the vector just at the threshold has been missed by all passes so far. Vectors for which it
+is over MISS go through a second, short round among themselves. Those that are far from MISS are dense: there the
+probability is too good an estimate, as planes that split a dense place split its close pairs more often too, so they
+are all compared with each other in blocks, which is exact. That work grows with the square of the number of dense
+vectors.
 
 Link counts are exact within a component without comparing all its pairs: vectors closer to the component's pivot than
 half the threshold's angle all link with each other (the triangle inequality on the sphere); only the others are
@@ -26,14 +32,23 @@ WINDOW = 64
 BITS = 60
 MISS = 1e-3
 BLOCK = 2048
+#: A side of a block of pending vectors is a SIDES-th of them, but BLOCK at least and SIDE_BYTES (as doubles) at most.
+SIDES, SIDE_BYTES = 12, 1 << 26
+#: So many pending vectors are compared in blocks at once.
+FEW = 16_384
+#: Vectors that are not even this share of the way to MISS (in logarithms) after the first round are dense.
+DENSE = 0.8
 SEED = 11
 
 
+def same_sign(threshold: float) -> float:
+    return 1 - math.acos(threshold) / math.pi
+
+
 def passes_for(n: int, threshold: float) -> int:
     """Passes after which a pair at the threshold has stood in a common window with probability 1 - MISS: the two share
-    the log2(n / WINDOW) leading signs that narrow n vectors down to a window."""
-    same = 1 - math.acos(threshold) / math.pi
-    hit = same ** max(1.0, math.log2(max(2.0, n / WINDOW)))
+    the log2(n / WINDOW) leading signs that narrow n vectors down to a window if the signs halve them evenly."""
+    hit = same_sign(threshold) ** max(1.0, math.log2(max(2.0, n / WINDOW)))
     return max(8, math.ceil(math.log(MISS) / math.log1p(-min(hit, 0.999))))
 
 
@@ -68,9 +83,9 @@ class Forest:
         return [a for a, _ in pairs], [r for _, r in pairs]
 
 
-def window_links(forest: Forest, ids, groups, x: np.ndarray, fresh: int, threshold: float, side=None) -> None:
-    """Unite the rows from fresh on with up to WINDOW - 1 rows before them; side: only across two sides."""
-    for o in range(1, min(WINDOW, len(ids))):
+def window_links(forest: Forest, ids, groups, x: np.ndarray, fresh: int, threshold: float, window: int, side=None) -> None:
+    """Unite the rows from fresh on with up to window - 1 rows before them; side: only across two sides."""
+    for o in range(1, min(window, len(ids))):
         at = np.arange(max(fresh, o), len(ids))
         at = at[groups[at] == groups[at - o]]
         if side is not None:
@@ -81,14 +96,28 @@ def window_links(forest: Forest, ids, groups, x: np.ndarray, fresh: int, thresho
                 forest.unite(ids[i], ids[i - o])
 
 
-def keyed(classes: DataFrame, passes: int, kind: str) -> DataFrame:
+def signs_needed(keys: np.ndarray, groups: np.ndarray, window: int) -> np.ndarray:
+    """For rows in the order of their keys, all but the first and last window: how many leading signs a vector must share
+    with one of them to be within window - 1 rows of it."""
+    n = len(keys) - 2 * window
+    mid, of = keys[window : window + n], groups[window : window + n]
+    need = np.zeros(n, np.int64)
+    for other in (slice(0, n), slice(2 * window, 2 * window + n)):
+        differ = keys[other] ^ mid
+        high = np.frexp((differ >> 30).astype(float))[1].astype(np.int64)
+        common = BITS - np.where(high > 0, high + 30, np.frexp(differ.astype(float))[1])
+        need = np.maximum(need, np.where(groups[other] == of, common + 1, 0))
+    return need
+
+
+def keyed(classes: DataFrame, passes: range, kind: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             raw, dims = batch.column("raw"), batch.column("dim").to_numpy()
             for dim in np.unique(dims):
                 rows = np.flatnonzero(dims == dim)
                 x = normalised(unit_rows(raw.take(pa.array(rows)), kind))
-                for t in range(passes):
+                for t in passes:
                     planes = np.random.default_rng([SEED, t, int(dim)]).standard_normal((int(dim), BITS))
                     key = ((x @ planes > 0) @ (1 << np.arange(BITS, dtype=np.int64)[::-1])).astype(np.int64)
                     yield pa.RecordBatch.from_arrays(
@@ -102,7 +131,8 @@ def keyed(classes: DataFrame, passes: int, kind: str) -> DataFrame:
 
 
 def swept(rows: DataFrame, kind: str, threshold: float) -> DataFrame:
-    """Edges (a, b) of each task, and the rows at its two ends (edge_of: the boundary after partition edge_of)."""
+    """Edges (a, b) of each task, the rows at its two ends (edge_of: the boundary after partition edge_of), and for the
+    vector a of each row but those at the ends the signs needed (at, without edge_of), if they are no more than BITS."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -110,6 +140,7 @@ def swept(rows: DataFrame, kind: str, threshold: float) -> DataFrame:
         part = TaskContext.get().partitionId()
         forest, seen = Forest(), 0
         held: tuple = ()
+        last = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         names = ["a", "b", "edge_of", "at", "grp", "raw"]
 
         def ends(edge, at, ids, groups, raws):
@@ -123,6 +154,14 @@ def swept(rows: DataFrame, kind: str, threshold: float) -> DataFrame:
             ids = batch.column("cid").to_pylist()
             groups = batch.column("pass").to_numpy().astype(np.int64) << 32 | batch.column("dim").to_numpy()
             raws = batch.column("raw").to_pylist()
+            last = tuple(np.concatenate([x, y]) for x, y in zip(last, (batch.column("key").to_numpy(), groups, batch.column("cid").to_numpy()), strict=True))
+            if len(last[0]) > 2 * WINDOW:
+                need = signs_needed(last[0], last[1], WINDOW)
+                fine = need <= BITS
+                n, of = int(fine.sum()), last[2][WINDOW:-WINDOW]
+                null = pa.nulls(n, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(of[fine]), null, null, pa.array(need[fine]), null, pa.nulls(n, pa.binary())], names=names)
+                last = tuple(x[-2 * WINDOW :] for x in last)
             if seen < WINDOW:
                 k = WINDOW - seen
                 yield ends(part - 1, list(range(WINDOW + seen, WINDOW + seen + len(ids[:k]))), ids[:k], groups[:k], raws[:k])
@@ -136,7 +175,7 @@ def swept(rows: DataFrame, kind: str, threshold: float) -> DataFrame:
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
                 x = normalised([np.frombuffer(raws[i], kind) for i in at])
-                window_links(forest, [ids[i] for i in at], groups[at], x, int((at < fresh).sum()), threshold)
+                window_links(forest, [ids[i] for i in at], groups[at], x, int((at < fresh).sum()), threshold, WINDOW)
             held = ids[-WINDOW:], groups[-WINDOW:], raws[-WINDOW:]
         if held:
             yield ends(part, list(range(WINDOW - len(held[0]), WINDOW)), *held)
@@ -159,13 +198,89 @@ def boundary_edges(ends: DataFrame, kind: str, threshold: float) -> DataFrame:
         for dim in np.unique(groups & 0xFFFFFFFF):
             of = np.flatnonzero(groups & 0xFFFFFFFF == dim)
             x = normalised([np.frombuffer(raws[i], kind) for i in of])
-            window_links(forest, [ids[i] for i in of], groups[of], x, 0, threshold, at[of] < WINDOW)
+            window_links(forest, [ids[i] for i in of], groups[of], x, 0, threshold, WINDOW, at[of] < WINDOW)
         a, b = forest.edges()
         return {"a": a, "b": b}
 
     return map_groups(ends, ["edge_of"], run, "a long, b long", ["at"])
 
 
+def spanning(linked: np.ndarray, of: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect the rows and columns of linked as it does, in the numbers of: rows first, then columns."""
+    n = len(linked)
+    fresh, out = np.ones(linked.shape[1], bool), []
+    todo = linked.any(axis=1)
+    for i in np.flatnonzero(todo).tolist():
+        if not todo[i]:
+            continue
+        todo[i] = False
+        rows = np.array([i])
+        while len(rows):
+            columns = np.flatnonzero(linked[rows].any(axis=0) & fresh)
+            fresh[columns] = False
+            out += [(i, n + c) for c in columns.tolist()]
+            rows = np.flatnonzero(linked[:, columns].any(axis=1) & todo)
+            todo[rows] = False
+            out += [(i, r) for r in rows.tolist()]
+    return [(int(of[a]), int(of[b])) for a, b in out]
+
+
+def all_pairs(classes: DataFrame, kind: str, threshold: float) -> DataFrame:
+    """Edges (a, b) that connect what any pair of the classes links; every pair is compared, in blocks."""
+    sizes = classes.groupBy("dim").agg(F.count("*").alias("n"))
+    side = F.least(F.greatest(F.lit(BLOCK), F.ceil(F.col("n") / SIDES)), F.greatest(F.lit(1), F.floor(F.lit(SIDE_BYTES) / (8 * F.col("dim")))))
+    placed = classes.select("cid", "dim", "raw").join(F.broadcast(sizes.select("dim", F.ceil(F.col("n") / side).cast("int").alias("blocks"))), "dim")
+    placed = placed.withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = placed.select("dim", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("left"), (F.col("mine") >= F.col("other")).alias("right"), "cid", "raw")
+
+    def compare(key, rows):
+        cid = rows.column("cid").to_numpy()
+        left, right = (np.flatnonzero(rows.column(c).to_numpy(zero_copy_only=False)) for c in ("left", "right"))
+        x = normalised([np.frombuffer(r, kind) for r in rows.column("raw").to_pylist()])
+        forest, same = Forest(), key[1] == key[2]
+        for a in range(0, len(left), BLOCK):
+            for b in range(a if same else 0, len(right), BLOCK):
+                l, r = left[a : a + BLOCK], right[b : b + BLOCK]
+                linked = x[l] @ x[r].T >= threshold
+                if same and a == b:
+                    np.fill_diagonal(linked, False)
+                if linked.any():
+                    for v, w in spanning(linked, cid[np.concatenate([l, r])]):
+                        forest.unite(v, w)
+        a, b = forest.edges()
+        return {"a": a, "b": b}
+
+    return map_groups(pairs, ["dim", "i", "j"], compare, "a long, b long")
+
+
+def found_edges(classes: DataFrame, kind: str, threshold: float) -> DataFrame:
+    """Edges (a, b) that connect linked classes: a pair just at the threshold is missed with a probability of MISS at most
+    where vectors are spread out, never among dense vectors."""
+    planned, goal = passes_for(classes.count(), threshold), math.log(MISS)
+    edges = []
+
+    def swept_through(rows, passes):
+        found = materialise(swept(keyed(rows, passes, kind), kind, threshold))
+        edges.extend([found.where("b is not null"), boundary_edges(found.where("edge_of is not null"), kind, threshold)])
+        hit = F.least(F.pow(F.lit(same_sign(threshold)), F.col("at")), F.lit(1 - 1e-12))
+        seen = found.where("edge_of is null and b is null").groupBy(F.col("a").alias("cid")).agg(F.sum(F.log1p(-hit)).alias("more"))
+        return rows.join(seen, "cid", "left").withColumn("missed", F.col("missed") + F.coalesce("more", F.lit(0.0))).drop("more")
+
+    fresh = classes.select("cid", "dim", "raw", F.lit(0.0).alias("missed"))
+    pending = materialise(swept_through(fresh, range(planned)).where(F.col("missed") > goal))
+    dense = F.col("missed") > DENSE * goal
+    n, n_dense = pending.agg(F.count("*"), F.count(F.when(dense, 1))).first()
+    if n > FEW and n > n_dense:
+        second = range(planned, planned + max(8, math.ceil(planned / 2)))
+        pending = materialise(swept_through(pending.withColumn("dense", dense), second).where((F.col("missed") > goal) | F.col("dense")))
+    if n:
+        edges.append(all_pairs(pending, kind, threshold))
+    out = edges[0].select("a", "b")
+    for e in edges[1:]:
+        out = out.unionByName(e.select("a", "b"))
+    return out
+
+
 def link_counts(members: DataFrame, kind: str, threshold: float) -> DataFrame:
     """(cid, n_links) from (comp, cid, w, raw): how many vectors, copies included, each links with."""
     near = math.cos(math.acos(threshold) / 2) + 1e-9
@@ -236,9 +351,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     rep_type = dict(grouped.dtypes)["rep"]
     classes = materialise(grouped.mapInArrow(pack, f"rep {rep_type}, w long, dim int, raw binary"))
     classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()))
-    found = materialise(swept(keyed(classes, passes_for(classes.count(), threshold), kind), kind, threshold))
-    edges = found.where("edge_of is null").select("a", "b").unionByName(boundary_edges(found.where("edge_of is not null"), kind, threshold))
-    comps = components(edges)
+    comps = components(found_edges(classes, kind, threshold))
     members = classes.join(comps.select(F.col("id").alias("cid"), F.col("component").alias("comp")), "cid")
     counts = link_counts(members.select("comp", "cid", "w", "raw"), kind, threshold)
     named = members.groupBy("comp").agg(F.min("rep").alias("component_id")).join(members.select("comp", "cid"), "comp").join(counts, "cid").select("cid", "component_id", "n_links")

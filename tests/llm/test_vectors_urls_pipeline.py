@@ -82,6 +82,28 @@ def test_more_vectors_take_more_passes():
     assert embedding_dedup.passes_for(100, 0.9) == 8 < embedding_dedup.passes_for(50_000, 0.9) < embedding_dedup.passes_for(10**9, 0.9)
 
 
+@pytest.mark.parametrize(("few", "block"), [(16_384, 2048), (0, 100)])
+def test_pairs_inside_a_dense_topic(spark, monkeypatch, few, block):
+    monkeypatch.setattr(embedding_dedup, "WINDOW", 8)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    monkeypatch.setattr(embedding_dedup, "FEW", few, raising=False)
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(rng.normal(size=(3000, 64)))
+    x[:2000] = unit(math.sqrt(0.75) * x[2999] + 0.5 * x[:2000])  # cosines of about 0.75
+    for k, cosine in enumerate(np.linspace(0.9001, 0.95, 200)):
+        w = unit(rng.normal(size=64))
+        w = unit(w - (w @ x[k]) * x[k])
+        x[1000 + k] = cosine * x[k] + math.sqrt(1 - cosine**2) * w
+    linked = x @ x.T >= 0.9
+    np.fill_diagonal(linked, False)
+    assert all(linked[k, 1000 + k] for k in range(200))
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    missed = [(a, b) for a, b in np.argwhere(linked).tolist() if got[a]["component_id"] != got[b]["component_id"]]
+    assert not missed
+    assert [got[i]["n_links"] for i in range(3000)] == linked.sum(axis=1).tolist()
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (300, 200)]
     got = {r["id"]: r["component"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
