@@ -1,9 +1,14 @@
 """Information-theoretic sanitisation of personal data; DataFrame functions only.
 
 Patterns find the protected entities of a text: e-mail addresses, IP addresses, card and telephone numbers. The corpus
-then tells which terms reveal them. For a term t that stands near entity e in at least MIN_TEXTS different texts, the
-share of e's information that t discloses is log2(P(e | t) / P(e)) / -log2 P(e), with P(e | t) the share of the texts
-with t that hold e near t. Where it reaches DISCLOSURE, the term is generalised in every text that holds the entity.
+then tells which terms reveal them. For a term t that stands in a text with entity e, outside of the patterns' matches
+and anywhere in the text, the share of e's information that t discloses is log2(P(e | t) / P(e)) / -log2 P(e), with
+P(e | t) the share of the texts with t that hold e. Where it reaches DISCLOSURE, the term is generalised in every text
+that holds the entity. An entity in MIN_TEXTS different texts or more needs that many with the term. For a rarer one the
+term must stand in all of its texts, and P(e | t) is smoothed as if there were one more text with t and without e, so a
+term that only the one text of its entity has is generalised where there are 1,024 different texts or more.
+
+Limit of the method: a text that holds a revealing term but not the entity keeps the term.
 
 The patterns match what the plain forms in the comments match, written so that no text makes them backtrack far or
 recurse: possessive repeats, and starts only where a run of characters starts or the last match ended.
@@ -31,8 +36,8 @@ PATTERNS = {
 NEEDS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 TERM = r"[^\p{L}\p{N}]+"
-#: Characters around an entity in which terms count as near it, and the least length of a term.
-NEAR, SHORTEST = 40, 3
+#: The least length of a term.
+SHORTEST = 3
 MIN_TEXTS = 3
 DISCLOSURE = 0.9
 
@@ -98,37 +103,57 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), TERM, -1), lambda t: F.length(t) >= SHORTEST))
 
 
-def near_terms(text: Column, span: Column) -> Column:
-    """Terms that stand whole within NEAR characters before or after the span and do not touch it."""
-    start = F.greatest(F.lit(0), span["start"] - NEAR)
-    before = F.substring(text, start + 1, span["start"] - start)
-    after = F.substring(text, span["end"] + 1, F.lit(NEAR))
-    before = F.when(start > 0, F.regexp_replace(before, r"^[\p{L}\p{N}]+", "")).otherwise(before)
-    before = F.regexp_replace(before, r"[^\x20\x09-\x0D]+$", "")
-    after = F.when(F.length(after) == NEAR, F.regexp_replace(after, r"[\p{L}\p{N}]+$", "")).otherwise(after)
-    after = F.regexp_replace(after, r"^[^\x20\x09-\x0D]+", "")
-    return F.array_union(terms(before), terms(after))
+def outside(text: Column, spans: Column) -> Column:
+    """text without its spans, a space in the place of each."""
+
+    def step(acc, x):
+        kept = F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), x["start"] - acc["at"]))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], F.array(kept)).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    rest = lambda acc: F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.array_join(F.aggregate(spans, start, step, rest), " ")
+
+
+def texts_with(candidates: DataFrame, texts: DataFrame) -> DataFrame:
+    """(t, n_t): how many different texts hold each candidate. k copies of a text count for one k-th each, so that tasks
+    can add up the terms of their texts before the shuffle."""
+    copies = texts.groupBy("th").agg(F.count("*").alias("k")).where("k > 1")
+    whole = texts.join(copies, "th", "left").select(F.explode(terms(F.col("text"))).alias("t"), (1 / F.coalesce("k", F.lit(1))).alias("part"))
+    return materialise(whole.groupBy("t").agg(F.round(F.sum("part")).alias("n_t")).join(candidates, "t"))
 
 
 def revealing(texts: DataFrame) -> DataFrame:
-    """(th, terms): for each text, by its hash, the terms that disclose an entity it holds. texts: th, text."""
-    held = texts.withColumn("span", F.explode(base_spans(F.col("text")))).select("th", entity(F.col("span")).alias("e"), near_terms(F.col("text"), F.col("span")).alias("near"))
-    held = materialise(held)
-    pairs = held.select("th", "e", F.explode("near").alias("t")).distinct()
-    entities = held.select("th", "e").distinct()
-    n_e = entities.groupBy("e").agg(F.count("*").alias("n_e"))
-    n = texts.select("th").distinct().count()
-    p_e = F.col("n_e") / F.lit(float(max(n, 1)))
-    disclosed = lambda texts_with_t: F.log2(F.col("n_both") / texts_with_t / p_e) / F.nullif(-F.log2(p_e), F.lit(0.0))
-    # a term stands in at least as many texts as it stands near entities in: one that discloses too little even if
-    # there are no others needs no count over the corpus
-    n_near = pairs.select("th", "t").distinct().groupBy("t").agg(F.count("*").alias("n_near"))
-    together = pairs.groupBy("e", "t").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= MIN_TEXTS)
-    possible = materialise(together.join(n_e, "e").join(n_near, "t").where(disclosed(F.col("n_near")) >= DISCLOSURE).select("e", "t", "n_both", "n_e"))
+    """(th, terms): for each text, by its hash, the terms that disclose an entity it holds. texts: th, text.
+
+    Entities that stand in the same texts are one class, so a text that lists thousands of them costs no more than one.
+    """
+    spanned = texts.withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
+    held = spanned.select("th", F.array_distinct(F.transform("spans", entity)).alias("es"), terms(outside(F.col("text"), F.col("spans"))).alias("ts"))
+    held = materialise(held.dropDuplicates(["th"]))
+    entities = held.select("th", F.explode("es").alias("e"))
+    of_class = ["n_e", "x", "y"]
+    sets = entities.groupBy("e").agg(F.count("*").alias("n_e"), F.bit_xor(F.xxhash64(F.lit(1), "th")).alias("x"), F.bit_xor(F.xxhash64(F.lit(2), "th")).alias("y"))
+    classes = materialise(entities.join(sets, "e").select("th", *of_class).distinct())
+    n = float(max(texts.select("th").distinct().count(), 1))
+    p_e = F.col("n_e") / F.lit(n)
+    more = F.when(F.col("n_both") < MIN_TEXTS, 1).otherwise(0)
+    disclosed = lambda texts_with_t: F.log2(F.col("n_both") / (texts_with_t + more) / p_e) / F.nullif(-F.log2(p_e), F.lit(0.0))
+    # a term stands in at least as many texts as it stands with entities in: one that discloses too little even if there
+    # are no others, and all texts of the entity hold it, needs no pairs and no count over the corpus
+    named = held.select("th", F.explode("ts").alias("t"))
+    n_near = named.groupBy("t").agg(F.count("*").alias("n_near"))
+    most = F.col("n_e") * F.pow(p_e, F.lit(DISCLOSURE - 1)) * (1 + 1e-9)
+    widest = classes.agg(F.coalesce(F.max(most), F.lit(0.0))).first()[0]
+    named = named.join(n_near.where(F.col("n_near") <= widest), "t")
+    together = classes.join(named, "th").where(F.col("n_near") <= most).groupBy(*of_class, "t").agg(F.count("*").alias("n_both"), F.first("n_near").alias("n_near"))
+    possible = together.where((F.col("n_both") >= F.least(F.lit(MIN_TEXTS), "n_e")) & (disclosed(F.col("n_near")) >= DISCLOSURE))
+    possible = materialise(possible)
     candidates = possible.select("t").distinct()
-    n_t = texts.select("th", F.explode(terms(F.col("text"))).alias("t")).join(candidates, "t").groupBy("t").agg(F.countDistinct("th").alias("n_t"))
-    strong = possible.join(n_t, "t").where(disclosed(F.col("n_t")) >= DISCLOSURE).select("e", "t")
-    return materialise(entities.join(strong, "e").groupBy("th").agg(F.sort_array(F.collect_set("t")).alias("terms")))
+    n_t = texts_with(candidates, texts)
+    strong = possible.join(n_t, "t").where(disclosed(F.col("n_t")) >= DISCLOSURE).select(*of_class, "t")
+    holds = named.select("th", "t")
+    return materialise(classes.join(strong, of_class).join(holds, ["th", "t"]).groupBy("th").agg(F.sort_array(F.collect_set("t")).alias("terms")))
 
 
 def term_spans(text: Column, wanted: Column) -> Column:

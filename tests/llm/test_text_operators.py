@@ -397,6 +397,18 @@ def test_terms_that_disclose_an_entity(spark):
     assert clean[100]["text"] == rows[-3][1] and clean[101]["text"] is None
 
 
+def test_terms_that_disclose_an_entity_of_one_text(spark):
+    far = "an ordinary sentence of filler text that all others have too, said again\n" * 5
+    rows = [(i, f"{far}common text {'abcdefghij'[i % 10] * 4} number {i % 50} and {i}") for i in range(1100)]
+    rows += [(5000, f"Zebulon Quist wrote\n{far}mail zq@corp.example, {far}at home in Wexbury")]
+    rows += [(5001 + i, f"text {i} of Wexbury and its people") for i in range(9)]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    # Wexbury stands in nine more texts: it discloses too little
+    assert clean.pop(5000) == f"[TERM] [TERM] [TERM]\n{far}mail [EMAIL], {far}at [TERM] in Wexbury".replace("mail", "[TERM]")
+    assert clean == {i: t for i, t in rows if i != 5000}
+
+
 def test_sanitise_keeps_rows_and_columns(documents, rows):
     out = pii.sanitise(documents)
     assert out.schema == documents.schema and out.count() == len(rows)
