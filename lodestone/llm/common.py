@@ -6,7 +6,7 @@ hundred kilobytes at a time, so that a task's memory does not depend on how long
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,6 +23,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 IS_SEPARATOR = np.zeros(256, bool)
 IS_SEPARATOR[list(SEPARATORS)] = True
 CHUNK_BYTES = 1 << 20
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -34,26 +35,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset (tests) a temporary one."""
+    """The folder that all executors share: spark.checkpoint.dir. Only where a single machine runs everything may it be
+    unset; a temporary one takes its place then."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: survives lost executors and ends the lineage.
-
-    Shuffle files that nothing refers to any more go when the driver's JVM collects its garbage, which a job of many
-    steps can't leave to chance.
-    """
+    """df written as Parquet in the shared folder and read again: survives lost executors and ends the lineage. Spark
+    deletes the shuffle files of the job when it is over."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     out = spark.read.schema(schema).parquet(path)
     out.scratch = path
     return out

@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import IS_SEPARATOR, Words, gram_mask, grams, materialise, mix, prefix_hash, span_hash, table, text_chunks
+from .common import IS_SEPARATOR, Words, discard, gram_mask, grams, materialise, mix, prefix_hash, span_hash, table, text_chunks
 
 SYMBOLS = b"#*$%&|<>"
 #: Frequent words of the languages.
@@ -32,7 +33,8 @@ PRIOR = 40
 #: further away in words than its reference's share of common words allows: 0.39 at 28%, 0.25 at 12%. At 28% it needs about
 #: 130 words to get over 0.25, as the prior counts for PRIOR words.
 MOST_CHARS, MOST_WORDS = 0.30, 0.25
-LANGUAGES = 200
+#: References that are compared with the documents at a time, about 1 KB each; more languages take further passes.
+AT_ONCE = 1000
 
 
 def class_table() -> np.ndarray:
@@ -165,24 +167,34 @@ def features(documents: DataFrame, id_col: str) -> DataFrame:
     return documents.select(F.col(id_col).alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").alias("text")).mapInArrow(run, schema)
 
 
-def references(found: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Histograms of the LANGUAGES most frequent languages: a bounded number of sums over all documents."""
+def references(found: DataFrame):
+    """Lists of (characters, words) histograms of the languages, summed over all documents that pass the base rules; only
+    one list, of AT_ONCE languages about, is on the driver at a time."""
     n_chars, n_words = len(CLASSES), len(common_hashes()) + 1
     sums = [F.sum(F.get("chars", F.lit(i))) for i in range(n_chars)] + [F.sum(F.get("words", F.lit(i))) for i in range(n_words)]
-    rows = found.where("not base_failed and lang is not null").groupBy("lang").agg(F.count("*").alias("n"), F.array(*sums).alias("h")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    return [(np.array(r["h"][:n_chars], float), np.array(r["h"][n_chars:], float)) for r in rows if sum(r["h"][:n_chars])]
+    by_language = materialise(found.where("not base_failed and lang is not null").groupBy("lang").agg(F.array(*sums).alias("h")))
+    shards = -(-by_language.count() // AT_ONCE)
+    for k in range(shards):
+        rows = by_language.where(F.pmod(F.xxhash64("lang"), F.lit(shards)) == k).orderBy("lang").collect()
+        yield [(np.array(r["h"][:n_chars], float), np.array(r["h"][n_chars:], float)) for r in rows if sum(r["h"][:n_chars])]
+    discard(by_language)
 
 
-def verdicts(n_words: np.ndarray, word_chars: np.ndarray, failed: np.ndarray, chars: np.ndarray, words: np.ndarray, known: list) -> tuple[np.ndarray, np.ndarray]:
-    """(distances in characters and words from the nearest reference, kept)."""
-    near, best = np.zeros((2, len(failed))), np.full(len(failed), np.inf)
+def nearer(chars: np.ndarray, words: np.ndarray, known: list, near: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distances in characters and words from the nearest reference, the larger of them over its limit), given those of
+    the references seen before."""
     for ref_chars, ref_words in known:
         d = np.stack([js_distance(chars, ref_chars, PRIOR), js_distance(words, ref_words, PRIOR)])
         over = np.maximum(d[0] / MOST_CHARS, d[1] / MOST_WORDS)
         near = np.where(over < best, d, near)
         best = np.minimum(best, over)
-    judged = (n_words >= MIN_WORDS) & (word_chars >= MIN_CHARS) & (len(known) > 0)
-    return near, ~failed & ~(judged & (best > 1))
+    return near, best
+
+
+def verdict(n_words: np.ndarray, word_chars: np.ndarray, failed: np.ndarray, best: np.ndarray) -> np.ndarray:
+    """Whether each text is kept; best is infinite where there are no references."""
+    judged = (n_words >= MIN_WORDS) & (word_chars >= MIN_CHARS) & np.isfinite(best)
+    return ~failed & ~(judged & (best > 1))
 
 
 def judge(documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -196,36 +208,76 @@ def judge(documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
     are left out; an empty table gives no rows.
     """
     found = materialise(features(documents, id_col))
-    known = references(found)
     kind = dict(found.dtypes)["id"]
+    numbers = ["char_distance", "word_distance", "best"]
+    schema = f"id {kind}, {', '.join(f'{c} long' for c in BASE)}, base_failed boolean, chars array<int>, words array<int>, char_distance double, word_distance double, best double"
+    out = found.drop("lang").withColumns({"char_distance": F.lit(0.0), "word_distance": F.lit(0.0), "best": F.lit(float("inf"))})
+    for known in references(found):
 
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            failed = batch.column("base_failed").to_numpy(zero_copy_only=False)
-            chars, words = (np.stack(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("chars", "words"))
-            near, kept = verdicts(batch.column("n_words").to_numpy(), batch.column("word_chars").to_numpy(), failed, chars, words, known)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", *BASE, "base_failed")), pa.array(near[0]), pa.array(near[1]), pa.array(kept)], names=["id", *BASE, "base_failed", "char_distance", "word_distance", "kept"])
+        def compare(batches, known=known):
+            for batch in batches:
+                if batch.num_rows:
+                    chars, words = (np.stack(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("chars", "words"))
+                    seen = [batch.column(c).to_numpy() for c in numbers]
+                    near, best = nearer(chars, words, known, np.stack(seen[:2]), seen[2])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", *BASE, "base_failed", "chars", "words")), *map(pa.array, (*near, best))], names=["id", *BASE, "base_failed", "chars", "words", *numbers])
 
-    schema = f"id {kind}, {', '.join(f'{c} long' for c in BASE)}, base_failed boolean, char_distance double, word_distance double, kept boolean"
-    return found.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+        out = out.mapInArrow(compare, schema)
+    judged = (F.col("n_words") >= MIN_WORDS) & (F.col("word_chars") >= MIN_CHARS) & (F.col("best") < float("inf"))
+    kept = ~F.col("base_failed") & ~(judged & (F.col("best") > 1))
+    return out.select(F.col("id").alias(id_col), *BASE, "base_failed", "char_distance", "word_distance", kept.alias("kept"))
 
 
 def keep_good(documents: DataFrame) -> DataFrame:
-    """The documents that judge keeps, with all their columns. The texts are read twice and nothing is shuffled but the
-    sums for the references."""
-    known = references(features(documents, "doc_id"))
-
-    def run(batches):
+    """The documents that judge keeps, with all their columns; nulls, empty texts, ties, repeated rows and empty tables
+    as there. The texts are read twice and nothing is shuffled but the sums for the references."""
+    shards = references(features(documents, "doc_id"))
+    first = next(shards, [])
+    described = ["_lodestone_n", "_lodestone_c", "_lodestone_best", "_lodestone_chars", "_lodestone_words"]
+    more = next(shards, None)
+    if more is None:
+
+        def run(batches):
+            listed = common_hashes()
+            for batch in batches:
+                for low, high, w in text_chunks(batch.column("text")):
+                    counts = base_counts(w)
+                    n = high - low
+                    best = nearer(*histograms(w, listed), first, np.zeros((2, n)), np.full(n, np.inf))[1]
+                    kept = verdict(counts["n_words"], counts["word_chars"], base_failed(counts), best)
+                    yield batch.slice(low, n).filter(pa.array(kept))
+
+        return documents.mapInArrow(run, documents.schema)
+
+    def describe(batches):
         listed = common_hashes()
         for batch in batches:
             for low, high, w in text_chunks(batch.column("text")):
                 counts = base_counts(w)
-                kept = verdicts(counts["n_words"], counts["word_chars"], base_failed(counts), *histograms(w, listed), known)[1]
-                yield batch.slice(low, high - low).filter(pa.array(kept))
-
-    return documents.mapInArrow(run, documents.schema)
+                n = high - low
+                chars, words = histograms(w, listed)
+                best = nearer(chars, words, first, np.zeros((2, n)), np.full(n, np.inf))[1]
+                good = pa.array(~base_failed(counts))
+                lists = [pa.array(list(x.astype(np.int32)), pa.list_(pa.int32())) for x in (chars, words)]
+                added = [pa.array(counts["n_words"].astype(np.int64)), pa.array(counts["word_chars"].astype(np.int64)), pa.array(best), *lists]
+                yield pa.RecordBatch.from_arrays([*batch.slice(low, n).columns, *added], names=[*batch.schema.names, *described]).filter(good)
+
+    kinds = "_lodestone_n long, _lodestone_c long, _lodestone_best double, _lodestone_chars array<int>, _lodestone_words array<int>"
+    schema = StructType(documents.schema.fields + StructType.fromDDL(kinds).fields)
+    out = documents.mapInArrow(describe, schema)
+    while more is not None:
+
+        def compare(batches, known=more):
+            for batch in batches:
+                if batch.num_rows:
+                    chars, words = (np.stack(batch.column(c).to_numpy(zero_copy_only=False)) for c in described[3:])
+                    best = nearer(chars, words, known, np.zeros((2, batch.num_rows)), batch.column("_lodestone_best").to_numpy())[1]
+                    yield batch.set_column(batch.schema.get_field_index("_lodestone_best"), "_lodestone_best", pa.array(best))
+
+        out = out.mapInArrow(compare, schema)
+        more = next(shards, None)
+    judged = (F.col("_lodestone_n") >= MIN_WORDS) & (F.col("_lodestone_c") >= MIN_CHARS) & (F.col("_lodestone_best") < float("inf"))
+    return out.where(~(judged & (F.col("_lodestone_best") > 1))).drop(*described)
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:

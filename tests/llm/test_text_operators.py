@@ -207,7 +207,9 @@ def brute_histograms(text, listed):
     return chars, found
 
 
-def test_quality_rules(documents, rows, nothing):
+@pytest.mark.parametrize("at_once", [1000, 1])
+def test_quality_rules(documents, rows, nothing, monkeypatch, at_once):
+    monkeypatch.setattr(quality_rules, "AT_ONCE", at_once)  # 1: a pass for each language
     got = quality_rules.judge(documents)
     base = collected(got.select("doc_id", *quality_rules.BASE, "base_failed"))
     assert base == sorted(((r[0], *brute_counts(r[1])) for r in rows), key=repr)
