@@ -229,22 +229,67 @@ def uniform(seed: str, *columns):
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+#: A key is hot if it holds more than one HOT-th of the rows, and HOT_ROWS at least.
+HOT, HOT_ROWS = 1000, 100
+
+
+def hot_keys(df: DataFrame, keys: list[str]) -> list[tuple]:
+    """The hot keys of df, HOT at most, each with the number of parts that it is to be split into."""
+    rows = df.count()
+    most = max(rows // HOT, HOT_ROWS)
+    found = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > most) if rows > most else None
+    return [(*r[:-1], -(-r[-1] // most)) for r in found.collect()] if found is not None else []
+
+
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot: list[tuple] | None = None) -> DataFrame:
+    """left joined with right, which has one row for each key. Rows of left with a hot key are dealt over several tasks by
+    a hash of their columns, and right's row goes to each of them. hot: as from hot_keys; any keys give right results."""
+    hot = hot_keys(left, keys) if hot is None else hot
+    if not hot:
+        return left.join(right, keys, how)
+    kinds = dict(left.dtypes)
+    salts = F.broadcast(left.sparkSession.createDataFrame(hot, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", _parts int"))
+    own = F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("_parts")), F.lit(0)).cast("int")
+    salted = left.join(salts, keys, "left").withColumn("_salt", own).drop("_parts")
+    spread = right.join(salts, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return salted.join(spread, [*keys, "_salt"], how).drop("_salt")
+
+
+#: Bytes of a block of members that meet others in one task.
+SIDE_BYTES = 1 << 26
+
+
+def sides(n, size):
+    """Into how many blocks a group of n members with size bytes is split for comparing all its members with each other:
+    with the fourth root of n, for parallel work, and so many that a block's bytes stay bounded. What leaves the tasks
+    so grows little faster than the group."""
+    return F.greatest(F.when(n <= 512, F.lit(1)).otherwise(F.ceil(2 * F.pow(n / 1024, F.lit(0.25)))), F.ceil(size / SIDE_BYTES)).cast("int")
+
+
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """(id, component) for the ids in edges (a, b): component is the smallest id that links reach.
 
     Every round hooks each id to the smallest label around it and then follows labels once (pointer jumping), so paths
-    shorten geometrically. Rounds are written to the shared folder; only a count of changes reaches the driver. Minima
-    are aggregated before the shuffle, so that a hub does not gather its links in one task.
+    shorten geometrically. Rounds are written to the shared folder; only counts and hot keys reach the driver. Minima
+    are aggregated before the shuffle, and joins deal the links of a hub and the ids of a large component over tasks.
     """
     both = edges.select("a", "b").where("a <> b")
     both = materialise(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")))
+    hubs = hot_keys(both, ["b"])
     for _ in range(limit):
-        around = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        around = skew_join(both, labels.select(F.col("id").alias("b"), "label"), ["b"], hot=hubs).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         hooked = labels.join(around, "id").select("id", "label", F.least("label", "near").alias("next"))
         jump = labels.select(F.col("id").alias("next"), F.col("label").alias("far"))
-        new = materialise(hooked.join(jump, "next", "left").select("id", F.least("next", "far").alias("label"), (F.least("next", "far") < F.col("label")).alias("moved")))
+        common = hot_keys(labels.select(F.col("label").alias("next")), ["next"])
+        moved = skew_join(hooked, jump, ["next"], "left", common)
+        new = materialise(moved.select("id", F.least("next", "far").alias("label"), (F.least("next", "far") < F.col("label")).alias("moved")))
+        discard(labels)
         labels = new.select("id", "label")
+        labels.scratch = new.scratch
         if not new.where("moved").limit(1).count():
-            return labels.select("id", F.col("label").alias("component"))
+            discard(both)
+            out = labels.select("id", F.col("label").alias("component"))
+            out.scratch = new.scratch
+            return out
     raise RuntimeError("components did not settle")

@@ -4,9 +4,10 @@ Texts with the same words are one class. Each class has the set of its five-word
 classes are candidates if all ROWS values of one of BANDS bands agree, which a pair at the threshold misses with a
 probability of (1 - 0.8 ** ROWS) ** BANDS = 5e-8. Candidates are compared a few MinHash values at a time, and dropped
 once the posterior probability of a similarity at the threshold or above is under TOLERANCE. The survivors of a bucket
-leave it as a forest; its trees, joined over all buckets, are groups within which the comparison is done again between
-all classes, and the survivors are verified exactly on their shingle sets. Buckets and groups are worked on in blocks
-of at most BLOCK classes on either side, so that neither a task nor a list of pairs grows with a group.
+leave it as a forest, for which a class that is tied to its tree is compared with none but those that are in no tree
+yet; the trees, joined over all buckets, are groups within which the comparison is done between all classes, and the
+survivors are verified exactly on their shingle sets. Large buckets and groups are split into blocks, every two of which
+meet in a task, BLOCK classes of either at a time.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, components, discard, grams, map_groups, materialise, mix, table, text_chunks
-from .embedding_dedup import Forest
+from .common import U, components, discard, grams, map_groups, materialise, mix, sides, skew_join, table, text_chunks
+from .embedding_dedup import Forest, spanning
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
@@ -56,10 +57,12 @@ def least_matches(threshold: float, tolerance: float = TOLERANCE) -> dict[int, i
 def survivors(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of signatures in a and b that no step drops."""
     least = least_matches(threshold)
-    i, j = np.indices((len(a), len(b)), np.int32)
-    i, j = i.ravel(), j.ravel()
-    matches = np.zeros(len(i), np.int16)
-    for n in range(0, VALUES, STEP):
+    same = np.zeros((len(a), len(b)), np.int16)
+    for k in range(STEP):
+        same += a[:, k, None] == b[None, :, k]
+    i, j = np.nonzero(same >= least[STEP])
+    matches = same[i, j]
+    for n in range(STEP, VALUES, STEP):
         for lo in range(0, len(i), 1 << 16):
             s = slice(lo, lo + (1 << 16))
             matches[s] += (a[i[s], n : n + STEP] == b[j[s], n : n + STEP]).sum(axis=1, dtype=np.int16)
@@ -68,6 +71,32 @@ def survivors(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarra
     return i, j
 
 
+def trees(a: np.ndarray, b: np.ndarray | None, threshold: float) -> list[tuple[int, int]]:
+    """Edges that connect the signatures as their surviving pairs do, of a alone or, with numbers from len(a) on for b,
+    between a and b. Trees grow one after the other, each from one signature, against those that are in no tree."""
+    sig = a if b is None else np.concatenate([a, b])
+    of_b = np.arange(len(sig)) >= len(a) if b is not None else np.zeros(len(sig), bool)
+    free, out = np.ones(len(sig), bool), []
+    for seed in range(len(a)):
+        if not free[seed]:
+            continue
+        free[seed] = False
+        todo = np.array([seed])
+        while len(todo):
+            now, todo = todo[:BLOCK], todo[BLOCK:]
+            for side in (False, True) if b is not None else (False,):
+                rows = now[of_b[now] == side]
+                others = np.flatnonzero(free & (of_b != side)) if b is not None else np.flatnonzero(free)
+                for lo in range(0, len(others) if len(rows) else 0, 1 << 14):
+                    part = others[lo : lo + (1 << 14)]
+                    i, j = survivors(sig[rows], sig[part], threshold)
+                    found, first = np.unique(j, return_index=True)
+                    out += zip(rows[i[first]].tolist(), part[found].tolist(), strict=True)
+                    free[part[found]] = False
+                    todo = np.concatenate([todo, part[found]])
+    return out
+
+
 def word_keys(w) -> list[np.ndarray]:
     """Two hashes of each text's sequence of words."""
     spread = w.hash * (2 * (np.arange(len(w.hash)) - w.first[:-1][w.text]).astype(U) + U(1))
@@ -89,7 +118,7 @@ def shingle_sets(w) -> list[np.ndarray]:
 
 
 def described(rows: DataFrame, with_sets: bool) -> DataFrame:
-    """(id, k1, k2, data) from (id, text): data is the signature, null without words, or with_sets the shingles."""
+    """(id, key, k1, k2, data) from (id, key, text): data is the signature, null without words, or with_sets the shingles."""
     kind = dict(rows.dtypes)["id"]
 
     def run(batches):
@@ -97,16 +126,18 @@ def described(rows: DataFrame, with_sets: bool) -> DataFrame:
             for low, high, w in text_chunks(batch.column("text")):
                 k1, k2 = word_keys(w)
                 data = [x.tobytes() if with_sets else signature(x).tobytes() if len(x) else None for x in shingle_sets(w)]
-                yield pa.RecordBatch.from_arrays([batch.column("id")[low:high], pa.array(k1), pa.array(k2), pa.array(data, pa.binary())], names=["id", "k1", "k2", "data"])
+                own = [batch.column(c)[low:high] for c in ("id", "key")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(k1), pa.array(k2), pa.array(data, pa.binary())], names=["id", "key", "k1", "k2", "data"])
 
-    return rows.select("id", "text").mapInArrow(run, f"id {kind}, k1 long, k2 long, data binary")
+    return rows.select("id", "key", "text").mapInArrow(run, f"id {kind}, key long, k1 long, k2 long, data binary")
 
 
-def blocks(rows: DataFrame, group: str, member: str) -> DataFrame:
-    """rows, each for every pair (i, j), i <= j, of blocks of its group in which its own block takes part."""
-    sizes = rows.groupBy(group).agg(F.count("*").alias("_n")).where("_n > 1").select(group, F.ceil(F.col("_n") / (BLOCK * 3 // 4)).cast("int").alias("_b"))
+def blocks(rows: DataFrame, group: str, member: str, size) -> DataFrame:
+    """rows of groups of several, each for every pair (i, j), i <= j, of blocks of its group in which its own block takes
+    part. size: the bytes of a row in a task."""
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_n"), F.sum(size).alias("_s")).where("_n > 1").select(group, sides(F.col("_n"), F.col("_s")).alias("_b"))
     own = F.when(F.col("_b") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64(member), F.col("_b")).cast("int"))
-    spread = rows.join(sizes, group).withColumn("own", own).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
+    spread = skew_join(rows, sizes, [group]).withColumn("own", own).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
     return spread.withColumn("i", F.least("own", "_o")).withColumn("j", F.greatest("own", "_o")).drop("_b", "_o")
 
 
@@ -137,22 +168,17 @@ def bucket_edges(classes: DataFrame, threshold: float) -> DataFrame:
     def prune(key, rows):
         _, i, j = key
         left, right = two_sides(rows, i, j)
-        cid = rows.column("cid").to_pylist()
+        cid = rows.column("cid").to_numpy()
         sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(-1, VALUES)
-        forest = Forest()
-        a, b = survivors(sig[left], sig[right], threshold)
-        for x, y in zip(left[a].tolist(), right[b].tolist(), strict=True):
-            if x != y:
-                forest.unite(cid[x], cid[y])
-        a, b = forest.edges()
-        return {"a": a, "b": b}
+        at = left if i == j else np.concatenate([left, right])
+        pairs = trees(sig[left], None if i == j else sig[right], threshold)
+        return {"a": [int(cid[at[x]]) for x, _ in pairs], "b": [int(cid[at[y]]) for _, y in pairs]}
 
     banded = materialise(classes.select("cid", "sig").mapInArrow(bands, "bucket long, cid long"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     # one byte of each value will do here: equal values have equal bytes, so that no pair looks less alike than it is
     bytes_of = classes.select("cid", "sig").mapInArrow(short, "cid long, sig binary")
-    rows = banded.join(shared, "bucket").join(bytes_of, "cid")
-    edges = materialise(map_groups(blocks(rows, "bucket", "cid"), ["bucket", "i", "j"], prune, "a long, b long"))
+    placed = blocks(banded, "bucket", "cid", F.lit(VALUES))
+    edges = materialise(map_groups(placed.join(bytes_of, "cid"), ["bucket", "i", "j"], prune, "a long, b long"))
     discard(banded)
     return edges
 
@@ -168,25 +194,32 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
         cid, w = rows.column("cid").to_pylist(), rows.column("w").to_numpy()
         sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint32).reshape(-1, VALUES)
         sets = [np.frombuffer(x.as_buffer(), U) for x in rows.column("shingles").combine_chunks()]
-        a, b = survivors(sig[left], sig[right], threshold)
-        x, y = left[a], right[b]
-        once = x < y if i == j else np.ones(len(x), bool)
-        x, y = x[once], y[once]
         size = np.array([len(s) for s in sets])
-        inter = common_counts(sets, x, y)
-        good = den * inter >= num * (size[x] + size[y] - inter)
-        x, y = x[good], y[good]
-        n = np.zeros(len(cid), np.int64)
-        np.add.at(n, x, w[y])
-        np.add.at(n, y, w[x])
-        forest = Forest()
-        for p, q in zip(x.tolist(), y.tolist(), strict=True):
-            forest.unite(cid[p], cid[q])
+        n, forest = np.zeros(len(cid), np.int64), Forest()
+        for lo in range(0, len(left), BLOCK):
+            for at in range(lo if i == j else 0, len(right), BLOCK):
+                l, r = left[lo : lo + BLOCK], right[at : at + BLOCK]
+                a, b = survivors(sig[l], sig[r], threshold)
+                x, y = l[a], r[b]
+                if i == j and lo == at:
+                    x, y = x[x < y], y[x < y]
+                inter = common_counts(sets, x, y)
+                good = den * inter >= num * (size[x] + size[y] - inter)
+                x, y = x[good], y[good]
+                np.add.at(n, x, w[y])
+                np.add.at(n, y, w[x])
+                new, first = np.unique(y, return_index=True)
+                seen, again = np.unique(x, return_index=True)
+                linked = np.zeros((len(seen), len(new)), bool)
+                linked[np.searchsorted(seen, x), np.searchsorted(new, y)] = True
+                for p, q in spanning(linked, np.concatenate([x[again], y[first]])):
+                    forest.unite(cid[p], cid[q])
         some = np.flatnonzero(n).tolist()
         e, f = forest.edges()
         return {"cid": [cid[k] for k in some] + e, "other": [None] * len(some) + f, "n": n[some].tolist() + [None] * len(e)}
 
-    return map_groups(blocks(members, "comp", "cid"), ["comp", "i", "j"], verify, "cid long, other long, n long")
+    placed = blocks(members, "comp", "cid", F.octet_length("sig") + F.octet_length("shingles"))
+    return map_groups(placed, ["comp", "i", "j"], verify, "cid long, other long, n long")
 
 
 def threshold_ratio(threshold: float) -> tuple[int, int]:
@@ -222,46 +255,73 @@ def common_counts(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.nd
     return out
 
 
-def jaccard_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """One row per document: id, n_links, class_id, kept.
-
-    Two documents link if their sets of five-word shingles have a Jaccard similarity of threshold or more; n_links
-    counts the others that a document links with, copies included; class_id is the smallest id that links reach; kept
-    is true for that document alone. A text of one to four words has one shingle, all its words. A null text, one
-    without words, or a null id links with nothing: n_links 0, class_id its own id, kept true. Rows with the same words
-    are copies, those that repeat an id too (of such rows one counts as kept where the id is the smallest: all of them
-    have kept true, as ids tell them not apart). Other columns are left out; an empty table gives no rows.
-    """
-    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def classified(documents: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """(id, key, n_links, best) for each row: key is a hash of its text, best the least (id, key) that links reach, null
+    for rows that link with nothing."""
+    texts = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     signed = materialise(described(texts, False).withColumn("valid", F.col("data").isNotNull() & F.col("id").isNotNull()))
-    grouped = signed.where("valid").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("w"), F.first("data").alias("sig"))
+    grouped = signed.where("valid").groupBy("k1", "k2").agg(F.min(F.struct("id", "key")).alias("rep"), F.count("*").alias("w"), F.first("data").alias("sig"))
     named = materialise(grouped.withColumn("cid", F.monotonically_increasing_id()))
     keys = materialise(signed.drop("data"))
     discard(signed)
-    close = materialise(components(bucket_edges(named.select("cid", "sig"), threshold)).select(F.col("id").alias("cid"), F.col("component").alias("comp")))
+    edges = bucket_edges(named.select("cid", "sig"), threshold)
+    close = components(edges).select(F.col("id").alias("cid"), F.col("component").alias("comp"))
+    discard(edges)
     of_group = materialise(named.join(close, "cid").select("comp", "cid", "w", "rep", "k1", "k2", "sig"))
     with_signatures, named = named, materialise(named.drop("sig"))
     discard(with_signatures)
-    wanted = of_group.select(F.col("rep").alias("id")).distinct()
+    wanted = of_group.select("rep.id", "rep.key").distinct()
     # members grow with the corpus: their texts come by the same sort-merge join at every size
-    sets = described(texts.join(wanted.hint("merge"), "id"), True).dropDuplicates(["k1", "k2"]).select("k1", "k2", F.col("data").alias("shingles"))
+    sets = described(texts.join(wanted.hint("merge"), ["id", "key"]), True).dropDuplicates(["k1", "k2"]).select("k1", "k2", F.col("data").alias("shingles"))
     members = materialise(of_group.join(sets, ["k1", "k2"]).select("comp", "cid", "w", "sig", "shingles"))
+    discard(of_group)
     found = materialise(verified(members, threshold))
     discard(members)
     linked = components(found.where("n is null").select(F.col("cid").alias("a"), F.col("other").alias("b"))).select(F.col("id").alias("cid"), F.col("component").alias("comp"))
-    smallest = linked.join(named.select("cid", "rep"), "cid").groupBy("comp").agg(F.min("rep").alias("class_id"))
+    least = linked.join(named.select("cid", "rep"), "cid").groupBy("comp").agg(F.min("rep").alias("best"))
+    best = skew_join(linked, least, ["comp"]).drop("comp")
     count = found.where("other is null").groupBy("cid").agg(F.sum("n").alias("n"))
-    out = named.join(linked, "cid", "left").join(smallest, "comp", "left").join(count, "cid", "left")
-    per_class = out.select("k1", "k2", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"))
-    with_class = keys.where("valid").join(per_class, ["k1", "k2"]).select("id", "n_links", "class_id")
-    alone = keys.where("not valid").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("class_id"))
-    return with_class.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    per_class = named.join(best, "cid", "left").join(count, "cid", "left").select("k1", "k2", F.coalesce("best", "rep").alias("best"), (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"))
+    per_class = materialise(per_class)
+    discard(found)
+    discard(named)
+    alone = keys.where("not valid").select("id", "key", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast(dict(per_class.dtypes)["best"]).alias("best"))
+    return skew_join(keys.where("valid").drop("valid"), per_class, ["k1", "k2"]).select("id", "key", "n_links", "best").unionByName(alone)
+
+
+def jaccard_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+    """One row per document: id, n_links, class_id, kept.
+
+    Two documents link if their sets of five-word shingles have a Jaccard similarity of threshold or more; n_links
+    counts the others that a document links with, copies included; class_id is the smallest id that links reach; kept
+    is true for that document alone. A text of one to four words has one shingle, all its words. A null text, one
+    without words, or a null id links with nothing: n_links 0, class_id its own id, kept true. Rows with the same words
+    are copies, those that repeat an id too (here ids tell them not apart: all rows of the smallest id have kept true;
+    keep_one keeps one of them). Other columns are left out; an empty table gives no rows.
+    """
+    found = classified(documents, id_col, text_col, threshold).withColumn("class_id", F.coalesce("best.id", "id"))
+    return found.select(F.col("id").alias(id_col), "n_links", "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """documents without those that jaccard_groups does not keep; rows with a null doc_id stay."""
-    gone = jaccard_groups(documents, threshold=threshold).where("not kept").select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti").select(*[documents[c] for c in documents.columns])
+    """One row of each group of linked documents, with all its columns: the one with the smallest doc_id, of several such
+    the one whose text has the smallest hash, of rows equal in both any one. So rows that share an id but not a group
+    are judged each by itself. Rows with a null doc_id and texts without words link with nothing and stay, repeated ones
+    too. An empty table gives no rows. documents is read several times.
+    """
+    rows = materialise(classified(documents, "doc_id", "text", threshold).where("best is not null"))
+    mark = ["doc_id", "_lodestone_key"]
+    named = lambda df: df.select(F.col("id").alias(mark[0]), F.col("key").alias(mark[1]))
+    keyed = documents.withColumn(mark[1], F.xxhash64("text"))
+    gone = named(rows.where((F.col("id") != F.col("best.id")) | (F.col("key") != F.col("best.key")))).distinct()
+    repeated = materialise(named(rows.where((F.col("id") == F.col("best.id")) & (F.col("key") == F.col("best.key"))).groupBy("id", "key").agg(F.count("*").alias("n")).where("n > 1")))
+    single = keyed.join(gone.unionByName(repeated), mark, "left_anti").select(*[keyed[c] for c in documents.columns])
+    if not repeated.limit(1).count():
+        return single
+    # any_value is combined before the shuffle, so that a row repeated over and over is not gathered
+    once = keyed.join(F.broadcast(repeated) if repeated.limit(100_001).count() <= 100_000 else repeated, mark, "left_semi")
+    once = once.groupBy(*mark).agg(F.any_value(F.struct(*[keyed[c] for c in documents.columns])).alias("_lodestone_row"))
+    return single.unionByName(once.select("_lodestone_row.*"))
 
 
 def op9_ngram_join(spark, sf_dir: str) -> DataFrame:

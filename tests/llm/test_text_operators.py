@@ -115,7 +115,53 @@ def test_ngram_join(documents, rows, nothing, monkeypatch):
     assert ngram_join.jaccard_groups(nothing).count() == 0
     left = ngram_join.keep_one(documents)
     assert left.columns == documents.columns
-    assert {r[0] for r in left.collect()} == {r[0] for r in all_rows if r[3]}
+    assert collections.Counter((r[0], tuple(words(r[1]))) for r in left.collect()) == brute_kept(rows)
+
+
+def brute_kept(rows, threshold=0.8):
+    """How often keep_one keeps each (id, words), from all pairs of rows."""
+    free = [(r[0], tuple(words(r[1]))) for r in rows if r[0] is None or not words(r[1])]
+    nodes = sorted({(r[0], tuple(words(r[1]))) for r in rows} - set(free), key=repr)
+    sets = [{w[k : k + 5] for k in range(len(w) - 4)} or {w} for _, w in nodes]
+    group = list(range(len(nodes)))
+    for a in range(len(nodes)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) and group[a] != group[b]:
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
+    best = {}
+    for g, node in zip(group, nodes, strict=True):
+        best.setdefault(g, []).append(node)
+    out = collections.Counter(free)
+    for members in best.values():
+        least = min(i for i, _ in members)
+        tied = [m for m in members if m[0] == least]
+        assert len(tied) == 1  # the test data have no two texts of one id in one group
+        out[tied[0]] += 1
+    return out
+
+
+def test_rows_that_share_an_id_are_judged_each_by_itself(spark):
+    base = {c: " ".join(f"{c}{k}" for k in range(60)) for c in "ab"}
+    rows = [(1, base["a"]), (5, base["a"]), (5, base["b"]), (7, base["b"] + " more"), (7, base["b"] + " more"), (9, "alone again"), (9, "alone again"), (None, base["a"]), (3, None), (3, None)]
+    docs = spark.createDataFrame([(i, t, {"x": 1}) for i, t in rows], "doc_id long, text string, extra map<string,int>").repartition(3)
+    kept = collections.Counter((r[0], r[1]) for r in ngram_join.keep_one(docs).collect())
+    assert kept == collections.Counter([(1, base["a"]), (5, base["b"]), (9, "alone again"), (None, base["a"]), (3, None), (3, None)])
+
+
+def test_a_large_group_of_near_copies(spark, monkeypatch):
+    from lodestone.llm import ngram_join as nj
+
+    monkeypatch.setattr(common, "HOT_ROWS", 10)  # joins are salted
+    monkeypatch.setattr(common, "SIDE_BYTES", 1 << 17)
+    monkeypatch.setattr(nj, "BLOCK", 64)
+    rnd = random.Random(6)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(i, " ".join([*base[:k], f"x{i}", *base[k + 1 :]])) for i in range(400) for k in [rnd.randrange(120)]]
+    rows += [(1000 + i, rows[7][1]) for i in range(200)] + [(2000 + i, f"quite another text of number {i} here") for i in range(100)]
+    got = {r["doc_id"]: r for r in nj.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    want = brute_links(rows)
+    assert [(i, got[i]["n_links"], got[i]["class_id"]) for i, _, _ in want] == want
 
 
 def test_pruning_keeps_what_may_reach_the_threshold():
