@@ -1,16 +1,18 @@
 """Near-duplicate vectors by sorted projection passes.
 
-Every pass orders the vectors by a key of concatenated random hashes (the signs of random projections), range-partitions
-them and compares each vector with the few before it in this order. Verified pairs are united at once within a task, so
-it returns a forest and no list of pairs; forests of all passes are joined by connected components.
-
-The first round's number of passes follows from the number of vectors as if they were spread evenly. Every pass also
-measures, for each vector, how many leading signs narrow its surroundings down to a window; from that follows with
-which probability a pair of the vector just at the threshold has been missed by all passes so far. Vectors for which it
-is over MISS go through a second, short round among themselves. Those that are far from MISS are dense: there the
-probability is too good an estimate, as planes that split a dense place split its close pairs more often too, so they
-are all compared with each other in blocks, which is exact. That work grows with the square of the number of dense
-vectors.
+Every pass orders the vectors by a key of concatenated random hashes and compares each with the WINDOW - 1 before it.
+A hash is the side of a random plane; the plane's offset is the median of those vectors of a bounded sample that share
+the key so far, so that keys halve dense places as they halve sparse ones, and vectors in a cone as those all around.
+Only keys and ids are sorted. Ranks then make blocks of bounded size, and the vectors of a block, with the window before
+it, meet in one task. Verified pairs of a block leave it as a forest, the forests of all passes are joined by connected
+components.
+
+A pass finds a pair if its planes don't part the two before their surroundings have shrunk to a window. For each vector
+both are known: how many leading hashes narrow its surroundings to a window, and how far it and those around it lie from
+the planes, from which follows the probability that a vector at the threshold's distance lies on the same side.
+Passes are repeated, a few at a time, for the vectors for which all passes together could still have missed such a pair
+with a probability over MISS: a pair is only missed if both its vectors' estimates allow it. Vectors so dense that
+passes would cost several times as much as comparing them all are compared in blocks, which is exact.
 
 Link counts are exact within a component without comparing all its pairs: vectors closer to the component's pivot than
 half the threshold's angle all link with each other (the triangle inequality on the sphere); only the others are
@@ -26,32 +28,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, map_groups, materialise, table
+from .common import components, discard, map_groups, materialise, sides, skew_join, table
 
-WINDOW = 64
-BITS = 60
+WINDOW = 1024
+BITS = 40
 MISS = 1e-3
-BLOCK = 2048
-#: A side of a block of pending vectors is a SIDES-th of them, but BLOCK at least and SIDE_BYTES (as doubles) at most.
-SIDES, SIDE_BYTES = 12, 1 << 26
-#: So many pending vectors are compared in blocks at once.
-FEW = 16_384
-#: Vectors that are not even this share of the way to MISS (in logarithms) after the first round are dense.
-DENSE = 0.8
+#: Rows and columns of the matrices of cosines.
+BLOCK = 1024
+#: Passes at a time: each moves every pending vector once.
+PASSES = 3
+#: Passes may cost so many times what comparing all pending vectors would.
+PATIENCE = 4
+#: The sample that the planes' offsets come from: at most so many vectors, and so many bytes, of each length; a place is
+#: halved until it has CELL of them. Lengths beyond the MODELS most frequent have planes without offset.
+FIT, FIT_BYTES, CELL, MODELS = 16_384, 1 << 25, 16, 8
 SEED = 11
 
 
-def same_sign(threshold: float) -> float:
-    return 1 - math.acos(threshold) / math.pi
-
-
-def passes_for(n: int, threshold: float) -> int:
-    """Passes after which a pair at the threshold has stood in a common window with probability 1 - MISS: the two share
-    the log2(n / WINDOW) leading signs that narrow n vectors down to a window if the signs halve them evenly."""
-    hit = same_sign(threshold) ** max(1.0, math.log2(max(2.0, n / WINDOW)))
-    return max(8, math.ceil(math.log(MISS) / math.log1p(-min(hit, 0.999))))
-
-
 def unit_rows(raw: pa.Array, kind: str) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), kind) for x in raw]
 
@@ -83,128 +76,6 @@ class Forest:
         return [a for a, _ in pairs], [r for _, r in pairs]
 
 
-def window_links(forest: Forest, ids, groups, x: np.ndarray, fresh: int, threshold: float, window: int, side=None) -> None:
-    """Unite the rows from fresh on with up to window - 1 rows before them; side: only across two sides."""
-    for o in range(1, min(window, len(ids))):
-        at = np.arange(max(fresh, o), len(ids))
-        at = at[groups[at] == groups[at - o]]
-        if side is not None:
-            at = at[side[at] != side[at - o]]
-        if len(at):
-            at = at[np.einsum("ij,ij->i", x[at], x[at - o]) >= threshold]
-            for i in at.tolist():
-                forest.unite(ids[i], ids[i - o])
-
-
-def signs_needed(keys: np.ndarray, groups: np.ndarray, window: int) -> np.ndarray:
-    """For rows in the order of their keys, all but the first and last window: how many leading signs a vector must share
-    with one of them to be within window - 1 rows of it."""
-    n = len(keys) - 2 * window
-    mid, of = keys[window : window + n], groups[window : window + n]
-    need = np.zeros(n, np.int64)
-    for other in (slice(0, n), slice(2 * window, 2 * window + n)):
-        differ = keys[other] ^ mid
-        high = np.frexp((differ >> 30).astype(float))[1].astype(np.int64)
-        common = BITS - np.where(high > 0, high + 30, np.frexp(differ.astype(float))[1])
-        need = np.maximum(need, np.where(groups[other] == of, common + 1, 0))
-    return need
-
-
-def keyed(classes: DataFrame, passes: range, kind: str) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            raw, dims = batch.column("raw"), batch.column("dim").to_numpy()
-            for dim in np.unique(dims):
-                rows = np.flatnonzero(dims == dim)
-                x = normalised(unit_rows(raw.take(pa.array(rows)), kind))
-                for t in passes:
-                    planes = np.random.default_rng([SEED, t, int(dim)]).standard_normal((int(dim), BITS))
-                    key = ((x @ planes > 0) @ (1 << np.arange(BITS, dtype=np.int64)[::-1])).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(rows), t, np.int32)), pa.array(np.full(len(rows), dim, np.int32)), pa.array(key), batch.column("cid").take(pa.array(rows)), raw.take(pa.array(rows))],
-                        names=["pass", "dim", "key", "cid", "raw"],
-                    )
-
-    out = classes.select("cid", "dim", "raw").mapInArrow(run, "pass int, dim int, key long, cid long, raw binary")
-    order = ["pass", "dim", "key", "cid"]
-    return out.repartitionByRange(*order).sortWithinPartitions(*order)
-
-
-def swept(rows: DataFrame, kind: str, threshold: float) -> DataFrame:
-    """Edges (a, b) of each task, the rows at its two ends (edge_of: the boundary after partition edge_of), and for the
-    vector a of each row but those at the ends the signs needed (at, without edge_of), if they are no more than BITS."""
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        forest, seen = Forest(), 0
-        held: tuple = ()
-        last = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        names = ["a", "b", "edge_of", "at", "grp", "raw"]
-
-        def ends(edge, at, ids, groups, raws):
-            n = len(ids)
-            none = pa.nulls(n, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), none, pa.array([edge] * n, pa.int64()), pa.array(at, pa.int64()), pa.array(groups, pa.int64()), pa.array(raws, pa.binary())], names=names)
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column("cid").to_pylist()
-            groups = batch.column("pass").to_numpy().astype(np.int64) << 32 | batch.column("dim").to_numpy()
-            raws = batch.column("raw").to_pylist()
-            last = tuple(np.concatenate([x, y]) for x, y in zip(last, (batch.column("key").to_numpy(), groups, batch.column("cid").to_numpy()), strict=True))
-            if len(last[0]) > 2 * WINDOW:
-                need = signs_needed(last[0], last[1], WINDOW)
-                fine = need <= BITS
-                n, of = int(fine.sum()), last[2][WINDOW:-WINDOW]
-                null = pa.nulls(n, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(of[fine]), null, null, pa.array(need[fine]), null, pa.nulls(n, pa.binary())], names=names)
-                last = tuple(x[-2 * WINDOW :] for x in last)
-            if seen < WINDOW:
-                k = WINDOW - seen
-                yield ends(part - 1, list(range(WINDOW + seen, WINDOW + seen + len(ids[:k]))), ids[:k], groups[:k], raws[:k])
-            seen += len(ids)
-            if held:
-                fresh = len(held[0])
-                ids, groups, raws = held[0] + ids, np.concatenate([held[1], groups]), held[2] + raws
-            else:
-                fresh = 0
-            dims = groups & 0xFFFFFFFF
-            for dim in np.unique(dims):
-                at = np.flatnonzero(dims == dim)
-                x = normalised([np.frombuffer(raws[i], kind) for i in at])
-                window_links(forest, [ids[i] for i in at], groups[at], x, int((at < fresh).sum()), threshold, WINDOW)
-            held = ids[-WINDOW:], groups[-WINDOW:], raws[-WINDOW:]
-        if held:
-            yield ends(part, list(range(WINDOW - len(held[0]), WINDOW)), *held)
-        a, b = forest.edges()
-        n = len(a)
-        null = pa.nulls(n, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), null, null, null, pa.nulls(n, pa.binary())], names=names)
-
-    return rows.mapInArrow(run, "a long, b long, edge_of long, at long, grp long, raw binary")
-
-
-def boundary_edges(ends: DataFrame, kind: str, threshold: float) -> DataFrame:
-    """Edges between rows of neighbouring partitions; a group has 2 * WINDOW rows at most."""
-
-    def run(key, rows):
-        at = rows.column("at").to_numpy()
-        groups, ids = rows.column("grp").to_numpy(), rows.column("a").to_pylist()
-        raws = rows.column("raw").to_pylist()
-        forest = Forest()
-        for dim in np.unique(groups & 0xFFFFFFFF):
-            of = np.flatnonzero(groups & 0xFFFFFFFF == dim)
-            x = normalised([np.frombuffer(raws[i], kind) for i in of])
-            window_links(forest, [ids[i] for i in of], groups[of], x, 0, threshold, WINDOW, at[of] < WINDOW)
-        a, b = forest.edges()
-        return {"a": a, "b": b}
-
-    return map_groups(ends, ["edge_of"], run, "a long, b long", ["at"])
-
-
 def spanning(linked: np.ndarray, of: np.ndarray) -> list[tuple[int, int]]:
     """Edges that connect the rows and columns of linked as it does, in the numbers of: rows first, then columns."""
     n = len(linked)
@@ -225,28 +96,197 @@ def spanning(linked: np.ndarray, of: np.ndarray) -> list[tuple[int, int]]:
     return [(int(of[a]), int(of[b])) for a, b in out]
 
 
+def planes_of(t: int, dim: int) -> np.ndarray:
+    return np.random.default_rng([SEED, t, dim]).standard_normal((dim, BITS))
+
+
+class Planes:
+    """The hashes of one pass for vectors of one length."""
+
+    def __init__(self, t: int, dim: int, sample: np.ndarray):
+        """sample: unit vectors; without any, the planes have no offset."""
+        self.t, self.dim, self.offsets, self.spreads = t, dim, [], []
+        at = sample @ planes_of(t, dim)
+        cell, fixed = np.zeros(len(sample), np.int64), 0
+        for k in range(BITS):
+            if len(sample) >= CELL << k:
+                fixed = k
+            size = 1 << fixed
+            order = np.lexsort((at[:, k], cell >> (k - fixed)))
+            of = (cell >> (k - fixed))[order]
+            first = np.searchsorted(of, np.arange(size + 1))
+            n = np.diff(first)
+            value = np.append(at[order, k], 0.0)
+            low, high = value[np.minimum(first[:-1] + np.maximum(n - 1, 0) // 2, len(sample))], value[np.minimum(first[:-1] + n // 2, len(sample))]
+            self.offsets.append(np.where(n > 0, (low + high) / 2, 0.0))
+            square = np.bincount(of, (at[order, k] - self.offsets[k][of]) ** 2, size)
+            self.spreads.append(np.where(n > 1, np.sqrt(square / np.maximum(n, 1)), 1.0))
+            cell = cell * 2 + (at[:, k] > self.offsets[k][cell >> (k - fixed)])
+
+    def hashes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, distances from the planes, the spread of such distances around the vector) of unit vectors."""
+        at = x @ planes_of(self.t, self.dim)
+        key, apart, spread = np.zeros(len(x), np.int64), np.empty((len(x), BITS)), np.empty((len(x), BITS))
+        for k, offset in enumerate(self.offsets):
+            cell = key >> (k - (len(offset).bit_length() - 1))
+            apart[:, k], spread[:, k] = at[:, k] - offset[cell], self.spreads[k][cell]
+            key = key * 2 + (apart[:, k] > 0)
+        return key, np.abs(apart), spread
+
+
+_Z = np.linspace(0, 6, 1201)
+_LOG_SAME = np.log([0.5 * (1 + math.erf(z / math.sqrt(2))) for z in _Z])
+
+
+def together(apart: np.ndarray, spread: np.ndarray, threshold: float) -> np.ndarray:
+    """The probability that a vector at the threshold's distance shares the first 0, 1, ... hashes. Seen from a plane both
+    are draws of one normal distribution, as wide as the spread; their distance gives the correlation."""
+    square = np.maximum(spread, 1e-9) ** 2
+    rho = np.clip(1 - (1 - threshold) / square, 0, 1 - 1e-12)
+    log_same = np.interp(rho * apart / np.sqrt((1 - rho**2) * square), _Z, _LOG_SAME)
+    return np.exp(np.concatenate([np.zeros((len(apart), 1)), np.cumsum(log_same, axis=1)], axis=1))
+
+
+def shared_signs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many leading hashes two keys share."""
+    return BITS - np.frexp((a ^ b).astype(float))[1]
+
+
+def linked_tree(forest: Forest, ids: np.ndarray, x: np.ndarray, near: np.ndarray, threshold: float, rows: slice, columns: slice, allowed=None) -> None:
+    """Unite what the cosines of two slices of unit vectors link. near: x in single precision; what that leaves open is
+    computed again."""
+    slack = x.shape[1] * 1.2e-7 + 1e-6
+    cosine = near[rows] @ near[columns].T
+    linked = cosine >= threshold + slack
+    open_ = np.argwhere((cosine >= threshold - slack) & ~linked)
+    if len(open_):
+        linked[open_[:, 0], open_[:, 1]] = np.einsum("ij,ij->i", x[rows][open_[:, 0]], x[columns][open_[:, 1]]) >= threshold
+    if allowed is not None:
+        linked &= allowed
+    if linked.any():
+        for v, w in spanning(linked, np.concatenate([ids[rows], ids[columns]])):
+            forest.unite(v, w)
+
+
+def models(classes: DataFrame, width: int) -> dict[int, np.ndarray]:
+    """By length, the sample that planes are fitted on, as unit vectors."""
+    out = {}
+    lengths = classes.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(MODELS).collect()
+    for dim, n in lengths:
+        most = max(1, min(FIT, FIT_BYTES // (dim * width)))
+        rows = classes.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("cid"), F.lit(-(-n // most))) == 0)).select("raw").limit(2 * most).toPandas()["raw"]
+        if len(rows):
+            out[dim] = normalised([np.frombuffer(r, "<f4" if width == 4 else "<f8") for r in rows])
+    return out
+
+
+def ranked(rows: DataFrame, planes, passes: range, kind: str) -> DataFrame:
+    """(pass, dim, key, cid, rank) of every row in every pass; ranks run over all passes in the order of the keys."""
+
+    def run(batches):
+        for batch in batches:
+            raw, dims = batch.column("raw"), batch.column("dim").to_numpy()
+            for dim in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == dim)
+                x = normalised(unit_rows(raw.take(pa.array(at)), kind))
+                for t in passes:
+                    p = planes.value.get((t, dim)) or Planes(t, dim, np.zeros((0, dim)))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(at), t, np.int32)), pa.array(np.full(len(at), dim, np.int32)), pa.array(p.hashes(x)[0]), batch.column("cid").take(pa.array(at))], names=["pass", "dim", "key", "cid"]
+                    )
+
+    def number(batches):
+        from pyspark import TaskContext
+
+        part, seen = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(seen + np.arange(n))], names=[*batch.schema.names, "part", "place"])
+            seen += n
+
+    order = ["pass", "dim", "key", "cid"]
+    sorted_ = rows.select("cid", "dim", "raw").mapInArrow(run, "pass int, dim int, key long, cid long").repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = materialise(sorted_.mapInArrow(number, "pass int, dim int, key long, cid long, part int, place long"))
+    sizes, before, total = sorted(tuple(r) for r in numbered.groupBy("part").agg(F.count("*")).collect()), [], 0
+    for part, n in sizes:
+        before.append((part, total))
+        total += n
+    starts = F.broadcast(rows.sparkSession.createDataFrame(before, "part int, before long"))  # a row for each partition
+    out = numbered.join(starts, "part").select(*order, (F.col("before") + F.col("place")).alias("rank"))
+    out.scratch = numbered.scratch
+    return out
+
+
+def swept(rows: DataFrame, planes, passes: range, kind: str, threshold: float) -> DataFrame:
+    """As rows with b the edges that the windows of the passes give; as rows without, for the vector a of each row and pass
+    the logarithm of the probability that a pair at the threshold is missed."""
+    window, span = WINDOW, 3 * WINDOW
+    order = ranked(rows, planes, passes, kind)
+    last, block = window - 1, F.floor(F.col("rank") / span)
+    # a block has its own rows (0), the window before them (-1), and of the window after them the keys alone (1)
+    places = F.array(
+        F.struct(block.alias("block"), F.lit(0).alias("side")),
+        *[F.when(ok, F.struct((block + step).alias("block"), F.lit(-step).alias("side"))) for step, ok in ((1, F.col("rank") % span >= span - window), (-1, (F.col("rank") % span < window) & (block > 0)))],
+    )
+    placed = order.withColumn("p", F.explode(F.filter(places, lambda p: p.isNotNull()))).select("pass", "dim", "key", "cid", "rank", "p.*")
+    empty = F.lit(None).cast("binary")
+    with_raw = placed.where("side < 1").join(rows.select("cid", "raw"), "cid")
+    placed = with_raw.unionByName(placed.where("side = 1").withColumn("raw", empty))
+
+    def sweep(_, t):
+        side, dims, keys, ids = (t.column(c).to_numpy() for c in ("side", "dim", "key", "cid"))
+        group = t.column("pass").to_numpy().astype(np.int64) << 32 | dims
+        raws = t.column("raw").to_pylist()
+        n, forest, at = len(side), Forest(), np.arange(len(side))
+        missed = np.zeros(n)
+        for g in np.unique(group[side == 0]).tolist():
+            of = np.flatnonzero((group == g) & (side < 1))
+            x = normalised([np.frombuffer(raws[i], kind) for i in of])
+            near, mine = x.astype(np.float32), ids[of]
+            for lo in range(int((side[of] < 0).sum()), len(of), BLOCK // 4):
+                high, low = min(lo + BLOCK // 4, len(of)), max(0, lo - last)
+                back = np.arange(lo, high)[:, None] - np.arange(low, high)
+                linked_tree(forest, mine, x, near, threshold, slice(lo, high), slice(low, high), (back > 0) & (back <= last))
+            own = of[side[of] == 0]
+            # a window that starts or ends within the group need not be narrowed down on that side
+            p = planes.value.get((g >> 32, g & 0xFFFFFFFF)) or Planes(g >> 32, g & 0xFFFFFFFF, np.zeros((0, g & 0xFFFFFFFF)))
+            same, miss = together(*p.hashes(x[side[of] == 0])[1:], threshold), np.ones(len(own))
+            for other in (own - window, own + window):
+                # own rows are window rows away from what stands just outside of their window
+                inside = (other >= 0) & (other < n)
+                inside[inside] = group[other[inside]] == g
+                need = np.zeros(len(own), np.int64)
+                need[inside] = shared_signs(keys[own[inside]], keys[other[inside]]) + 1
+                hit = np.where(need <= BITS, same[np.arange(len(own)), np.minimum(need, BITS)], 0.0)
+                miss -= hit / 2
+            missed[own] = np.log(np.maximum(miss, 1e-12))
+        a, b = forest.edges()
+        mine = at[side == 0]
+        return {"a": [*a, *ids[mine].tolist()], "b": [*b, *[None] * len(mine)], "missed": [*[None] * len(a), *missed[mine].tolist()]}
+
+    found = materialise(map_groups(placed, ["block"], sweep, "a long, b long, missed double", ["rank"]))
+    discard(order)
+    return found
+
+
 def all_pairs(classes: DataFrame, kind: str, threshold: float) -> DataFrame:
     """Edges (a, b) that connect what any pair of the classes links; every pair is compared, in blocks."""
     sizes = classes.groupBy("dim").agg(F.count("*").alias("n"))
-    side = F.least(F.greatest(F.lit(BLOCK), F.ceil(F.col("n") / SIDES)), F.greatest(F.lit(1), F.floor(F.lit(SIDE_BYTES) / (8 * F.col("dim")))))
-    placed = classes.select("cid", "dim", "raw").join(F.broadcast(sizes.select("dim", F.ceil(F.col("n") / side).cast("int").alias("blocks"))), "dim")
+    of = sizes.select("dim", F.greatest(F.lit(6), sides(F.col("n"), 8 * F.col("n") * F.col("dim"))).alias("blocks"))
+    placed = skew_join(classes.select("cid", "dim", "raw"), of, ["dim"])
     placed = placed.withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = placed.select("dim", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("left"), (F.col("mine") >= F.col("other")).alias("right"), "cid", "raw")
 
     def compare(key, rows):
         cid = rows.column("cid").to_numpy()
         left, right = (np.flatnonzero(rows.column(c).to_numpy(zero_copy_only=False)) for c in ("left", "right"))
-        x = normalised([np.frombuffer(r, kind) for r in rows.column("raw").to_pylist()])
-        forest, same = Forest(), key[1] == key[2]
-        for a in range(0, len(left), BLOCK):
-            for b in range(a if same else 0, len(right), BLOCK):
-                l, r = left[a : a + BLOCK], right[b : b + BLOCK]
-                linked = x[l] @ x[r].T >= threshold
-                if same and a == b:
-                    np.fill_diagonal(linked, False)
-                if linked.any():
-                    for v, w in spanning(linked, cid[np.concatenate([l, r])]):
-                        forest.unite(v, w)
+        order = np.concatenate([left, right])
+        x = normalised([np.frombuffer(r, kind) for r in rows.column("raw").to_pylist()])[order]
+        near, ids = x.astype(np.float32), cid[order]
+        forest, n = Forest(), len(left)
+        for a in range(0, n, BLOCK):
+            for b in range(a if key[1] == key[2] else 0, len(right), BLOCK):
+                linked_tree(forest, ids, x, near, threshold, slice(a, min(a + BLOCK, n)), slice(n + b, n + min(b + BLOCK, len(right))))
         a, b = forest.edges()
         return {"a": a, "b": b}
 
@@ -254,30 +294,27 @@ def all_pairs(classes: DataFrame, kind: str, threshold: float) -> DataFrame:
 
 
 def found_edges(classes: DataFrame, kind: str, threshold: float) -> DataFrame:
-    """Edges (a, b) that connect linked classes: a pair just at the threshold is missed with a probability of MISS at most
-    where vectors are spread out, never among dense vectors."""
-    planned, goal = passes_for(classes.count(), threshold), math.log(MISS)
-    edges = []
-
-    def swept_through(rows, passes):
-        found = materialise(swept(keyed(rows, passes, kind), kind, threshold))
-        edges.extend([found.where("b is not null"), boundary_edges(found.where("edge_of is not null"), kind, threshold)])
-        hit = F.least(F.pow(F.lit(same_sign(threshold)), F.col("at")), F.lit(1 - 1e-12))
-        seen = found.where("edge_of is null and b is null").groupBy(F.col("a").alias("cid")).agg(F.sum(F.log1p(-hit)).alias("more"))
-        return rows.join(seen, "cid", "left").withColumn("missed", F.col("missed") + F.coalesce("more", F.lit(0.0))).drop("more")
-
-    fresh = classes.select("cid", "dim", "raw", F.lit(0.0).alias("missed"))
-    pending = materialise(swept_through(fresh, range(planned)).where(F.col("missed") > goal))
-    dense = F.col("missed") > DENSE * goal
-    n, n_dense = pending.agg(F.count("*"), F.count(F.when(dense, 1))).first()
-    if n > FEW and n > n_dense:
-        second = range(planned, planned + max(8, math.ceil(planned / 2)))
-        pending = materialise(swept_through(pending.withColumn("dense", dense), second).where((F.col("missed") > goal) | F.col("dense")))
-    if n:
-        edges.append(all_pairs(pending, kind, threshold))
-    out = edges[0].select("a", "b")
+    """Edges (a, b) that connect linked classes."""
+    context, width, goal = classes.sparkSession.sparkContext, int(kind[-1]), math.log(MISS)
+    samples = models(classes, width)
+    pending, n, t, edges = classes.select("cid", "dim", "raw", F.lit(0.0).alias("missed")), classes.count(), 0, []
+    while n:
+        passes = range(t, t + PASSES)
+        planes = context.broadcast({(k, dim): Planes(k, dim, x) for k in passes for dim, x in samples.items()})
+        found = swept(pending, planes, passes, kind, threshold)
+        edges.append(found.where("b is not null").select("a", "b"))
+        seen = found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("missed").alias("more"))
+        t += PASSES
+        before, pending = pending, materialise(pending.join(seen, "cid").withColumn("missed", F.col("missed") + F.col("more")).drop("more").where(F.col("missed") > goal))
+        if before is not classes and hasattr(before, "scratch"):
+            discard(before)
+        n, mean = pending.agg(F.count("*"), F.avg("missed")).first()
+        if n and (goal - mean) / min(mean / t, -1e-9) * WINDOW > PATIENCE * n:
+            edges.append(all_pairs(pending, kind, threshold))
+            break
+    out = edges[0] if edges else classes.sparkSession.createDataFrame([], "a long, b long")
     for e in edges[1:]:
-        out = out.unionByName(e.select("a", "b"))
+        out = out.unionByName(e)
     return out
 
 
@@ -297,14 +334,16 @@ def link_counts(members: DataFrame, kind: str, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("comp", "cid", "w", "raw")), pa.array(cos >= near)], names=["comp", "cid", "w", "raw", "core"])
 
     pivots = members.where("cid = comp").select("comp", F.col("raw").alias("pivot"))
-    placed = materialise(members.join(pivots, "comp").mapInArrow(to_pivot, "comp long, cid long, w long, raw binary, core boolean"))
-    sums = placed.groupBy("comp").agg(F.sum(F.when(F.col("core"), F.col("w"))).alias("core_w"), F.count("*").alias("m"), F.sum((~F.col("core")).cast("long")).alias("q"))
-    rest = sums.where("q > 0").select("comp", F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("q") / BLOCK).cast("int").alias("qb"))
-    sides = placed.join(rest, "comp")
+    placed = materialise(skew_join(members, pivots, ["comp"]).mapInArrow(to_pivot, "comp long, cid long, w long, raw binary, core boolean"))
+    size = F.octet_length("raw") * 3
+    sums = placed.groupBy("comp").agg(F.sum(F.when(F.col("core"), F.col("w"))).alias("core_w"), F.count("*").alias("m"), F.sum((~F.col("core")).cast("long")).alias("q"), F.sum(size).alias("s"))
+    sums = sums.select("comp", "core_w", "q", sides(F.col("m"), F.col("s")).alias("mb"), sides(F.col("q"), F.col("s") * F.col("q") / F.col("m")).alias("qb"))
+    known = materialise(skew_join(placed, sums, ["comp"]))
+    rest = known.where("q > 0")
     block = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = sides.where("not core").withColumn("i", block("qb")).withColumn("j", each("mb")).withColumn("query", F.lit(True))
-    right = sides.withColumn("j", block("mb")).withColumn("i", each("qb")).withColumn("query", F.lit(False))
+    left = rest.where("not core").withColumn("i", block("qb")).withColumn("j", each("mb")).withColumn("query", F.lit(True))
+    right = rest.withColumn("j", block("mb")).withColumn("i", each("qb")).withColumn("query", F.lit(False))
     columns = ["comp", "i", "j", "query", "cid", "w", "raw", "core"]
 
     def compare(key, rows):
@@ -314,13 +353,20 @@ def link_counts(members: DataFrame, kind: str, threshold: float) -> DataFrame:
             return None
         x = normalised([np.frombuffer(r, kind) for r in rows.column("raw").to_pylist()])
         cid, w = rows.column("cid").to_numpy(), rows.column("w").to_numpy()
-        linked = x[query] @ x[~query].T >= threshold
-        linked |= cid[query][:, None] == cid[~query][None, :]
-        seen_by = (linked * w[query][:, None]).sum(axis=0)[core[~query]]
-        return {"cid": np.concatenate([cid[query], cid[~query][core[~query]]]), "n": np.concatenate([(linked * w[~query]).sum(axis=1), seen_by])}
+        asked, others = np.flatnonzero(query), np.flatnonzero(~query)
+        n = np.zeros(len(cid), np.int64)
+        for a in range(0, len(asked), BLOCK):
+            for b in range(0, len(others), BLOCK):
+                p, o = asked[a : a + BLOCK], others[b : b + BLOCK]
+                linked = x[p] @ x[o].T >= threshold
+                linked |= cid[p][:, None] == cid[o]
+                n[p] += linked @ w[o]
+                n[o] += w[p] @ linked
+        told = np.concatenate([asked, others[core[others]]])
+        return {"cid": cid[told], "n": n[told]}
 
     more = map_groups(left.select(columns).unionByName(right.select(columns)), ["comp", "i", "j"], compare, "cid long, n long").groupBy("cid").agg(F.sum("n").alias("n"))
-    own = placed.join(sums.select("comp", "core_w"), "comp").select("cid", F.when(F.col("core"), F.col("core_w")).otherwise(F.lit(0)).alias("own"))
+    own = known.select("cid", F.when(F.col("core"), F.col("core_w")).otherwise(F.lit(0)).alias("own"))
     return own.join(more, "cid", "left").select("cid", (F.col("own") + F.coalesce("n", F.lit(0)) - 1).alias("n_links"))
 
 
@@ -338,32 +384,28 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     vec = F.col(vec_col) if width == 4 else F.col(vec_col).cast("array<double>")
     finite = F.forall(vec, lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))))
     valid = F.coalesce(F.col(id_col).isNotNull() & finite & F.exists(vec, lambda x: x != 0), F.lit(False))
-    base = vectors.select(F.col(id_col).alias("id"), vec.alias("vec"), valid.alias("valid"))
-    grouped = base.where("valid").groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("w"))
+    # two hashes name a vector: equal ones are one class, however many there are
+    name = [F.xxhash64("vec").alias("v1"), F.xxhash64(F.lit(1), "vec").alias("v2")]
+    base = vectors.select(F.col(id_col).alias("id"), vec.alias("vec"), valid.alias("valid")).select("id", "vec", "valid", *name)
+    grouped = base.where("valid").groupBy("v1", "v2").agg(F.min("id").alias("rep"), F.count("*").alias("w"), F.first("vec").alias("vec"))
 
     def pack(batches):
         for batch in batches:
             vecs = batch.column("vec")
             flat, off = vecs.flatten().to_numpy(zero_copy_only=False).astype(kind), vecs.offsets.to_numpy() - vecs.offsets[0].as_py()
             raw = [flat[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("w"), pa.array(np.diff(off).astype(np.int32)), pa.array(raw, pa.binary())], names=["rep", "w", "dim", "raw"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("v1", "v2", "rep", "w")), pa.array(np.diff(off).astype(np.int32)), pa.array(raw, pa.binary())], names=["v1", "v2", "rep", "w", "dim", "raw"])
 
     rep_type = dict(grouped.dtypes)["rep"]
-    classes = materialise(grouped.mapInArrow(pack, f"rep {rep_type}, w long, dim int, raw binary"))
+    classes = materialise(grouped.mapInArrow(pack, f"v1 long, v2 long, rep {rep_type}, w long, dim int, raw binary"))
     classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()))
     comps = components(found_edges(classes, kind, threshold))
-    members = classes.join(comps.select(F.col("id").alias("cid"), F.col("component").alias("comp")), "cid")
+    members = materialise(classes.join(comps.select(F.col("id").alias("cid"), F.col("component").alias("comp")), "cid").select("comp", "cid", "w", "rep", "raw"))
     counts = link_counts(members.select("comp", "cid", "w", "raw"), kind, threshold)
-    named = members.groupBy("comp").agg(F.min("rep").alias("component_id")).join(members.select("comp", "cid"), "comp").join(counts, "cid").select("cid", "component_id", "n_links")
-    of_class = classes.join(named, "cid", "left").select(F.col("raw"), "rep", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("n_links", F.col("w") - 1).alias("n_links"))
-
-    def unpack(batches):
-        for batch in batches:
-            lists = pa.array([np.frombuffer(x.as_buffer(), kind) for x in batch.column("raw")], pa.list_(pa.float32() if width == 4 else pa.float64()))
-            yield pa.RecordBatch.from_arrays([lists, batch.column("component_id"), batch.column("n_links")], names=["vec", "component_id", "n_links"])
-
-    result = of_class.select("raw", "component_id", "n_links").mapInArrow(unpack, f"vec array<{'float' if width == 4 else 'double'}>, component_id {rep_type}, n_links long")
-    linked = base.where("valid").select("id", "vec").join(result, "vec").select("id", "n_links", "component_id")
+    least = members.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    named = skew_join(members.select("comp", "cid"), least, ["comp"]).join(counts, "cid").select("cid", "component_id", "n_links")
+    of_class = materialise(classes.join(named, "cid", "left").select("v1", "v2", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("n_links", F.col("w") - 1).alias("n_links")))
+    linked = skew_join(base.where("valid").select("id", "v1", "v2"), of_class, ["v1", "v2"]).select("id", "n_links", "component_id")
     alone = base.where("not valid").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = linked.unionByName(alone)
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
