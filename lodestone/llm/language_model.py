@@ -1,11 +1,16 @@
 """Scoring texts with a log-bilinear neural language model trained by noise-contrastive estimation.
 
-Words are counted over all training documents. The model predicts the next token's class, one of the CLASSES - 2 most
-frequent words, any other word, or the end of a text, from the two classes before it: the context's vector is
-``r[w1] C1 + r[w2] C2``, a class's score its product with the class's vector plus a bias. Another word has in addition
-its smoothed share of all other words, so that the scores are probabilities over all words. Every task trains on the
-trigrams of its own documents from common initial values, and the parameters are averaged, weighted by tokens. Scores
-are normalised: the sums over all classes are made for every context by matrix products.
+Words are counted over all training documents. The model predicts units: the VOCABULARY most frequent words that occur
+MIN_COUNT times, the end of a text, and, for all other words, ENDINGS groups by a hash of their last letters; such a word
+has in addition its smoothed share of its group, so that the scores are probabilities over all words. The two units
+before a token give its context vector ``r[w1] C1 + r[w2] C2``. Units are dealt into CLASSES classes of equal size by
+the units that they follow in the corpus, a class's score is its product with the context plus a bias, and so is a
+unit's within its class; both are normalised, by matrix products over all classes and over all members of a class.
+
+Training sees all training documents, but neither their order nor their files matter: texts are dealt by a hash of
+their words into groups of about GROUP_TOKENS tokens, a group's different trigrams are counted and trained on in an
+order that follows from them, from common initial values. Each unit's parameters are averaged over the groups by how
+often it occurs there, in whole numbers, so that sums don't depend on their order.
 
 Counts of the FREQUENT most frequent words go to all tasks; the rarer words of a text are joined with their counts.
 """
@@ -17,120 +22,207 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, materialise, table, text_chunks
+from .common import U, discard, map_groups, materialise, mix, table, text_chunks
 
-CLASSES, WIDTH = 256, 24
-OTHER, END = CLASSES - 2, CLASSES - 1
+CLASSES, MEMBERS, WIDTH = 128, 128, 24
+UNITS = CLASSES * MEMBERS
+ENDINGS = 1023
+VOCABULARY, END = UNITS - ENDINGS - 1, UNITS - 1
+MIN_COUNT = 3
 FREQUENT = 200_000
-NOISE, BATCH, EPOCHS, RATE = 64, 4096, 2, 0.1
+GROUP_TOKENS = 1 << 22
+NOISE, BATCH, EPOCHS, RATE = 24, 8192, 2, 0.1
+#: Preceding units that a unit's class is chosen by; all others are one.
+NEIGHBOURS = 64
 SEED = 5
+#: Averages are sums of whole numbers of this fraction.
+FINE = 1 << 16
+
+
+def classes_of(after: np.ndarray) -> np.ndarray:
+    """The class of each unit: units are halved again and again, each time in the direction in which the square roots of
+    the shares of the units that they follow (after, a row of counts for each) vary most."""
+    share = np.sqrt((after + 0.01) / (after + 0.01).sum(axis=1, keepdims=True))
+    weight = np.sqrt(after.sum(axis=1) + 1.0)
+    cls, parts = np.zeros(len(after), np.int64), [np.arange(len(after))]
+    while len(parts) < CLASSES:
+        halves = []
+        for of in parts:
+            x = share[of] - np.average(share[of], axis=0, weights=weight[of])
+            axis = np.linalg.eigh((x * weight[of, None]).T @ x)[1][:, -1]
+            axis *= np.sign(axis[np.abs(axis).argmax()])
+            order = of[np.lexsort((of, np.round(x @ axis, 9)))]
+            halves += [np.sort(order[: len(of) // 2]), np.sort(order[len(of) // 2 :])]
+        parts = halves
+    for k, of in enumerate(parts):
+        cls[of] = k
+    return cls
+
+
+def row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the different rows, the sums of their values)."""
+    order = np.argsort(rows, kind="stable")
+    sorted_ = rows[order]
+    start = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    return sorted_[start], np.add.reduceat(values[order], start, axis=0)
 
 
 class LogBilinear:
-    NAMES = ("r", "q", "c1", "c2", "b")
+    """r, q, b: context vector, vector and bias of each unit; a, d: vector and bias of each class."""
 
-    def __init__(self, unigram: np.ndarray):
-        """unigram: probability of each class, over 0."""
+    NAMES = ("r", "q", "b", "a", "d", "c1", "c2")
+
+    def __init__(self, unigram: np.ndarray, cls: np.ndarray):
+        """unigram: probability of each unit, over 0; cls: its class, of MEMBERS units."""
         rng = np.random.default_rng(SEED)
-        self.unigram = unigram / unigram.sum()
-        self.r = rng.normal(0, 0.1, (CLASSES, WIDTH))
-        self.q = rng.normal(0, 0.1, (CLASSES, WIDTH))
+        self.unigram, self.cls = unigram / unigram.sum(), cls
+        self.of_class = np.argsort(cls, kind="stable").reshape(CLASSES, MEMBERS)
+        self.class_unigram = self.unigram[self.of_class].sum(axis=1)
+        self.r, self.q = (rng.normal(0, 0.1, (UNITS, WIDTH)) for _ in range(2))
+        self.a = rng.normal(0, 0.1, (CLASSES, WIDTH))
         self.c1, self.c2 = (np.eye(WIDTH) * 0.5 for _ in range(2))
-        self.b = np.log(self.unigram)
+        self.d = np.log(self.class_unigram)
+        self.b = np.log(self.unigram / self.class_unigram[cls])
 
     def contexts(self, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
-        return (self.r @ self.c1)[w1] + (self.r @ self.c2)[w2]
+        return self.r[w1] @ self.c1 + self.r[w2] @ self.c2
+
+    @staticmethod
+    def nce(h, share, real_v, real_b, noise_v, noise_b, log_real, log_noise):
+        """Gradients of one choice: (of h, of the real ones' vectors and biases, of the noise's vectors and biases)."""
+        real = np.einsum("ij,ij->i", h, real_v) + real_b - log_real
+        false = h @ noise_v.T + noise_b - log_noise
+        g_real = share / (1 + np.exp(np.clip(real, -30, 30)))
+        g_false = -share[:, None] / (1 + np.exp(-np.clip(false, -30, 30)))
+        return g_real[:, None] * real_v + g_false @ noise_v, g_real[:, None] * h, g_real, g_false.T @ h, g_false.sum(axis=0)
+
+    def step(self, name: str, rows, gradient) -> None:
+        """Adagrad; rows: those that the gradient has."""
+        square = self.squares[name]
+        square[rows] += gradient * gradient
+        getattr(self, name)[rows] += RATE * gradient / np.sqrt(square[rows])
 
     def train(self, w2, w1, w0, weight, rng) -> None:
-        """One pass of Adagrad over trigrams (w2, w1, w0) that occur weight times; NOISE classes are shared by a batch."""
-        squares = self.__dict__.setdefault("squares", {n: np.full(getattr(self, n).shape, 1e-6) for n in self.NAMES})
+        """One pass of Adagrad over trigrams (w2, w1, w0) that occur weight times. Classes are told from NOISE classes,
+        units from NOISE units of their class, drawn for each batch by how often they occur."""
+        self.__dict__.setdefault("squares", {n: np.full(getattr(self, n).shape, 1e-6) for n in self.NAMES})
         order = rng.permutation(len(w0))
         for lo in range(0, len(order), BATCH):
             at = order[lo : lo + BATCH]
-            x1, x2, y = w1[at], w2[at], w0[at]
+            at = at[np.argsort(self.cls[w0[at]], kind="stable")]
+            x1, x2, y, c = w1[at], w2[at], w0[at], self.cls[w0[at]]
             share = weight[at] / weight[at].sum()
-            noise = rng.choice(CLASSES, NOISE, p=self.unigram)
             h = self.contexts(x1, x2)
-            log_noise = np.log(NOISE * self.unigram)
-            real = np.einsum("ij,ij->i", h, self.q[y]) + self.b[y] - log_noise[y]
-            false = h @ self.q[noise].T + self.b[noise] - log_noise[noise]
-            g_real = share / (1 + np.exp(np.clip(real, -30, 30)))
-            g_false = -share[:, None] / (1 + np.exp(-np.clip(false, -30, 30)))
-            g_h = g_real[:, None] * self.q[y] + g_false @ self.q[noise]
-            grads = {"q": by_class(y, g_real[:, None] * h), "b": np.bincount(y, g_real, CLASSES)}
-            np.add.at(grads["q"], noise, g_false.T @ h)
-            np.add.at(grads["b"], noise, g_false.sum(axis=0))
-            s1, s2 = by_class(x1, g_h), by_class(x2, g_h)
-            grads |= {"r": s1 @ self.c1.T + s2 @ self.c2.T, "c1": self.r.T @ s1, "c2": self.r.T @ s2}
-            for n, g in grads.items():
-                squares[n] += g * g
-                getattr(self, n).__iadd__(RATE * g / np.sqrt(squares[n]))
-
-    def log_sums(self) -> np.ndarray:
-        """log of the sum over all classes, for each context (w1, w2)."""
-        p1, p2 = self.r @ self.c1, self.r @ self.c2
-        out = np.empty((CLASSES, CLASSES))
-        for w1 in range(CLASSES):
-            scores = (p1[w1] + p2) @ self.q.T + self.b
-            top = scores.max(axis=1)
-            out[w1] = top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
-        return out
-
-    def log_probability(self, w2, w1, w0, log_sums: np.ndarray) -> np.ndarray:
+            noise = rng.choice(CLASSES, NOISE, p=self.class_unigram)
+            log_p = np.log(NOISE * self.class_unigram)
+            g_h, g_v, g_b, n_v, n_b = self.nce(h, share, self.a[c], self.d[c], self.a[noise], self.d[noise], log_p[c], log_p[noise])
+            a_rows, a_sums = row_sums(np.concatenate([c, noise]), np.concatenate([np.column_stack([g_v, g_b]), np.column_stack([n_v, n_b])]))
+            cut = np.searchsorted(c, np.arange(CLASSES + 1))
+            rows, sums = [], []
+            draws = rng.random((CLASSES, NOISE))
+            for k in np.unique(c).tolist():
+                s, members = slice(cut[k], cut[k + 1]), self.of_class[k]
+                p = self.unigram[members] / self.class_unigram[k]
+                noise = members[np.minimum(np.searchsorted(np.cumsum(p), draws[k]), MEMBERS - 1)]
+                log_real, log_noise = (np.log(NOISE * self.unigram[u] / self.class_unigram[k]) for u in (y[s], noise))
+                g, v, b, v2, b2 = self.nce(h[s], share[s], self.q[y[s]], self.b[y[s]], self.q[noise], self.b[noise], log_real, log_noise)
+                g_h[s] += g
+                rows += [y[s], noise]
+                sums += [np.column_stack([v, b]), np.column_stack([v2, b2])]
+            q_rows, q_sums = row_sums(np.concatenate(rows), np.concatenate(sums))
+            r_rows, r_sums = row_sums(np.concatenate([x1, x2]), np.concatenate([g_h @ self.c1.T, g_h @ self.c2.T]))
+            g1, g2 = self.r[x1].T @ g_h, self.r[x2].T @ g_h
+            self.step("a", a_rows, a_sums[:, :-1])
+            self.step("d", a_rows, a_sums[:, -1])
+            self.step("q", q_rows, q_sums[:, :-1])
+            self.step("b", q_rows, q_sums[:, -1])
+            self.step("r", r_rows, r_sums)
+            self.step("c1", slice(None), g1)
+            self.step("c2", slice(None), g2)
+
+    def log_probability(self, w2, w1, w0) -> np.ndarray:
+        """Of each token, normalised over all classes and all units of its class."""
         out = np.empty(len(w0))
-        for lo in range(0, len(w0), 1 << 16):
-            s = slice(lo, lo + (1 << 16))
-            h = self.contexts(w1[s], w2[s])
-            out[s] = np.einsum("ij,ij->i", h, self.q[w0[s]]) + self.b[w0[s]] - log_sums[w1[s], w2[s]]
+        order = np.argsort(self.cls[w0], kind="stable")
+        single = {n: getattr(self, n).astype(np.float32) for n in ("r", "q", "b", "a", "d", "c1", "c2")}
+        p1, p2 = single["r"] @ single["c1"], single["r"] @ single["c2"]
+        for lo in range(0, len(order), 1 << 14):
+            at = order[lo : lo + (1 << 14)]
+            h, y = p1[w1[at]] + p2[w2[at]], w0[at]
+            c = self.cls[y]
+            scores = h @ single["a"].T + single["d"]
+            value = scores[np.arange(len(at)), c] - log_sums(scores)
+            cut = np.searchsorted(c, np.arange(CLASSES + 1))
+            for k in np.unique(c).tolist():
+                s, members = slice(cut[k], cut[k + 1]), self.of_class[k]
+                scores = h[s] @ single["q"][members].T + single["b"][members]
+                place = np.searchsorted(members, y[s])
+                value[s] += scores[np.arange(len(place)), place] - log_sums(scores)
+            out[at] = value
         return out
 
     def rows(self) -> np.ndarray:
-        """All parameters, one row of equal length for each class; the matrices are dealt over the first rows."""
-        c = np.zeros((CLASSES, 2 * WIDTH))
-        c[:WIDTH] = np.concatenate([self.c1, self.c2], axis=1)
-        return np.concatenate([self.r, self.q, self.b[:, None], c], axis=1)
+        """All parameters in rows of equal length: the units', the classes', the matrices'."""
+        units = np.concatenate([self.r, self.q, self.b[:, None]], axis=1)
+        classes = np.concatenate([np.zeros_like(self.a), self.a, self.d[:, None]], axis=1)
+        return np.concatenate([units, classes, np.concatenate([self.c1, self.c2, np.zeros((WIDTH, 1))], axis=1)])
 
     def set_rows(self, rows: np.ndarray) -> None:
-        self.r, self.q, b, c = np.split(rows, [WIDTH, 2 * WIDTH, 2 * WIDTH + 1], axis=1)
-        self.b, self.c1, self.c2 = b[:, 0], c[:WIDTH, :WIDTH], c[:WIDTH, WIDTH:]
+        units, classes, c = np.split(rows, [UNITS, UNITS + CLASSES])
+        self.r, self.q, self.b = units[:, :WIDTH], units[:, WIDTH:-1], units[:, -1]
+        self.a, self.d = classes[:, WIDTH:-1], classes[:, -1]
+        self.c1, self.c2 = c[:, :WIDTH], c[:, WIDTH:-1]
+
 
+def log_sums(scores: np.ndarray) -> np.ndarray:
+    top = scores.max(axis=1)
+    return top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
 
-def by_class(classes: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Sums of the rows of values by class."""
-    return np.stack([np.bincount(classes, values[:, k], CLASSES) for k in range(values.shape[1])], axis=1)
+
+def endings(w) -> np.ndarray:
+    """The group of each word by its last letters: three bytes, less where it is shorter."""
+    key = np.zeros(len(w.start), U)
+    for back in (3, 2, 1):
+        at = w.end - back
+        key = key * U(257) + np.where(at >= w.start, w.data[np.maximum(at, 0)].astype(U) + U(1), U(0))
+    return (mix(key) % U(ENDINGS)).astype(np.int64)
 
 
 def training_counts(rows: DataFrame) -> DataFrame:
-    """(h, c): how often each word, by its hash, occurs in the training documents."""
+    """(h, c, e): how often each word, by its hash, occurs in the training documents, and its ending's group."""
 
     def run(batches):
         for batch in batches:
-            hashes = [w.hash for _, _, w in text_chunks(batch.column("text"), lower=True)]
-            if hashes:
-                h, c = np.unique(np.concatenate(hashes), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(c)], names=["h", "c"])
+            parts = [(w.hash, endings(w)) for _, _, w in text_chunks(batch.column("text"), lower=True)]
+            if parts:
+                hashes, groups = (np.concatenate(x) for x in zip(*parts, strict=True))
+                h, first, c = np.unique(hashes, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(c), pa.array(groups[first].astype(np.int32))], names=["h", "c", "e"])
 
-    return rows.where("not held_out").select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    counted = rows.where("not held_out").select("text").mapInArrow(run, "h long, c long, e int")
+    return counted.groupBy("h").agg(F.sum("c").alias("c"), F.min("e").alias("e"))
 
 
 class Words:
-    """The most frequent words' hashes, counts and classes."""
+    """The most frequent words' hashes, counts and, for the first of them, units."""
 
     def __init__(self, h: np.ndarray, c: np.ndarray):
         """In the order of frequency."""
-        cls = np.full(len(h), OTHER, np.int64)
-        cls[:OTHER] = np.arange(min(OTHER, len(h)))
+        unit = np.full(len(h), -1, np.int64)
+        n = min(VOCABULARY, int((c >= MIN_COUNT).sum()))
+        unit[:n] = np.arange(n)
         order = np.argsort(h)
-        self.h, self.c, self.cls = h[order], c[order].astype(float), cls[order]
+        self.h, self.c, self.unit = h[order], c[order].astype(float), unit[order]
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(class, count) of each hash; count -1 where it is not among the frequent ones."""
-        values, inverse = np.unique(hashes, return_inverse=True)
+    def find(self, w) -> tuple[np.ndarray, np.ndarray]:
+        """(unit, count) of each word; count -1 where it is not among the frequent ones."""
+        values, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
+        group = VOCABULARY + endings(w)[first]
         if not len(self.h):
-            return np.full(len(hashes), OTHER, np.int64), np.full(len(hashes), -1.0)
+            return group[inverse], np.full(len(w.hash), -1.0)
         at = np.minimum(np.searchsorted(self.h, values), len(self.h) - 1)
         real = self.h[at] == values
-        return np.where(real, self.cls[at], OTHER)[inverse], np.where(real, self.c[at], -1.0)[inverse]
+        return np.where(real & (self.unit[at] >= 0), self.unit[at], group)[inverse], np.where(real, self.c[at], -1.0)[inverse]
 
 
 def most_frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -166,35 +258,82 @@ def sequences(first: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return w2, w1, w0, start
 
 
-def train(rows: DataFrame, words, unigram: np.ndarray) -> LogBilinear:
-    """The average of the models that the tasks train, each on all its training documents."""
+def trigrams(rows: DataFrame, words, groups: int) -> DataFrame:
+    """(g, codes, counts): the different trigrams of the training texts of a group in a batch, packed."""
 
     def run(batches):
-        model, total = LogBilinear(unigram), 0
-        rng = np.random.default_rng(SEED)
         for batch in batches:
-            codes = []
+            parts: dict[int, list] = {}
             for _, _, w in text_chunks(batch.column("text"), lower=True):
-                w2, w1, w0, _ = sequences(w.first, words.value.find(w.hash)[0])
-                codes.append((w2 * CLASSES + w1) * CLASSES + w0)
-            if codes:
-                code, count = np.unique(np.concatenate(codes), return_counts=True)
-                total += int(count.sum())
-                for _ in range(EPOCHS):
-                    model.train(code // CLASSES**2, code // CLASSES % CLASSES, code % CLASSES, count.astype(float), rng)
-        if total:
-            values = model.rows()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(CLASSES, dtype=np.int32)), pa.array(np.full(CLASSES, float(total))), pa.array(list(values), pa.list_(pa.float64()))], names=["k", "n", "v"]
-            )
-
-    trained = rows.where("not held_out").select("text").mapInArrow(run, "k int, n double, v array<double>")
-    size = LogBilinear(unigram).rows().shape[1]
-    sums = [F.sum(F.col("n") * F.get("v", F.lit(i))) for i in range(size)]
-    got = trained.groupBy("k").agg(F.sum("n").alias("n"), F.array(*sums).alias("v")).orderBy("k").collect()
-    model = LogBilinear(unigram)
-    if got:
-        model.set_rows(np.array([r["v"] for r in got]) / np.array([r["n"] for r in got])[:, None])
+                w2, w1, w0, start = sequences(w.first, words.value.find(w)[0])
+                code = (w2 * UNITS + w1) * UNITS + w0
+                sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(w.hash))])
+                text = (mix(np.diff(sums[w.first])) % U(groups)).astype(np.int64)
+                for g in np.unique(text).tolist():
+                    of = np.repeat(text == g, np.diff(start))
+                    parts.setdefault(g, []).append(code[of])
+            if parts:
+                found = [(g, *np.unique(np.concatenate(x), return_counts=True)) for g, x in parts.items()]
+                yield pa.RecordBatch.from_arrays([pa.array([g for g, _, _ in found]), pa.array([c.tobytes() for _, c, _ in found], pa.binary()), pa.array([n.tobytes() for _, _, n in found], pa.binary())], names=["g", "codes", "counts"])
+
+    return materialise(rows.where("not held_out").select("text").mapInArrow(run, "g long, codes binary, counts binary"))
+
+
+def unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    code, count = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.int64) for c in ("codes", "counts"))
+    values, inverse = np.unique(code, return_inverse=True)
+    return values, np.bincount(inverse, count, len(values))
+
+
+def summed(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(k, n, v) of rows (k, n, v): sums by k, collected; there are no more k than parameter rows."""
+    sums = rows.groupBy("k").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.get("v", F.lit(i))) for i in range(size)]).alias("v"))
+    got = sums.toArrow().sort_by("k")
+    values = got.column("v").combine_chunks().flatten().to_numpy().reshape(-1, size)
+    return got.column("k").to_numpy(), got.column("n").to_numpy(), values
+
+
+def neighbours(packed: DataFrame) -> np.ndarray:
+    """How often each unit follows each of the NEIGHBOURS most frequent ones, or another."""
+
+    def run(batches):
+        total = np.zeros(UNITS * NEIGHBOURS, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                code, count = unpacked(pa.Table.from_batches([batch]))
+                w0, w1 = code % UNITS, code // UNITS % UNITS
+                before = np.where(w1 == END, NEIGHBOURS - 2, np.minimum(w1, NEIGHBOURS - 1))
+                total += np.bincount(w0 * NEIGHBOURS + before, count, len(total)).astype(np.int64)
+        total = total.reshape(UNITS, NEIGHBOURS)
+        k = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(total[k].sum(axis=1)), pa.array(list(total[k]), pa.list_(pa.int64()))], names=["k", "n", "v"])
+
+    out = np.zeros((UNITS, NEIGHBOURS))
+    k, _, v = summed(packed.mapInArrow(run, "k int, n long, v array<long>"), NEIGHBOURS)
+    out[k] = v
+    return out
+
+
+def train(packed: DataFrame, unigram: np.ndarray, cls: np.ndarray) -> LogBilinear:
+    """The average of the models that the groups train."""
+
+    def run(key, rows):
+        code, count = unpacked(rows)
+        w2, w1, w0 = code // UNITS**2, code // UNITS % UNITS, code % UNITS
+        model, rng = LogBilinear(unigram, cls), np.random.default_rng(SEED)
+        for _ in range(EPOCHS):
+            model.train(w2, w1, w0, count, rng)
+        uses = sum(np.bincount(w, count, UNITS) for w in (w2, w1, w0))
+        n = np.concatenate([uses, np.full(CLASSES + WIDTH, count.sum())]).astype(np.int64)
+        k = np.flatnonzero(n)
+        values = np.round(model.rows()[k] * FINE).astype(np.int64) * n[k, None]
+        return {"k": k.astype(np.int32), "n": n[k], "v": list(values)}
+
+    model = LogBilinear(unigram, cls)
+    start = model.rows()
+    k, n, v = summed(map_groups(packed, ["g"], run, "k int, n long, v array<long>"), start.shape[1])
+    start[k] = v / FINE / n[:, None]
+    model.set_rows(start)
     return model
 
 
@@ -205,7 +344,7 @@ def score(documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
     crc32(id as text) mod 10 is 0 are held out and teach nothing (a null id counts as an empty text). base_score is
     the smoothed unigram score, score the model's log10 probability of the whole text; without any training document
     both stay defined (base_score 0). Repeated rows are scored, and learned from, each by itself. Other columns are
-    left out; an empty table gives no rows.
+    left out; an empty table gives no rows. A text's score does not depend on how rows are dealt over files or tasks.
     """
     kind = documents.select(id_col).dtypes[0][1]
     held = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(10)) == 0
@@ -215,51 +354,66 @@ def score(documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top_h, top_c = most_frequent(counts)
     frequent = Words(top_h, top_c)
-    in_classes = top_c[:OTHER].astype(float)
-    unigram = np.full(CLASSES, 0.1)
-    unigram[: len(in_classes)] += in_classes
-    unigram[OTHER] += total - in_classes.sum()
+    n_units = int((frequent.unit >= 0).sum())
+    known = top_c[:n_units].astype(float)
+    # words and distinct words of the endings' groups: all words less those that are units
+    by_ending = np.zeros((ENDINGS, 2))
+    for e, c, n in counts.groupBy("e").agg(F.sum("c"), F.count("*")).collect():
+        by_ending[e] = c, n
+    in_units = documents.sparkSession.createDataFrame([(int(h),) for h in top_h[:n_units].astype(np.int64)], "h long") if n_units else None
+    if in_units is not None:
+        for e, c, n in counts.join(F.broadcast(in_units), "h").groupBy("e").agg(F.sum("c"), F.count("*")).collect():
+            by_ending[e] -= c, n
+    unigram = np.full(UNITS, 0.1)
+    unigram[:n_units] += known
+    unigram[VOCABULARY:END] += by_ending[:, 0]
     unigram[END] += ends
     context = documents.sparkSession.sparkContext
     words = context.broadcast(frequent)
-    model = train(rows, words, unigram)
-    shared = context.broadcast((model, model.log_sums()))
+    packed = trigrams(rows, words, -(-int(total + ends) // GROUP_TOKENS) or 1)
+    model = train(packed, unigram, classes_of(neighbours(packed)))
+    discard(packed)
+    model.__dict__.pop("squares", None)
+    log_group = np.log10(by_ending[:, 0] + 0.1 * (by_ending[:, 1] + 1))
+    shared = context.broadcast((model, log_group))
 
     def run(batches):
-        m, log_sums = shared.value
+        m, log_rest = shared.value
         for batch in batches:
             for low, high, w in text_chunks(batch.column("text"), lower=True):
-                cls, c = words.value.find(w.hash)
-                w2, w1, w0, start = sequences(w.first, cls)
-                by_text = lambda x, at: np.diff(np.concatenate([[0], np.cumsum(x)])[at])
+                unit, c = words.value.find(w)
+                w2, w1, w0, start = sequences(w.first, unit)
+                code, back = np.unique((w2 * UNITS + w1) * UNITS + w0, return_inverse=True)
+                log_p = m.log_probability(code // UNITS**2, code // UNITS % UNITS, code % UNITS)[back]
+                by_text = lambda x, at: np.array([x[a:b].sum() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
                 rare = c < 0
                 part = np.where(rare, 0, np.log10(np.where(rare, 1, c + 0.1)))
-                other = cls == OTHER
+                rest = unit >= VOCABULARY
+                of_rest = np.where(rest, part - log_rest[np.where(rest, unit - VOCABULARY, 0)], 0)
                 pair = np.flatnonzero(rare)
                 lists = pa.LargeListArray.from_arrays(pa.array(np.searchsorted(pair, w.first)), pa.array(w.hash[pair].astype(np.int64))).cast(pa.list_(pa.int64()))
-                columns = [by_text(m.log_probability(w2, w1, w0, log_sums), start) / np.log(10), by_text(part, w.first), by_text(np.where(other, part, 0), w.first), by_text(other, w.first), by_text(~rare, w.first)]
+                columns = [by_text(log_p, start) / np.log(10), by_text(part, w.first), by_text(of_rest, w.first), by_text(~rare, w.first)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id")[low:high], batch.column("held_out")[low:high], pa.array(np.diff(w.first)), *(pa.array(x.astype(t)) for x, t in zip(columns, (float, float, float, int, int), strict=True)), lists],
-                    names=["id", "held_out", "words", "model", "part", "other_part", "others", "known", "rare"],
+                    [batch.column("id")[low:high], batch.column("held_out")[low:high], pa.array(np.diff(w.first)), *(pa.array(x.astype(t)) for x, t in zip(columns, (float, float, float, int), strict=True)), lists],
+                    names=["id", "held_out", "words", "model", "part", "rest_part", "known", "rare"],
                 )
 
-    schema = f"id {kind}, held_out boolean, words long, model double, part double, other_part double, others long, known long, rare array<long>"
-    texts = materialise(rows.mapInArrow(run, schema)).withColumn("k", F.monotonically_increasing_id())
-    words_of = texts.select("k", F.explode("rare").alias("h"))
-    found = words_of.join(counts, "h", "left").groupBy("k").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1))).alias("rare_part"), F.count("c").alias("rare_known"))
+    schema = f"id {kind}, held_out boolean, words long, model double, part double, rest_part double, known long, rare array<long>"
+    scored = materialise(rows.mapInArrow(run, schema).withColumn("k", F.monotonically_increasing_id()))
+    words_of = scored.select("k", F.explode("rare").alias("h"))
+    found = words_of.join(counts.select("h", "c"), "h", "left").groupBy("k").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1))).alias("rare_part"), F.count("c").alias("rare_known"))
     log_all = float(np.log10(total + ends + 0.1 * (distinct + (ends > 0) + 1)))
-    log_other = float(np.log10(total - in_classes.sum() + 0.1 * (distinct - len(in_classes) + 1)))
     log_end = float(np.log10(ends + 0.1))
     rare_part = F.coalesce("rare_part", F.lit(0.0))
     n_tokens = F.col("words") + 1
-    return texts.drop("rare").join(found, "k", "left").select(
+    return scored.drop("rare").join(found, "k", "left").select(
         F.col("id").alias(id_col),
         "held_out",
         n_tokens.alias("n_tokens"),
         (F.col("known") + F.coalesce("rare_known", F.lit(0)) + F.lit(int(ends > 0))).alias("n_known"),
         F.lit(int(total + ends)).cast("long").alias("train_tokens"),
         (F.col("part") + rare_part + F.lit(log_end) - n_tokens * F.lit(log_all)).alias("base_score"),
-        (F.col("model") + F.col("other_part") + rare_part - F.col("others") * F.lit(log_other)).alias("score"),
+        (F.col("model") + F.col("rest_part") + rare_part).alias("score"),
     )
 
 

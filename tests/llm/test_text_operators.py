@@ -302,11 +302,13 @@ def test_long_texts_without_common_words_are_rejected(spark):
 # Language model
 
 
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 @pytest.mark.parametrize("frequent", [200_000, 20])
 def test_language_model(documents, rows, nothing, monkeypatch, frequent):
     monkeypatch.setattr(language_model, "FREQUENT", frequent)
-    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    tokens = [(r[0], words((r[1] or "").translate(lower)) + [None]) for r in rows]
+    tokens = [(r[0], words((r[1] or "").translate(LOWER)) + [None]) for r in rows]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
     c = collections.Counter(t for i, ts in tokens if not held(i) for t in ts)
     n, v = sum(c.values()), len(c)
@@ -317,31 +319,90 @@ def test_language_model(documents, rows, nothing, monkeypatch, frequent):
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
     if frequent > 20:
         assert language_model.score(nothing).count() == 0
+        again = language_model.score(documents.repartition(1)).collect()
+        for a, b in zip(*(sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in x) for x in (again, got)), strict=True):
+            assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-6)
+
+
+def test_language_model_against_a_plain_replay(spark, monkeypatch):
+    """The scores of documents from the model's parameters, by plain loops, and better ones than those of single words."""
+    import numpy as np
+
+    kept = []
+    train = language_model.train
+    monkeypatch.setattr(language_model, "train", lambda *args: kept.append(train(*args)) or kept[-1])
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: r for r in language_model.score(docs).collect()}
+    rows = [(r["doc_id"], words((r["text"] or "").translate(LOWER))) for r in docs.select("doc_id", "text").collect()]
+    held = [i for i, r in got.items() if r["held_out"]]
+    assert sum(got[i]["score"] for i in held) > 0.97 * sum(got[i]["base_score"] for i in held)
+    model = kept[0]
+    c = collections.Counter(t for i, ws in rows if not got[i]["held_out"] for t in ws)
+    hashes = {}
+    for _, _, w in common.text_chunks(__import__("pyarrow").array([" ".join(sorted({x for _, ws in rows for x in ws}))])):
+        raw = w.data.tobytes()
+        ends = language_model.endings(w)
+        for a, b, h, e in zip(w.start.tolist(), w.end.tolist(), w.hash.astype(np.int64).tolist(), ends.tolist(), strict=True):
+            hashes[raw[a:b].decode()] = h, e
+    frequent = sorted((t for t in c if c[t] >= language_model.MIN_COUNT), key=lambda t: (-c[t], hashes[t][0]))[: language_model.VOCABULARY]
+    unit = {t: k for k, t in enumerate(frequent)}
+    group = collections.defaultdict(lambda: [0, 0])
+    for t, n in c.items():
+        if t not in unit:
+            group[hashes[t][1]][0] += n
+            group[hashes[t][1]][1] += 1
+    softmax = lambda x: x - x.max() - math.log(np.exp(x - x.max()).sum())
+    for i, ws in random.Random(1).sample([r for r in rows if len(r[1]) < 200], 12):
+        w1 = w2 = language_model.END
+        total = 0.0
+        for t in [*ws, None]:
+            u = language_model.END if t is None else unit.get(t, language_model.VOCABULARY + hashes[t][1])
+            h = model.r[w1] @ model.c1 + model.r[w2] @ model.c2
+            k = model.cls[u]
+            members = np.flatnonzero(model.cls == k)
+            total += softmax(model.a @ h + model.d)[k] + softmax(model.q[members] @ h + model.b[members])[members.tolist().index(u)]
+            if t is not None and t not in unit:
+                n, kinds = group[hashes[t][1]]
+                total += math.log((c[t] + 0.1) / (n + 0.1 * (kinds + 1)))
+            w1, w2 = u, w1
+        assert got[i]["score"] == pytest.approx(total / math.log(10), rel=1e-4)
 
 
 def test_model_is_normalised_and_learns():
     import numpy as np
 
     rng = np.random.default_rng(1)
-    unigram = np.full(language_model.CLASSES, 1e-3)
-    unigram[:4] = 1
-    model = language_model.LogBilinear(unigram)
-    w1 = rng.integers(0, 4, 4000)
-    w2, w0 = rng.integers(0, 4, 4000), (w1 + 1) % 4  # the class before tells the next
-    weight = np.ones(4000)
-    before = model.log_probability(w2, w1, w0, model.log_sums()).mean()
-    for _ in range(30):
-        model.train(w2, w1, w0, weight, rng)
-    sums = model.log_sums()
-    assert model.log_probability(w2, w1, w0, sums).mean() > before + 0.5
-    every = np.arange(language_model.CLASSES)
+    units = language_model.UNITS
+    unigram = np.full(units, 1e-3)
+    unigram[:4] = 1000
+    cls = rng.permutation(np.repeat(np.arange(language_model.CLASSES), language_model.MEMBERS))
+    model = language_model.LogBilinear(unigram, cls)
+    w1 = rng.integers(0, 4, 20000)
+    w2, w0 = rng.integers(0, 4, 20000), (w1 + 1) % 4  # the unit before tells the next
+    before = model.log_probability(w2, w1, w0).mean()
+    for _ in range(5):
+        model.train(w2, w1, w0, np.ones(20000), rng)
+    assert model.log_probability(w2, w1, w0).mean() > before + 0.3
+    every = np.arange(units)
     for a, b in ((0, 1), (3, 200)):
-        assert np.exp(model.log_probability(np.full(256, b), np.full(256, a), every, sums)).sum() == pytest.approx(1)
-    again = language_model.LogBilinear(unigram)
+        assert np.exp(model.log_probability(np.full(units, b), np.full(units, a), every)).sum() == pytest.approx(1, rel=1e-4)
+    again = language_model.LogBilinear(unigram, cls)
     again.set_rows(model.rows())
     assert all((getattr(again, n) == getattr(model, n)).all() for n in model.NAMES)
 
 
+def test_classes_keep_apart_what_follows_different_units():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    side = rng.integers(0, 2, language_model.UNITS)
+    after = rng.poisson(3.0, (language_model.UNITS, language_model.NEIGHBOURS)) * np.where(np.arange(language_model.NEIGHBOURS) % 2 == side[:, None], 5, 0)
+    cls = language_model.classes_of(after.astype(float))
+    assert (np.bincount(cls) == language_model.MEMBERS).all()
+    mixed = [len(set(side[cls == k].tolist())) for k in range(language_model.CLASSES)]
+    assert sum(n > 1 for n in mixed) <= 2
+
+
 # Language identification
 
 
