@@ -11,7 +11,8 @@ documents by the segments' hashes.
 
 A driver-wide broadcast of all automata would grow with the corpus; here a shard's automaton is where its segments are.
 An anchor with more than SEGMENTS different segments (the edge of a passage that very many documents share) would make
-its shard unbounded; its windows are aggregated by their hash instead.
+its shard too large: its segments are split again by the second least hash of their windows, then by the third, and so
+on. With every step fewer words are left that can differ, so that equal segments become one and the shards stay small.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, discard, gram_mask, grams, map_groups, materialise, mix, powers, table, text_chunks
+from .common import U, discard, gram_mask, grams, map_groups, materialise, mix, powers, skew_join, table, text_chunks
 from .ngram_join import word_keys
 
 WINDOW, ANCHOR = 13, 7
-#: Different segments for each shard, about, and most of one anchor.
+#: Different segments for each shard, about, and most of one anchor that is not split.
 SEGMENTS = 4000
 #: Characters of text for each bucket in which anchors are counted.
 BUCKET_CHARS = 5_000_000
@@ -236,23 +237,35 @@ def stretch_hash(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.n
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U))
 
 
-def window_hashes(words: bytes) -> tuple[np.ndarray, np.ndarray]:
-    for _, _, w in text_chunks(pa.array([words.decode()])):
-        g = grams(w.hash, WINDOW)
-        return g.astype(np.int64), grams(w.hash ^ U(FLIP), WINDOW).astype(np.int64)
+def split_again(rows: DataFrame, level: int) -> DataFrame:
+    """The segments of rows (r1, r2, at, key, s1, s2, doc, words) split where the hash of their windows that is the least
+    but level changes; at counts words from the start of the first segment (r1, r2)."""
+    names = ["r1", "r2", "at", "key", "s1", "s2", "doc", "words"]
 
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r1, r2, at, key, doc, words in zip(*(batch.column(c).to_pylist() for c in ("r1", "r2", "at", "key", "doc", "words")), strict=True):
+                for _, _, w in text_chunks(pa.array([words.decode()])):
+                    g = grams(w.hash, ANCHOR)
+                    nth = np.sort(np.lib.stride_tricks.sliding_window_view(g, WINDOW - ANCHOR + 1), axis=1)[:, level]
+                    start = np.flatnonzero(np.concatenate([[True], nth[1:] != nth[:-1]]))
+                    end = np.append(start[1:], len(nth)) + WINDOW - 1
+                    s1, s2 = (stretch_hash(w.hash ^ U(flip), start, end).astype(np.int64).tolist() for flip in (0, FLIP))
+                    keys = mix(nth[start] + mix(np.full(len(start), key, np.int64).astype(U))).astype(np.int64).tolist()
+                    out += [(r1, r2, at + a, k, x, y, doc, words[w.start[a] : w.end[b - 1]]) for a, b, k, x, y in zip(start.tolist(), end.tolist(), keys, s1, s2, strict=True)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (*[pa.int64()] * 7, pa.binary()), strict=True)], names=names)
 
-def first_documents(found: DataFrame) -> DataFrame:
-    """(s1, s2, firsts) for the different segments among found: each window's first document."""
-    per_key = found.select("key", "s1", "s2").distinct().groupBy("key").agg(F.count("*").alias("n"))
-    sizes = materialise(per_key)
-    # a table of its own, so that Spark knows its size: few keys are busy, and then the segments need not move for them
-    busy = materialise(sizes.where(F.col("n") > SEGMENTS).select("key"))
-    shards = -(-(sizes.agg(F.sum("n")).first()[0] or 0) // SEGMENTS) or 1
-    sent = found.where("words is not null").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    return rows.select(names).mapInArrow(run, "r1 long, r2 long, at long, key long, s1 long, s2 long, doc long, words binary")
+
+
+def searched(rows: DataFrame) -> DataFrame:
+    """(s1, s2, firsts) of the different segments in rows (key, s1, s2, doc, words): each window's first document."""
+    shards = -(-rows.count() // SEGMENTS) or 1
+    sent = rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).repartition("shard")
     # one shuffle, by shard: what a batch sends of equal segments is one row already
-    least = lambda rows: rows.groupBy("shard", "s1", "s2").agg(F.min("least").alias("doc"), F.first("words").alias("words"))
-    quiet = least(sent.join(busy, "key", "left_anti").repartition("shard"))
+    quiet = sent.groupBy("shard", "s1", "s2").agg(F.min("doc").alias("doc"), F.first("words").alias("words"))
 
     def search(_, rows):
         symbols: dict[bytes, int] = {}
@@ -262,19 +275,35 @@ def first_documents(found: DataFrame) -> DataFrame:
             automaton.add(word, doc)
         return {"s1": rows.column("s1").to_numpy(), "s2": rows.column("s2").to_numpy(), "firsts": [automaton.first_documents(x, WINDOW) for x in words]}
 
-    found = map_groups(quiet, ["shard"], search, "s1 long, s2 long, firsts array<long>", ["doc", "s1"], placed=True)
+    return map_groups(quiet, ["shard"], search, "s1 long, s2 long, firsts array<long>", ["doc", "s1"], placed=True)
 
-    def windows(batches):
-        for batch in batches:
-            for s1, s2, doc, words in zip(*(batch.column(c).to_pylist() for c in ("s1", "s2", "doc", "words")), strict=True):
-                a, b = window_hashes(words)
-                n = len(a)
-                yield pa.RecordBatch.from_arrays([pa.array([s1] * n), pa.array([s2] * n), pa.array([doc] * n), pa.array(np.arange(n)), pa.array(a), pa.array(b)], names=["s1", "s2", "doc", "i", "a", "b"])
 
-    single = least(sent.join(busy, "key", "left_semi")).select("s1", "s2", "doc", "words").mapInArrow(windows, "s1 long, s2 long, doc long, i long, a long, b long")
-    least = single.groupBy("a", "b").agg(F.min("doc").alias("first"))
-    listed = single.join(least, ["a", "b"]).groupBy("s1", "s2").agg(F.sort_array(F.collect_list(F.struct("i", "first"))).alias("x"))
-    return found.unionByName(listed.select("s1", "s2", F.col("x.first").alias("firsts")))
+def first_documents(found: DataFrame) -> DataFrame:
+    """(s1, s2, firsts) for the different segments among found: each window's first document."""
+    rows = found.where("words is not null").select("key", "s1", "s2", F.col("least").alias("doc"), "words")
+    least = lambda x: x.groupBy("s1", "s2").agg(F.min("key").alias("key"), F.min("doc").alias("doc"), F.first("words").alias("words"))
+    out, deeper = None, None
+    for level in range(1, WINDOW - ANCHOR + 2):
+        # a table of its own, so that Spark knows its size: few keys are busy, and then the segments need not move for them
+        busy = materialise(rows.select("key", "s1", "s2").distinct().groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SEGMENTS).select("key"))
+        none = level > WINDOW - ANCHOR or not busy.limit(1).count()
+        quiet = rows if none else rows.join(busy, "key", "left_anti")
+        done = searched(quiet if level == 1 else least(quiet))
+        if level == 1:
+            out = done
+        else:
+            part = skew_join(quiet.select("r1", "r2", "at", "s1", "s2"), materialise(done), ["s1", "s2"]).select("r1", "r2", "at", "firsts")
+            deeper = part if deeper is None else deeper.unionByName(part)
+        if none:
+            break
+        again = rows.join(busy, "key", "left_semi")
+        if level == 1:
+            again = least(again).select(F.col("s1").alias("r1"), F.col("s2").alias("r2"), F.lit(0).cast("long").alias("at"), "key", "s1", "s2", "doc", "words")
+        rows = materialise(split_again(again, level))
+    if deeper is None:
+        return out
+    whole = deeper.groupBy("r1", "r2").agg(F.sort_array(F.collect_list(F.struct("at", "firsts"))).alias("x"))
+    return out.unionByName(whole.select(F.col("r1").alias("s1"), F.col("r2").alias("s2"), F.flatten("x.firsts").alias("firsts")))
 
 
 def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -295,7 +324,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     found = materialise(segments(named.join(keys.withColumnRenamed("rep", "id"), "id")))
     discard(anchors)
     firsts = materialise(first_documents(found))
-    judged = found.select("id", "k1", "start", "s1", "s2").join(firsts, ["s1", "s2"])
+    judged = skew_join(found.select("id", "k1", "start", "s1", "s2"), firsts, ["s1", "s2"])
     covered = F.transform("firsts", lambda d: (d >= 0) & (d < F.col("id")))
     hits = judged.select("id", "k1", F.struct("start", covered.alias("mask")).alias("hit")).where(F.exists("hit.mask", lambda x: x))
     hits = materialise(hits.groupBy("id", "k1").agg(F.collect_list("hit").alias("hits")))
@@ -326,7 +355,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = named.join(hits.withColumnRenamed("k1", "want"), "id")
     trimmed = texts.mapInArrow(cut, "rep long, k1 long, k2 long, removed long, left string, left_text string").dropDuplicates(["rep", "k1", "k2"])
     per_class = materialise(classes.join(trimmed, ["rep", "k1", "k2"], "left"))
-    out = known.join(per_class, ["k1", "k2"], "left")
+    out = skew_join(known, per_class, ["k1", "k2"], "left")
     copy = (F.col("id") > F.col("rep")) & (F.col("n_words") >= WINDOW)
     of_rep = (F.col("id") == F.col("rep")) & F.col("removed").isNotNull()
     nothing = hashlib.sha256(b"").hexdigest()
