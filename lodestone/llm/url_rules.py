@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-END = "\x01"
+#: Ends a label in a key; no host of a url holds it.
+END = "/"
 #: Rules that one sweep holds; more are swept in shards of this size, one after the other over the same sorted pages.
 RULES_PER_SWEEP = 50_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,6 +41,8 @@ class Sweep:
     def __init__(self, rules: list[tuple[str, str, str]]):
         by_host: dict[str, dict[str, str]] = {}
         for host, path, verdict in rules:
+            if any(c in host for c in "/?#"):  # no host
+                continue
             paths = by_host.setdefault(host, {})
             if paths.get(path) != "block":  # of equal rules, block holds
                 paths[path] = verdict
