@@ -1,9 +1,9 @@
 """Variable-capacity best-fit packing of documents into training sequences.
 
-Documents are dealt by a hash into groups of about GROUP documents and each group is packed by itself, longest first. A
-piece goes to the open bin that it fills best. Where none can hold it, the bin size is opened whose expected cost per
-word is least: what the words still to place would leave empty in it, plus a fixed cost for each sequence. In the end
-every bin shrinks to the smallest permitted size that holds its contents.
+Documents are dealt by a hash of id and length into groups of about GROUP documents, whatever files they come from, and
+each group is packed by itself, longest first. A piece goes to the open bin that it fills best. Where none can hold it,
+the bin size is opened whose expected cost per word is least: what the words still to place would leave empty in it,
+plus a fixed cost for each sequence. In the end every bin shrinks to the smallest permitted size that holds its contents.
 """
 
 from __future__ import annotations
@@ -81,9 +81,11 @@ def pack_documents(documents: DataFrame, n_words=None, id_col: str = "doc_id", c
     each by itself; a null id is kept. Other columns are left out; nothing comes of an empty table.
     """
     lengths = documents.select(F.col(id_col).alias("id"), F.coalesce(word_count() if n_words is None else n_words, F.lit(0)).cast("long").alias("n"))
-    lengths = materialise(lengths)
+    kind = dict(lengths.dtypes)["id"]
+    # rows that are equal in id and length are numbered, so that they too are dealt over the groups
+    lengths = materialise(lengths.groupBy("id", "n").agg(F.count("*").alias("k")).select("id", "n", F.explode(F.sequence(F.lit(1).cast("long"), "k")).alias("k")))
     groups = -(-lengths.count() // group) or 1
-    dealt = lengths.withColumn("k", F.monotonically_increasing_id()).withColumn("g", F.pmod(F.xxhash64("k"), F.lit(groups)))
+    dealt = lengths.withColumn("g", F.pmod(F.xxhash64("id", "n", "k"), F.lit(groups)))
     most = max(capacities)
 
     def run(key, rows):
@@ -100,8 +102,7 @@ def pack_documents(documents: DataFrame, n_words=None, id_col: str = "doc_id", c
         empty = size == 0
         return {"id": [ids[i] for i in of], "piece": piece.astype(np.int32), "start_word": piece * most, "n_words": size, "bin_id": [None if e else b for b, e in zip(bins.tolist(), empty, strict=True)], "bin_capacity": caps.astype(np.int32), "bin_offset": offs.astype(np.int32)}
 
-    kind = dict(lengths.dtypes)["id"]
-    out = map_groups(dealt, ["g"], run, f"id {kind}, piece int, start_word long, n_words long, bin_id long, bin_capacity int, bin_offset int", ["n", "k"])
+    out = map_groups(dealt, ["g"], run, f"id {kind}, piece int, start_word long, n_words long, bin_id long, bin_capacity int, bin_offset int", ["n", "id", "k"])
     return out.withColumnRenamed("id", id_col)
 
 
