@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, skew_join, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
 PATTERNS = {
@@ -69,6 +69,30 @@ def valid(kind: str, text: Column) -> Column:
 
 
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
+#: Arrays are walked in pieces of so many elements: adding to an array copies it.
+PIECE = 256
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def walked(items: Column, begin: Column, step, kind: str) -> Column:
+    """The elements that step appends, in order: step(at, item) gives (the next at, the elements for item)."""
+    n = F.size(items)
+    pieces = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(PIECE)), lambda i: F.slice(items, i, F.lit(PIECE)))).otherwise(F.array())
+    pack = lambda at, out: F.struct(at.alias("at"), out.alias("out"))
+    none = F.array().cast(kind)
+
+    def one(acc, x):
+        at, more = step(acc["at"], x)
+        return pack(at, F.concat(acc["out"], more))
+
+    def piece(acc, p):
+        return let(F.aggregate(p, pack(acc["at"], none), one), lambda r: pack(r["at"], F.concat(acc["out"], F.array(r["out"]))))
+
+    return F.aggregate(pieces, pack(begin, F.array().cast(f"array<{kind}>")), piece, lambda acc: F.flatten(acc["out"]))
 
 
 def spans_of(kind: str, text: Column) -> Column:
@@ -77,16 +101,16 @@ def spans_of(kind: str, text: Column) -> Column:
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["b"])
+    def step(at, x):
+        start = at + F.length(x["b"])
         end = start + F.length(x["m"])
         span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), x["m"].alias("value"))
-        return F.struct(end.alias("at"), F.when(valid(kind, x["m"]), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+        return end, F.when(valid(kind, x["m"]), F.array(span)).otherwise(F.array().cast(SPAN))
 
-    zipped = F.zip_with(matches, F.slice(between, F.lit(1), F.size(matches)), lambda m, b: F.struct(m.alias("m"), b.alias("b")))
     none = F.array().cast(SPAN)
-    walked = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
-    return F.when(text.rlike(NEEDS[kind]), walked).otherwise(none)
+    zipped = F.zip_with(matches, F.slice(between, F.lit(1), F.size(matches)), lambda m, b: F.struct(m.alias("m"), b.alias("b")))
+    found = let(zipped, lambda z: walked(z, F.lit(0), step, SPAN))
+    return F.when(text.rlike(NEEDS[kind]), found).otherwise(none)
 
 
 def base_spans(text: Column) -> Column:
@@ -103,16 +127,33 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), TERM, -1), lambda t: F.length(t) >= SHORTEST))
 
 
-def outside(text: Column, spans: Column) -> Column:
-    """text without its spans, a space in the place of each."""
+def replaced(text: Column, spans: Column, put) -> Column:
+    """text with put(span, at) in the place of each span; at: where the text up to the spans before it ends."""
+    # a piece of spans looks at its stretch of text alone, as finding a character takes a walk from the start
+    n = F.size(spans)
+    pieces = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(PIECE)), lambda i: F.slice(spans, i, F.lit(PIECE)))).otherwise(F.array())
+    pack = lambda at, out: F.struct(at.alias("at"), out.alias("out"))
+    no_text = F.array().cast("array<string>")
 
-    def step(acc, x):
-        kept = F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), x["start"] - acc["at"]))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], F.array(kept)).alias("out"))
+    def piece(acc, p):
+        here = let(F.array_max(F.transform(p, lambda s: s["end"])), lambda end: F.struct(acc["at"].alias("low"), F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), end - acc["at"])).alias("part")))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    rest = lambda acc: F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.array_join(F.aggregate(spans, start, step, rest), " ")
+        def one(part):
+            def step(inner, s):
+                kept = F.substring(part["part"], inner["at"] - part["low"] + 1, F.greatest(F.lit(0), s["start"] - inner["at"]))
+                return pack(F.greatest(inner["at"], s["end"]), F.concat(inner["out"], F.array(kept, put(s, inner["at"]))))
+
+            return F.aggregate(p, pack(acc["at"], no_text), step)
+
+        return let(let(here, one), lambda r: pack(r["at"], F.concat(acc["out"], F.array(F.array_join(r["out"], "")))))
+
+    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
+    return F.aggregate(pieces, pack(F.lit(0), no_text), piece, rest)
+
+
+def outside(text: Column, spans: Column) -> Column:
+    """text with spaces in the places of its spans."""
+    return replaced(text, spans, lambda s, at: F.repeat(F.lit(" "), F.greatest(F.lit(0), s["end"] - F.greatest(at, s["start"]))))
 
 
 def texts_with(candidates: DataFrame, texts: DataFrame) -> DataFrame:
@@ -134,7 +175,7 @@ def revealing(texts: DataFrame) -> DataFrame:
     entities = held.select("th", F.explode("es").alias("e"))
     of_class = ["n_e", "x", "y"]
     sets = entities.groupBy("e").agg(F.count("*").alias("n_e"), F.bit_xor(F.xxhash64(F.lit(1), "th")).alias("x"), F.bit_xor(F.xxhash64(F.lit(2), "th")).alias("y"))
-    classes = materialise(entities.join(sets, "e").select("th", *of_class).distinct())
+    classes = materialise(skew_join(entities, sets, ["e"]).select("th", *of_class).distinct())
     n = float(max(texts.select("th").distinct().count(), 1))
     p_e = F.col("n_e") / F.lit(n)
     more = F.when(F.col("n_both") < MIN_TEXTS, 1).otherwise(0)
@@ -160,28 +201,27 @@ def term_spans(text: Column, wanted: Column) -> Column:
     """Spans of the wanted terms in text, in which terms are runs of letters and digits."""
     runs = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"), F.lit(0))
 
-    def step(acc, x):
-        end = acc["at"] + F.length(x)
-        span = F.struct(acc["at"].alias("start"), F.lit(4).alias("kind"), end.alias("end"), x.alias("value"))
-        return F.struct(end.alias("at"), F.when(F.array_contains(wanted, F.lower(x)), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+    def step(at, x):
+        end = at + F.length(x)
+        span = F.struct(at.alias("start"), F.lit(4).alias("kind"), end.alias("end"), x.alias("value"))
+        return end, F.when(F.array_contains(wanted, F.lower(x)), F.array(span)).otherwise(F.array().cast(SPAN))
 
-    none = F.array().cast(SPAN)
-    return F.aggregate(runs, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+    return let(runs, lambda r: walked(r, F.lit(0), step, SPAN))
 
 
 def find(documents: DataFrame, text_col: str = "text") -> DataFrame:
     """(row, text, base, spans): each document with its base spans, and with all spans, terms included.
 
-    Spans are (start, kind, end, value) in code points, by start and then kind. A null text is an empty one. Terms that
-    overlap a base span are left to it. Texts that are equal count once in the corpus statistics, so copies don't make
-    a term look revealing. Documents of any columns, nulls and repeated rows come through as they are.
+    Spans are (start, kind, end, value) in code points, by start and then kind. A null text is an empty one. Terms are
+    what is left of runs of letters and digits beside the base spans. Texts that are equal count once in the corpus
+    statistics, so copies don't make a term look revealing. Documents of any columns, nulls and repeated rows come
+    through as they are.
     """
     rows = documents.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("th", F.md5("text"))
     joined = rows.join(revealing(rows.select("th", "text")), "th", "left")
     found = joined.withColumn("base", base_spans(F.col("text")))
-    apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    more = F.when(F.col("terms").isNotNull(), F.filter(term_spans(F.col("text"), F.col("terms")), apart)).otherwise(F.array().cast(SPAN))
+    more = F.when(F.col("terms").isNotNull(), let(outside(F.col("text"), F.col("base")), lambda t: term_spans(t, F.col("terms")))).otherwise(F.array().cast(SPAN))
     return found.select("row", "text", "base", F.array_sort(F.concat("base", more)).alias("spans"))
 
 
@@ -200,16 +240,8 @@ def sanitise(documents: DataFrame, text_col: str = "text") -> DataFrame:
     """documents, with the same columns, in which every span of find is generalised to its kind, as in ``[EMAIL]``.
     Overlapping spans are replaced as one, by the first's kind. n_chars, if there is one, counts the new text."""
     tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-
-    def step(acc, s):
-        inside = s["start"] < acc["at"]
-        kept = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        out = F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.array(kept, F.element_at(tags, s["kind"] + 1))))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    new = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, rest)).otherwise(F.col(f"row.{text_col}"))
+    tag = lambda s, at: F.when(s["start"] < at, F.lit("")).otherwise(F.element_at(tags, s["kind"] + 1))
+    new = F.when(F.size("spans") > 0, replaced(F.col("text"), F.col("spans"), tag)).otherwise(F.col(f"row.{text_col}"))
     done = find(documents, text_col).withColumn("new", new)
     of = {text_col: F.col("new"), "n_chars": F.when(F.size("spans") > 0, F.length("new").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in documents.columns else None}
     return done.select(*[(of[c] if c in of else F.col("row").getField(c)).cast(documents.schema[c].dataType).alias(c) for c in documents.columns])
