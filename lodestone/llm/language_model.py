@@ -31,7 +31,7 @@ VOCABULARY, END = UNITS - ENDINGS - 1, UNITS - 1
 MIN_COUNT = 3
 FREQUENT = 200_000
 GROUP_TOKENS = 1 << 22
-NOISE, BATCH, EPOCHS, RATE = 24, 8192, 2, 0.1
+NOISE, BATCH, EPOCHS, RATE = 24, 16384, 1, 0.1
 #: Preceding units that a unit's class is chosen by; all others are one.
 NEIGHBOURS = 64
 SEED = 5
@@ -61,7 +61,7 @@ def classes_of(after: np.ndarray) -> np.ndarray:
 
 def row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(the different rows, the sums of their values)."""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows.astype(np.int16), kind="stable")  # units fit, and so narrow numbers are sorted by digits
     sorted_ = rows[order]
     start = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
     return sorted_[start], np.add.reduceat(values[order], start, axis=0)
@@ -78,11 +78,11 @@ class LogBilinear:
         self.unigram, self.cls = unigram / unigram.sum(), cls
         self.of_class = np.argsort(cls, kind="stable").reshape(CLASSES, MEMBERS)
         self.class_unigram = self.unigram[self.of_class].sum(axis=1)
-        self.r, self.q = (rng.normal(0, 0.1, (UNITS, WIDTH)) for _ in range(2))
-        self.a = rng.normal(0, 0.1, (CLASSES, WIDTH))
-        self.c1, self.c2 = (np.eye(WIDTH) * 0.5 for _ in range(2))
-        self.d = np.log(self.class_unigram)
-        self.b = np.log(self.unigram / self.class_unigram[cls])
+        self.r, self.q = (rng.normal(0, 0.1, (UNITS, WIDTH)).astype(np.float32) for _ in range(2))
+        self.a = rng.normal(0, 0.1, (CLASSES, WIDTH)).astype(np.float32)
+        self.c1, self.c2 = (np.eye(WIDTH, dtype=np.float32) * np.float32(0.5) for _ in range(2))
+        self.d = np.log(self.class_unigram).astype(np.float32)
+        self.b = np.log(self.unigram / self.class_unigram[cls]).astype(np.float32)
 
     def contexts(self, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
         return self.r[w1] @ self.c1 + self.r[w2] @ self.c2
@@ -100,21 +100,22 @@ class LogBilinear:
         """Adagrad; rows: those that the gradient has."""
         square = self.squares[name]
         square[rows] += gradient * gradient
-        getattr(self, name)[rows] += RATE * gradient / np.sqrt(square[rows])
+        getattr(self, name)[rows] += np.float32(RATE) * gradient / np.sqrt(square[rows])
 
     def train(self, w2, w1, w0, weight, rng) -> None:
         """One pass of Adagrad over trigrams (w2, w1, w0) that occur weight times. Classes are told from NOISE classes,
         units from NOISE units of their class, drawn for each batch by how often they occur."""
-        self.__dict__.setdefault("squares", {n: np.full(getattr(self, n).shape, 1e-6) for n in self.NAMES})
+        self.__dict__.setdefault("squares", {n: np.full(getattr(self, n).shape, 1e-6, np.float32) for n in self.NAMES})
         order = rng.permutation(len(w0))
         for lo in range(0, len(order), BATCH):
             at = order[lo : lo + BATCH]
-            at = at[np.argsort(self.cls[w0[at]], kind="stable")]
+            at = at[np.argsort(self.cls[w0[at]].astype(np.int16), kind="stable")]
             x1, x2, y, c = w1[at], w2[at], w0[at], self.cls[w0[at]]
-            share = weight[at] / weight[at].sum()
+            share = (weight[at] / weight[at].sum()).astype(np.float32)
             h = self.contexts(x1, x2)
             noise = rng.choice(CLASSES, NOISE, p=self.class_unigram)
-            log_p = np.log(NOISE * self.class_unigram)
+            log_p = np.log(NOISE * self.class_unigram).astype(np.float32)
+            log_own = np.log(NOISE * self.unigram / self.class_unigram[self.cls]).astype(np.float32)
             g_h, g_v, g_b, n_v, n_b = self.nce(h, share, self.a[c], self.d[c], self.a[noise], self.d[noise], log_p[c], log_p[noise])
             a_rows, a_sums = row_sums(np.concatenate([c, noise]), np.concatenate([np.column_stack([g_v, g_b]), np.column_stack([n_v, n_b])]))
             cut = np.searchsorted(c, np.arange(CLASSES + 1))
@@ -124,8 +125,7 @@ class LogBilinear:
                 s, members = slice(cut[k], cut[k + 1]), self.of_class[k]
                 p = self.unigram[members] / self.class_unigram[k]
                 noise = members[np.minimum(np.searchsorted(np.cumsum(p), draws[k]), MEMBERS - 1)]
-                log_real, log_noise = (np.log(NOISE * self.unigram[u] / self.class_unigram[k]) for u in (y[s], noise))
-                g, v, b, v2, b2 = self.nce(h[s], share[s], self.q[y[s]], self.b[y[s]], self.q[noise], self.b[noise], log_real, log_noise)
+                g, v, b, v2, b2 = self.nce(h[s], share[s], self.q[y[s]], self.b[y[s]], self.q[noise], self.b[noise], log_own[y[s]], log_own[noise])
                 g_h[s] += g
                 rows += [y[s], noise]
                 sums += [np.column_stack([v, b]), np.column_stack([v2, b2])]
@@ -168,7 +168,7 @@ class LogBilinear:
         return np.concatenate([units, classes, np.concatenate([self.c1, self.c2, np.zeros((WIDTH, 1))], axis=1)])
 
     def set_rows(self, rows: np.ndarray) -> None:
-        units, classes, c = np.split(rows, [UNITS, UNITS + CLASSES])
+        units, classes, c = np.split(rows.astype(np.float32), [UNITS, UNITS + CLASSES])
         self.r, self.q, self.b = units[:, :WIDTH], units[:, WIDTH:-1], units[:, -1]
         self.a, self.d = classes[:, WIDTH:-1], classes[:, -1]
         self.c1, self.c2 = c[:, :WIDTH], c[:, WIDTH:-1]
@@ -326,11 +326,11 @@ def train(packed: DataFrame, unigram: np.ndarray, cls: np.ndarray) -> LogBilinea
         uses = sum(np.bincount(w, count, UNITS) for w in (w2, w1, w0))
         n = np.concatenate([uses, np.full(CLASSES + WIDTH, count.sum())]).astype(np.int64)
         k = np.flatnonzero(n)
-        values = np.round(model.rows()[k] * FINE).astype(np.int64) * n[k, None]
+        values = np.round(model.rows()[k].astype(float) * FINE).astype(np.int64) * n[k, None]
         return {"k": k.astype(np.int32), "n": n[k], "v": list(values)}
 
     model = LogBilinear(unigram, cls)
-    start = model.rows()
+    start = model.rows().astype(float)
     k, n, v = summed(map_groups(packed, ["g"], run, "k int, n long, v array<long>"), start.shape[1])
     start[k] = v / FINE / n[:, None]
     model.set_rows(start)
