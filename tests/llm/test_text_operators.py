@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -193,7 +194,7 @@ def brute_cut(rows, window=13):
 
 @pytest.mark.parametrize("segments", [4000, 2])
 def test_substring_dedup(documents, rows, nothing, monkeypatch, segments):
-    monkeypatch.setattr(substring_dedup, "SEGMENTS", segments)  # 2: nearly all anchors go the way of busy ones
+    monkeypatch.setattr(substring_dedup, "SEGMENTS", segments)  # 2: nearly all anchors are split again and again
     want = brute_cut(rows)
     assert sum(r[2] for r in want) > 500
     assert collected(substring_dedup.remove_repeats(documents)) == [r[:4] for r in want]
@@ -518,6 +519,29 @@ def test_terms_that_disclose_an_entity_of_one_text(spark):
     assert clean == {i: t for i, t in rows if i != 5000}
 
 
+def test_very_many_matches_in_one_text(spark):
+    n = 12_000
+    text = " ".join(f"u{i}@a{i}.example 10.0.{i % 256}.{i % 255}" for i in range(n))
+    docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in pii.counts(docs).collect()}
+    assert (got[1]["n_email"], got[1]["n_ip"]) == (n, n)
+    assert got[1]["base_sha256"] == hashlib.sha256(plain_spans(text).encode()).hexdigest()
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert clean[1] == " ".join(["[EMAIL] [IP]"] * n) and clean[2] == "short"
+    assert time.perf_counter() - began < 120
+
+
+def test_overlapping_spans_and_terms(spark):
+    text = "+49 30 1.2.3.45678 abc, +1 2345678901abc"
+    rows = [(1, text)] + [(10 + i, f"row {i} of plain text with words") for i in range(1100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.counts(docs).collect()}[1]
+    spans = [x.split(":") for x in got["spans"].split(",")]
+    assert ",".join(":".join(x) for x in spans if x[0] != "term") == plain_spans(text)
+    assert [text[int(a) : int(b)] for k, a, b in spans if k == "term"] == ["abc", "abc"]
+
+
 def test_sanitise_keeps_rows_and_columns(documents, rows):
     out = pii.sanitise(documents)
     assert out.schema == documents.schema and out.count() == len(rows)
@@ -591,6 +615,19 @@ def test_packing_places_every_word_once(documents, rows, nothing):
             end += r["n_words"]
         assert {r["bin_capacity"] for r in content} == {min(c for c in (64, 128, 512) if c >= end)}
     assert packing.pack_documents(nothing).count() == 0
+    again = packing.pack_documents(documents.repartition(1), capacities=(64, 128, 512), group=20).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, got))
+    # each group on its own, by the packer whose rule is tested above
+    groups = collections.defaultdict(list)
+    for r in got:
+        if r["n_words"]:
+            groups[r["bin_id"] >> 32].append(r)
+    for content in groups.values():
+        content.sort(key=lambda r: -r["n_words"])
+        sizes = packing.Packer((64, 128, 512)).pack([r["n_words"] for r in content])[2]
+        assert sorted(sizes) == sorted({r["bin_id"]: r["bin_capacity"] for r in content}.values())
+    same_rows = documents.sparkSession.createDataFrame([(5, "a b c")] * 300, "doc_id long, text string")
+    assert len({r["bin_id"] >> 32 for r in packing.pack_documents(same_rows, group=20).collect()}) > 5
 
 
 # Mixing

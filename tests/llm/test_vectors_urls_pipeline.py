@@ -142,12 +142,13 @@ def test_url_rules(spark, monkeypatch):
     path = lambda: "".join("/" + rnd.choice(["es", "en", "1", "", "fr"]) for _ in range(rnd.randint(0, 3)))
     urls = [f"http://{host()}{path()}{rnd.choice(['', '?q=/es/', '#x', '/'])}" for _ in range(1500)]
     urls += [None, "", "no scheme", "http://", "://org/", "http://ORG/ES/", "ftp://a://b/c", "http://example.org?x", "http://a.org./es/", urls[0], urls[0]]
+    urls += ["http://com\x01x/fr/", "http://x\x01com/fr/", "http://x.com\x01/fr/", "http://a.b/fr/"]
     pages = spark.createDataFrame([(None if i == 9 else i, u, "clash", "r") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string").repartition(7)
     many = [(host(), path() or "/", rnd.choice(["allow", "block"])) for _ in range(120)]
     chosen = {}
     for h, p, v in many:
         chosen[h, p] = "block" if chosen.get((h, p)) == "block" else v
-    many = [(h, p, v) for (h, p), v in chosen.items()]
+    many = [(h, p, v) for (h, p), v in chosen.items()] + [("b/a", "/fr/", "block")]
     for rules in (url_rules.RULES, many, []):
         want = sorted(((None if i == 9 else i, *brute_url(u, rules)) for i, u in enumerate(urls)), key=repr)
         assert sorted((tuple(r) for r in url_rules.filter_urls(pages, rules).collect()), key=repr) == want
