@@ -2,26 +2,32 @@
 
 Every language has probabilities for the pieces of a fixed public vocabulary. The score of a word is the sum over all
 its segmentations into pieces, made by the forward algorithm over its bytes for all words of one length and all
-languages at once; a text's score is the product over its words. The probabilities are fitted by expectation
-maximisation (forward-backward) on a bounded sample of labelled documents.
+languages at once; a text's score is the product over its words. A run of letters over WORD_BYTES long goes through
+the algorithm in blocks: what a block does to the forward state (the sums at the last positions before a cut) is a
+matrix, made for all blocks at once and then applied one after the other, so that pieces across the cuts count too. The
+probabilities are fitted by expectation maximisation (forward-backward) on the words of a bounded sample of labelled
+documents; there alone a long run is cut into words, where a character starts.
+
+Every language of the training documents is learned, AT_ONCE of them in one pass over the documents.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U, mix, powers, prefix_hash, span_hash, string_buffers, table, uniform
+from .common import U, mix, powers, prefix_hash, span_hash, string_buffers, table
 from .quality_rules import NO_LETTER
 
-#: Documents for each language, about, that the probabilities are fitted on; languages, the most frequent first.
-SAMPLE, LANGUAGES = 400, 50
+#: Different texts for each language that the probabilities are fitted on, shorter than LONG characters where there are
+#: enough of them.
+SAMPLE, LONG = 400, 20_000
+AT_ONCE = 24
 ROUNDS = 3
-PIECE_BYTES = 10
-#: A longer run of letters is scored as several words of this many bytes.
-WORD_BYTES = 48
+#: A longer run of letters is scored in blocks, of BLOCK_BYTES each but the first.
+WORD_BYTES, BLOCK_BYTES = 64, 32
 SMOOTH = 0.05
 BYTE_FLOOR = 1e-7
 CACHE = 300_000
@@ -40,7 +46,7 @@ def vocabulary(path: str | None = None) -> list[bytes]:
     for i in range(model.get_piece_size()):
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
             raw = model.id_to_piece(i).lower().replace("▁", " ").encode()
-            if 0 < len(raw) <= PIECE_BYTES and b" " not in raw[1:]:
+            if raw and b" " not in raw[1:]:
                 pieces.add(raw)
     return sorted(pieces)
 
@@ -55,7 +61,7 @@ def fold(data: np.ndarray) -> np.ndarray:
 
 
 def letter_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of the runs of letters in consecutive texts, none over WORD_BYTES long."""
+    """Start and end of the runs of letters in consecutive texts."""
     inside = ~NO_LETTER[data]
     starts, ends = inside.copy(), inside.copy()
     starts[1:] &= ~inside[:-1]
@@ -64,14 +70,19 @@ def letter_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     starts[edge] = inside[edge]
     edge = offsets[offsets > 0] - 1
     ends[edge] = inside[edge]
-    start, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    parts = -(-(end - start) // WORD_BYTES)
-    if len(parts) and parts.max() > 1:
-        of = np.repeat(np.arange(len(start)), parts)
-        nth = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
-        start = start[of] + nth * WORD_BYTES
-        end = np.minimum(start + WORD_BYTES, end[of])
-    return start, end
+    return np.flatnonzero(starts), np.flatnonzero(ends) + 1
+
+
+def cut_run(raw: bytes) -> list[bytes]:
+    """Parts of raw of about WORD_BYTES, each from the start of a character."""
+    out, low = [], 0
+    while low < len(raw):
+        high = min(len(raw), low + WORD_BYTES)
+        while low + WORD_BYTES // 2 < high < len(raw) and raw[high] & 0xC0 == 0x80:
+            high -= 1
+        out.append(raw[low:high])
+        low = high
+    return out
 
 
 class Pieces:
@@ -83,6 +94,8 @@ class Pieces:
         h = span_hash(prefix_hash(flat), off[:-1], off[1:])
         order = np.argsort(h)
         self.hash, self.id, self.n = h[order], order, len(pieces)
+        self.sizes = sorted({len(p) for p in pieces} | {1})
+        self.longest = self.sizes[-1]
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[h >> U(44)] = True
 
@@ -93,7 +106,9 @@ class Pieces:
         up, down = (p[:size] for p in powers(size + 1))
         np.cumsum((words.astype(U) + U(1)) * up, axis=1, out=prefix[:, 1:])
         for i in range(size):
-            for n in range(1, min(PIECE_BYTES, size - i) + 1):
+            for n in self.sizes:
+                if n > size - i:
+                    break
                 h = mix((prefix[:, i + n] - prefix[:, i]) * down[i])
                 rows = np.flatnonzero(self.maybe[h >> U(44)])
                 at = np.minimum(np.searchsorted(self.hash, h[rows]), self.n - 1)
@@ -119,7 +134,7 @@ class Pieces:
                 last = i
                 if i % 6 == 0:
                     s = alpha[i].copy()
-                    alpha[i : i + PIECE_BYTES] /= s
+                    alpha[i : i + self.longest] /= s
                     log += np.log(s)
                     scales.append((i, s))
             alpha[i + n][rows] += alpha[i][rows] * prob[ids]
@@ -129,7 +144,7 @@ class Pieces:
         """Expected uses of each piece, by language, in words that occur weight times."""
         k, size = shape
         alpha, _, scales = self.forward(found, shape, prob)
-        # alpha[j] holds the scales up to j - PIECE_BYTES + 1 at least; beta is scaled so that alpha * beta / z holds at each use
+        # alpha[j] holds the scales up to j - longest + 1 at least; beta is scaled so that alpha * beta / z holds at each use
         beta = np.zeros_like(alpha)
         beta[size] = 1
         out = np.zeros_like(prob)
@@ -145,13 +160,43 @@ class Pieces:
         return out
 
 
+    def log_total(self, word: np.ndarray, prob: np.ndarray) -> np.ndarray:
+        """Logarithm of the sum over all segmentations of one long word, by blocks."""
+        state, size, languages = self.longest, len(word), prob.shape[1]
+        head = size % BLOCK_BYTES + BLOCK_BYTES * (1 + state // BLOCK_BYTES)
+        if head >= size:
+            return self.forward(self.find(word[None, :]), (1, size), prob)[1][0]
+        alpha, log, scales = self.forward(self.find(word[None, :head]), (1, head), prob)
+        log = (log - np.log(alpha[head]))[0]
+        for at, s in scales:
+            alpha[:at] /= s
+        vector = alpha[head - state + 1 : head + 1, 0]
+        cuts = np.arange(head, size, BLOCK_BYTES)
+        for lo in range(0, len(cuts), 256):
+            # each block sees the bytes that a piece across its cut may begin with
+            first = cuts[lo : lo + 256] - state + 1
+            blocks = word[first[:, None] + np.arange(state - 1 + BLOCK_BYTES)]
+            sums = np.zeros((state + BLOCK_BYTES, len(first), state, languages))
+            sums[np.arange(state), :, np.arange(state)] = 1
+            for i, n, rows, ids in self.find(blocks):
+                if i + n >= state:
+                    sums[i + n][rows] += sums[i][rows] * prob[ids][:, None, :]
+            for k in range(len(first)):
+                vector = np.einsum("jsl,sl->jl", sums[BLOCK_BYTES:, k], vector)
+                top = vector.max(axis=0)
+                log += np.log(top)
+                vector = vector / top
+        return log + np.log(vector[-1])
+
+
 def by_length(data: np.ndarray, start: np.ndarray, end: np.ndarray):
     """(indices, matrix of bytes, a space first) of the words of each length."""
     size = end - start
     for n in np.unique(size):
         at = np.flatnonzero(size == n)
-        for lo in range(0, len(at), 20_000):
-            part = at[lo : lo + 20_000]
+        few = max(1, 1_000_000 // int(n + 1))
+        for lo in range(0, len(at), few):
+            part = at[lo : lo + few]
             yield part, np.concatenate([np.full((len(part), 1), 32, np.uint8), data[start[part][:, None] + np.arange(n)]], axis=1)
 
 
@@ -171,10 +216,28 @@ class Model:
         """Log-probability of each word under each language."""
         self.index = self.index or Pieces(self.pieces)
         out = np.zeros((len(start), len(self.languages)))
-        for at, words in by_length(data, start, end):
-            out[at] = self.index.forward(self.index.find(words), words.shape, self.prob)[1]
+        long = end - start > WORD_BYTES
+        for i in np.flatnonzero(long).tolist():
+            out[i] = self.index.log_total(np.concatenate([[np.uint8(32)], data[start[i] : end[i]]]), self.prob)
+        short = np.flatnonzero(~long)
+        for at, words in by_length(data, start[short], end[short]):
+            out[short[at]] = self.index.forward(self.index.find(words), words.shape, self.prob)[1]
         return out
 
+    def of_texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the texts that have letters, their log-probabilities under each language)."""
+        data = fold(data)
+        start, end = letter_runs(data, offsets)
+        first = np.searchsorted(start, offsets)
+        word = self.of_words(span_hash(prefix_hash(data), start, end), data, start, end)
+        good = np.flatnonzero(np.diff(first) > 0)
+        ascii_letter = np.concatenate([[0], np.cumsum((data >= 97) & (data <= 122))])
+        for i in good[ascii_letter[offsets[good + 1]] == ascii_letter[offsets[good]]].tolist():
+            if not any(c.isalpha() for c in data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")):
+                good = good[good != i]
+        # each text is summed by itself, so that its score does not depend on its neighbours
+        return good, np.array([word[first[i] : first[i + 1]].sum(axis=0) for i in good.tolist()]).reshape(len(good), len(self.languages))
+
     def of_words(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """scores, of which those of up to CACHE words are remembered."""
         values, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
@@ -193,16 +256,13 @@ class Model:
         return out[inverse]
 
 
-def fit(sample: list[tuple[str, str]], pieces: list[bytes], languages: list[str]) -> Model:
-    """EM on (language, text) rows from equal probabilities."""
+def fit(counted: list[tuple[str, bytes, int]], pieces: list[bytes], languages: list[str]) -> Model:
+    """EM on (language, word, count) rows from equal probabilities."""
     index = Pieces(pieces)
     number = {g: i for i, g in enumerate(languages)}
     counts: dict[bytes, np.ndarray] = {}
-    for g, text in sample:
-        data = fold(np.frombuffer(text.encode(), np.uint8))
-        raw = data.tobytes()
-        for a, b in zip(*(x.tolist() for x in letter_runs(data, np.array([0, len(data)]))), strict=True):
-            counts.setdefault(raw[a:b], np.zeros(len(languages)))[number[g]] += 1
+    for g, word, n in counted:
+        counts.setdefault(bytes(word), np.zeros(len(languages)))[number[g]] += n
     words = sorted(counts)
     weight = np.stack([counts[w] for w in words]) if words else np.zeros((0, len(languages)))
     data = np.frombuffer(b"".join(words), np.uint8)
@@ -218,17 +278,35 @@ def fit(sample: list[tuple[str, str]], pieces: list[bytes], languages: list[str]
     return Model(pieces, languages, prob)
 
 
-def training_sample(documents: DataFrame) -> tuple[list[tuple[str, str]], list[str]]:
-    """About SAMPLE documents of each of the LANGUAGES most frequent languages, chosen by a hash of the id."""
-    rows = documents.where("not held_out and lang is not null and text is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in sizes)
-    if not languages:
-        return [], []
-    share = {r["lang"]: SAMPLE / r["count"] for r in sizes}
-    chance = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])[F.col("lang")]
-    picked = rows.where(uniform("language", "id") < chance).select("lang", "text").limit(2 * SAMPLE * len(languages))
-    return [(r["lang"], r["text"]) for r in picked.toLocalIterator()], languages
+def words_of(lang: list[str], texts: pa.Array) -> list[tuple[str, bytes, int]]:
+    counts: dict[tuple[str, bytes], int] = {}
+    offsets, data = string_buffers(texts)
+    for i, g in enumerate(lang):
+        part = fold(data[offsets[i] : offsets[i + 1]])
+        raw = part.tobytes()
+        for a, b in zip(*(x.tolist() for x in letter_runs(part, np.array([0, len(part)]))), strict=True):
+            for word in cut_run(raw[a:b]):
+                counts[g, word] = counts.get((g, word), 0) + 1
+    return [(g, w, n) for (g, w), n in counts.items()]
+
+
+def training_sample(rows: DataFrame, languages: list[str]) -> list[tuple[str, bytes, int]]:
+    """(language, word, count) of SAMPLE different texts of each language, those of the least hashes, short ones first."""
+    of = rows.where(F.col("lang").isin(languages))
+    order = [F.length("text") >= LONG, F.xxhash64("text"), F.xxhash64(F.lit(1), "text")]
+    # copies of a text have one rank, so the first SAMPLE ranks are different texts; tasks keep only those before the shuffle
+    ranked = of.select("lang", F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)]).alias("o"), "text").withColumn("rank", F.dense_rank().over(Window.partitionBy("lang").orderBy("o")))
+    few = ranked.where(F.col("rank") <= SAMPLE).groupBy("lang", "o").agg(F.any_value("text").alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            found = words_of(batch.column("lang").to_pylist(), batch.column("text"))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.binary(), pa.int64()), strict=True)], names=["lang", "word", "n"])
+
+    counted = few.select("lang", "text").mapInArrow(run, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    found = counted.toArrow()
+    return sorted(zip(*(found.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True))
 
 
 def identify(documents: DataFrame, id_col: str = "doc_id", vocabulary_path: str | None = None) -> DataFrame:
@@ -238,43 +316,46 @@ def identify(documents: DataFrame, id_col: str = "doc_id", vocabulary_path: str
     prediction sees the text alone: A-Z and Latin-1 capitals in lower case, runs of letters as words, of any length and
     number. lang_pred is the likeliest learned language and score its posterior probability under equal priors; a null
     text or one without letters, and any text where no language was learned, is ``und`` with score 0. Ties go to the
-    first language by code point. Repeated rows are kept; other columns are left out; an empty table gives no rows.
+    first language by code point. The public vocabulary comes from the package public_tokenizers, or from vocabulary_path. Repeated rows are kept; other columns are left out; an empty table gives no rows.
     """
     kind = documents.select(id_col).dtypes[0][1]
     held = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
     rows = documents.select(F.col(id_col).alias("id"), F.col("text").alias("text"), F.col("lang").cast("string").alias("lang"), held.alias("held_out"))
-    sample, languages = training_sample(rows)
-    model = documents.sparkSession.sparkContext.broadcast(fit(sample, vocabulary(vocabulary_path), languages) if languages else None)
-
-    def run(batches):
-        m = model.value
-        for batch in batches:
-            n = batch.num_rows
-            pred, score = np.full(n, "und", object), np.zeros(n)
-            offsets, data = string_buffers(batch.column("text"))
-            low = 0
-            while low < n and m is not None:
-                high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + (1 << 20), "right")) - 1)
-                part, off = fold(data[offsets[low] : offsets[high]]), offsets[low : high + 1] - offsets[low]
-                start, end = letter_runs(part, off)
-                first = np.searchsorted(start, off)
-                word = m.of_words(span_hash(prefix_hash(part), start, end), part, start, end)
-                sums = np.concatenate([np.zeros((1, len(m.languages))), np.cumsum(word, axis=0)])
-                total = sums[first[1:]] - sums[first[:-1]]
-                best = total.argmax(axis=1)
-                top = total[np.arange(high - low), best]
-                good = np.flatnonzero(np.diff(first) > 0)
-                ascii_letter = np.concatenate([[0], np.cumsum((part >= 97) & (part <= 122))])
-                for i in good[ascii_letter[off[good + 1]] == ascii_letter[off[good]]].tolist():
-                    if not any(c.isalpha() for c in part[off[i] : off[i + 1]].tobytes().decode("utf-8", "replace")):
-                        good = good[good != i]
-                pred[low + good] = np.array(m.languages, object)[best[good]]
-                score[low + good] = 1 / np.exp(total[good] - top[good, None]).sum(axis=1)
-                low = high
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(pred, pa.string()), pa.array(score)], names=["id", "held_out", "lang_pred", "score"])
-
-    out = rows.select("id", "text", "held_out").mapInArrow(run, f"id {kind}, held_out boolean, lang_pred string, score double")
-    return out.withColumnRenamed("id", id_col)
+    train = rows.where("not held_out and lang is not null and text is not null")
+    languages = sorted(r["lang"] for r in train.select("lang").distinct().collect())
+    pieces = vocabulary(vocabulary_path)
+    out = rows.select("id", "text", "held_out", F.lit(None).cast("string").alias("lang_pred"), F.lit(None).cast("double").alias("best"), F.lit(0.0).alias("more"))
+    # best: the log-probability of lang_pred; more: the sum of all languages' probabilities over that
+    schema = f"id {kind}, text string, held_out boolean, lang_pred string, best double, more double"
+    for k in range(0, len(languages), AT_ONCE):
+        some = languages[k : k + AT_ONCE]
+        model = documents.sparkSession.sparkContext.broadcast(fit(training_sample(train, some), pieces, some))
+        last = k + AT_ONCE >= len(languages)
+
+        def run(batches, model=model, last=last):
+            m = model.value
+            for batch in batches:
+                n = batch.num_rows
+                names, best, more = batch.column("lang_pred").to_pylist(), batch.column("best").to_numpy(zero_copy_only=False).copy(), batch.column("more").to_numpy(zero_copy_only=False).copy()
+                best[np.isnan(best)] = -np.inf
+                offsets, data = string_buffers(batch.column("text"))
+                low = 0
+                while low < n:
+                    high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + (1 << 20), "right")) - 1)
+                    good, total = m.of_texts(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+                    for i, row in zip((low + good).tolist(), total, strict=True):
+                        j = int(row.argmax())
+                        top = max(best[i], row[j])
+                        more[i] = np.exp(row - top).sum() + (more[i] * np.exp(best[i] - top) if names[i] else 0.0)
+                        if row[j] > best[i]:  # of equal ones the first language stays
+                            names[i] = m.languages[j]
+                        best[i] = top
+                    low = high
+                texts = pa.nulls(n, pa.string()) if last else batch.column("text")
+                yield pa.RecordBatch.from_arrays([batch.column("id"), texts, batch.column("held_out"), pa.array(names, pa.string()), pa.array(best, mask=np.isinf(best)), pa.array(more)], names=["id", "text", "held_out", "lang_pred", "best", "more"])
+
+        out = out.mapInArrow(run, schema)
+    return out.select(F.col("id").alias(id_col), "held_out", F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), F.when(F.col("lang_pred").isNotNull(), 1 / F.col("more")).otherwise(0.0).alias("score"))
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
