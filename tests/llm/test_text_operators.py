@@ -436,12 +436,43 @@ def test_forward_algorithm_sums_all_segmentations():
         assert np.allclose(index.expected(found, matrix.shape, prob, np.ones((1, 2))), uses / total)
 
 
-def test_language_id_on_held_out_documents(spark, nothing):
+def test_long_words_are_scored_across_all_cuts():
+    import numpy as np
+
+    rnd = random.Random(9)
+    pieces = sorted({bytes(rnd.choices(b"abc", k=rnd.randint(1, 12))) for _ in range(200)} | {b" a"})
+    index = language_id.Pieces(pieces)
+    prob = np.random.default_rng(1).random((len(pieces) + 256, 3)) * 0.01
+    where = {p: k for k, p in enumerate(pieces)}
+    for size in (60, 97, 128, 700, 9001):
+        word = bytes([32]) + bytes(rnd.choices(b"abcd", k=size))
+        total, log = [np.ones(3)] + [np.zeros(3)] * len(word), np.zeros(3)
+        for i in range(len(word)):
+            top = total[i]
+            log += np.log(top)
+            total[i : i + 13] = [x / top for x in total[i : i + 13]]
+            for n in range(1, min(12, len(word) - i) + 1):
+                k = where.get(word[i : i + n], len(pieces) + word[i] if n == 1 else None)
+                if k is not None:
+                    total[i + n] = total[i + n] + total[i] * prob[k]
+        assert np.allclose(index.log_total(np.frombuffer(word, np.uint8), prob), log + np.log(total[len(word)]))
+    assert b"".join(language_id.cut_run("äö".encode() * 100)) == "äö".encode() * 100
+    assert all(part.decode() for part in language_id.cut_run("äöx".encode() * 100))
+
+
+@pytest.mark.parametrize("at_once", [24, 1])
+def test_language_id_on_held_out_documents(spark, nothing, monkeypatch, at_once):
+    monkeypatch.setattr(language_id, "AT_ONCE", at_once)  # 1: a pass for each language
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.98 * len(rows) > 100
     assert all(0 <= r["score"] <= 1 for r in rows)
     assert language_id.identify(nothing).count() == 0
+    kept = _predictions.setdefault("rows", {r["doc_id"]: (r["lang_pred"], r["score"]) for r in rows})
+    assert all(r["lang_pred"] == kept[r["doc_id"]][0] and r["score"] == pytest.approx(kept[r["doc_id"]][1]) for r in rows)
+
+
+_predictions: dict = {}
 
 
 def test_language_id_edges(documents, rows):
