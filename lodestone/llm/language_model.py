@@ -24,14 +24,14 @@ from pyspark.sql import functions as F
 
 from .common import U, discard, map_groups, materialise, mix, table, text_chunks
 
-CLASSES, MEMBERS, WIDTH = 128, 128, 24
+CLASSES, MEMBERS, WIDTH = 128, 128, 16
 UNITS = CLASSES * MEMBERS
 ENDINGS = 1023
 VOCABULARY, END = UNITS - ENDINGS - 1, UNITS - 1
 MIN_COUNT = 3
 FREQUENT = 200_000
 GROUP_TOKENS = 1 << 22
-NOISE, BATCH, EPOCHS, RATE = 24, 16384, 1, 0.1
+NOISE, BATCH, EPOCHS, RATE = 16, 16384, 1, 0.1
 #: Preceding units that a unit's class is chosen by; all others are one.
 NEIGHBOURS = 64
 SEED = 5
@@ -107,15 +107,16 @@ class LogBilinear:
         units from NOISE units of their class, drawn for each batch by how often they occur."""
         self.__dict__.setdefault("squares", {n: np.full(getattr(self, n).shape, 1e-6, np.float32) for n in self.NAMES})
         order = rng.permutation(len(w0))
-        for lo in range(0, len(order), BATCH):
-            at = order[lo : lo + BATCH]
+        log_p = np.log(NOISE * self.class_unigram).astype(np.float32)
+        log_own = np.log(NOISE * self.unigram / self.class_unigram[self.cls]).astype(np.float32)
+        size = min(BATCH, max(512, len(order) // 100))  # few trigrams take smaller steps
+        for lo in range(0, len(order), size):
+            at = order[lo : lo + size]
             at = at[np.argsort(self.cls[w0[at]].astype(np.int16), kind="stable")]
             x1, x2, y, c = w1[at], w2[at], w0[at], self.cls[w0[at]]
             share = (weight[at] / weight[at].sum()).astype(np.float32)
             h = self.contexts(x1, x2)
             noise = rng.choice(CLASSES, NOISE, p=self.class_unigram)
-            log_p = np.log(NOISE * self.class_unigram).astype(np.float32)
-            log_own = np.log(NOISE * self.unigram / self.class_unigram[self.cls]).astype(np.float32)
             g_h, g_v, g_b, n_v, n_b = self.nce(h, share, self.a[c], self.d[c], self.a[noise], self.d[noise], log_p[c], log_p[noise])
             a_rows, a_sums = row_sums(np.concatenate([c, noise]), np.concatenate([np.column_stack([g_v, g_b]), np.column_stack([n_v, n_b])]))
             cut = np.searchsorted(c, np.arange(CLASSES + 1))
@@ -151,13 +152,15 @@ class LogBilinear:
             h, y = p1[w1[at]] + p2[w2[at]], w0[at]
             c = self.cls[y]
             scores = h @ single["a"].T + single["d"]
-            value = scores[np.arange(len(at)), c] - log_sums(scores)
+            value = scores[np.arange(len(at)), c]
+            value -= log_sums(scores)
             cut = np.searchsorted(c, np.arange(CLASSES + 1))
             for k in np.unique(c).tolist():
                 s, members = slice(cut[k], cut[k + 1]), self.of_class[k]
                 scores = h[s] @ single["q"][members].T + single["b"][members]
                 place = np.searchsorted(members, y[s])
-                value[s] += scores[np.arange(len(place)), place] - log_sums(scores)
+                value[s] += scores[np.arange(len(place)), place]
+                value[s] -= log_sums(scores)
             out[at] = value
         return out
 
@@ -175,16 +178,23 @@ class LogBilinear:
 
 
 def log_sums(scores: np.ndarray) -> np.ndarray:
-    top = scores.max(axis=1)
-    return top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
-
-
-def endings(w) -> np.ndarray:
-    """The group of each word by its last letters: three bytes, less where it is shorter."""
-    key = np.zeros(len(w.start), U)
+    """log of the sum of exponentials of each row; scores are overwritten."""
+    top = scores.max()
+    if top > 60 or scores.min() < -60:
+        top = scores.max(axis=1)
+        scores -= top[:, None]
+    else:
+        top = 0
+    return top + np.log(np.exp(scores, out=scores).sum(axis=1))
+
+
+def endings(w, of=slice(None)) -> np.ndarray:
+    """The group of some words by their last letters: three bytes, less where a word is shorter."""
+    start, end = w.start[of], w.end[of]
+    key = np.zeros(len(start), U)
     for back in (3, 2, 1):
-        at = w.end - back
-        key = key * U(257) + np.where(at >= w.start, w.data[np.maximum(at, 0)].astype(U) + U(1), U(0))
+        at = end - back
+        key = key * U(257) + np.where(at >= start, w.data[np.maximum(at, 0)].astype(U) + U(1), U(0))
     return (mix(key) % U(ENDINGS)).astype(np.int64)
 
 
@@ -193,10 +203,14 @@ def training_counts(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            parts = [(w.hash, endings(w)) for _, _, w in text_chunks(batch.column("text"), lower=True)]
+            parts = []
+            for _, _, w in text_chunks(batch.column("text"), lower=True):
+                h, first, c = np.unique(w.hash, return_index=True, return_counts=True)
+                parts.append((h, c, endings(w, first)))
             if parts:
-                hashes, groups = (np.concatenate(x) for x in zip(*parts, strict=True))
-                h, first, c = np.unique(hashes, return_index=True, return_counts=True)
+                hashes, times, groups = (np.concatenate(x) for x in zip(*parts, strict=True))
+                h, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+                c = np.bincount(back, times, len(h)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(c), pa.array(groups[first].astype(np.int32))], names=["h", "c", "e"])
 
     counted = rows.where("not held_out").select("text").mapInArrow(run, "h long, c long, e int")
@@ -217,7 +231,7 @@ class Words:
     def find(self, w) -> tuple[np.ndarray, np.ndarray]:
         """(unit, count) of each word; count -1 where it is not among the frequent ones."""
         values, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-        group = VOCABULARY + endings(w)[first]
+        group = VOCABULARY + endings(w, first)
         if not len(self.h):
             return group[inverse], np.full(len(w.hash), -1.0)
         at = np.minimum(np.searchsorted(self.h, values), len(self.h) - 1)
