@@ -1,14 +1,16 @@
 """Doubles cut to their top 2, 4 or 6 bytes, as column expressions.
 
 A code is the top bytes of the IEEE-754 pattern as an unsigned integer in a BIGINT; truncation keeps these bytes and
-zero-fills the rest, so it moves towards zero and never rounds. Spark has no function from double to bits. The
-expressions here work on exponent and mantissa with powers of two, which is exact for normal and subnormal numbers, both
-zeros and infinities; they stay inside whole-stage code generation and can be used in higher-order functions.
+zero-fills the rest, so it moves towards zero and never rounds. Spark has no function from double to bits. Truncation
+rounds by adding and subtracting a multiple of the number, and steps back where that went up; the codes come from
+exponent and mantissa by powers of two. Both are exact for normal and subnormal numbers, zeros and infinities. ``cut``
+names every intermediate value in a projection of its own, so that each is computed once, inside whole-stage code
+generation; ``trunc`` is the same as one expression.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WIDTHS = (2, 4, 6, 8)
@@ -37,16 +39,55 @@ def scaled(size: Column, e: Column, bits: int) -> Column:
     return F.floor(size / two_to(e) * F.lit(float(2**bits)))
 
 
+LEAST, HUGE = 2.0**LEAST_EXPONENT, 2.0**960
+
+
+def rounded(x: Column, bits: int) -> Column:
+    """x to the nearest number of bits fraction bits; x must be normal and under HUGE."""
+    many = x * F.lit(2.0 ** (52 - bits) + 1)
+    return many - (many - x)
+
+
+def scaled_down(x: Column) -> Column:
+    return F.when(F.abs(x) >= HUGE, x * F.lit(2.0**-64)).otherwise(x)
+
+
+def stepped_back(x: Column, near: Column, bits: int) -> Column:
+    """near, or where it is beyond x, a number that rounds to the one before near."""
+    return F.when(F.abs(near) > F.abs(x), near * F.lit(1 - 1.25 * 2.0 ** -(bits + 1))).otherwise(near)
+
+
+def finished(x: Column, below: Column, bits: int) -> Column:
+    size = F.abs(x)
+    part = F.floor(size * F.lit(2.0**-LEAST_EXPONENT) * F.lit(2.0**bits)).cast("double") * F.lit(2.0**-bits) * F.lit(LEAST)
+    tiny = F.when(size == 0, x).when(x < 0, -part).otherwise(part)
+    end = rounded(below, bits)
+    return F.when(size < LEAST, tiny).when(size < HUGE, end).when(size < float("inf"), end * F.lit(2.0**64)).otherwise(x)
+
+
+def cut(rows: DataFrame, name: str, x: Column, width: int) -> DataFrame:
+    """rows with the column name, x cut to width bytes. NaN and infinities stay, zeros keep their sign."""
+    bits = mantissa_bits(width)
+    if width == 8:
+        return rows.withColumn(name, x)
+    a, b, c, d = (f"_lodestone_{k}" for k in "abcd")
+    out = rows.withColumn(a, x).withColumn(b, scaled_down(F.col(a))).withColumn(c, rounded(F.col(b), bits))
+    out = out.withColumn(d, stepped_back(F.col(b), F.col(c), bits))
+    return out.withColumn(name, finished(F.col(a), F.col(d), bits)).drop(a, b, c, d)
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once; outside of code generation."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trunc(x: Column, width: int) -> Column:
-    """x cut to width bytes. NaN and infinities stay, zeros keep their sign."""
+    """x cut to width bytes as one expression, for where there is no DataFrame to cut."""
     bits = mantissa_bits(width)
     if width == 8:
         return x
-    size = F.abs(x)
-    e = exponent_of(size)
-    cut = scaled(size, e, bits).cast("double") / F.lit(float(2**bits)) * two_to(e)
-    plain = (size > 0) & (size < F.lit(float("inf")))
-    return F.when(plain, F.when(x < 0, -cut).otherwise(cut)).otherwise(x)
+    back = lambda y: let(rounded(y, bits), lambda near: stepped_back(y, near, bits))
+    return let(x, lambda v: let(let(scaled_down(v), back), lambda below: finished(v, below, bits)))
 
 
 def encode(x: Column, width: int) -> Column:

@@ -1,10 +1,11 @@
-"""Iterating a vector to a fixpoint, by two plans with the same steps.
-
-The array plan is one query without a driver loop: the matrix is one row of arrays, the vector an array, and
-higher-order functions iterate. It runs in one task and is for matrices of at most ARRAY_VALUES entries and ARRAY_ROWS
-rows. The join plan takes any size: each step is a product by join and aggregation, written to the shared folder (which
-cuts the lineage and survives lost executors), and one sum of differences returned to the driver. Where the vector is
-too long to broadcast, the matrix is bucketed by column once, so that no step moves it for the join.
+"""Iterating a vector to a fixpoint, by two plans with the same steps, the same errors and the same metadata.
+
+The array plan runs in one task, with numpy over Arrow, and is for matrices of at most ARRAY_VALUES entries and ARRAY_ROWS
+rows, whose product takes less time than a Spark job does. The join plan takes any size: each step is a product by join
+and aggregation, written to the shared folder (which cuts the lineage and survives lost executors). The old vector
+travels with the products, so that the job that writes a step also sums the differences, and only that sum returns to the
+driver; a step's table goes when the next one is written. Where the vector is too long to broadcast, the matrix is
+bucketed by column once, so that no step moves it for the join.
 """
 
 from __future__ import annotations
@@ -13,20 +14,19 @@ import math
 import time
 import uuid
 from dataclasses import dataclass, field
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from lodestone.functions.codec import adjusted_epsilon, trunc
+from lodestone.functions.codec import adjusted_epsilon, cut
 from lodestone.operators import vector
 from lodestone.operators.matrix import SparseMatrix
-from lodestone.operators.vector import damped, norm, spmv
-from lodestone.plans.state import written
+from lodestone.operators.vector import spmv_with_old
+from lodestone.plans import local
+from lodestone.plans.state import discard, written
 
 ARRAY_ROWS, ARRAY_VALUES = 20_000, 2_000_000
 BASE_EPSILON = 10 * 2.0**-52
-VECTOR = "array<double>"
 
 
 @dataclass(frozen=True)
@@ -72,7 +72,7 @@ META = "stage int, converged boolean, iterations int, total_ns long, prep_ns lon
 
 @dataclass
 class Result:
-    """vector: (i, x). metadata: a row for each stage; the array plan knows no timings."""
+    """vector: (i, x). metadata: a row for each stage."""
 
     vector: DataFrame
     metadata: DataFrame
@@ -83,130 +83,89 @@ def fixpoint(a: SparseMatrix, initial: DataFrame, stages: list[Stage], limit: in
     did not converge. A stage that cannot normalise its first vector returns it as it is, with no iteration."""
     if a.n_rows != a.n_cols:
         raise ValueError("the matrix must be square")
+    kept = a
     if plan == "auto":
-        plan = "array" if a.n_rows <= ARRAY_ROWS and a.entries.limit(ARRAY_VALUES + 1).count() <= ARRAY_VALUES else "join"
-    return array_plan(a, initial, stages, limit) if plan == "array" else join_plan(a, initial, stages, limit)
-
-
-# The array plan: columns over one row.
-
-
-def let(value: Column, body) -> Column:
-    """body(value), with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def total(x: Column) -> Column:
-    return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-
-
-def array_norm(x: Column, p: int) -> Column:
-    if p == 1:
-        return total(F.transform(x, F.abs))
-    return F.sqrt(total(F.transform(x, lambda v: v * v)))
+        kept = a.kept()
+        plan = "array" if a.n_rows <= ARRAY_ROWS and kept.n_values() <= ARRAY_VALUES else "join"
+    result = array_plan(kept, initial, stages, limit) if plan == "array" else join_plan(kept, initial, stages, limit)
+    if kept is not a:
+        discard(kept.entries)
+    return result
 
 
-def array_normalise(x: Column, p: int, width: int) -> Column:
-    """x over its norm, null if that is zero."""
-    return let(F.struct(x.alias("x"), array_norm(x, p).alias("n")), lambda s: F.when(s["n"] != 0, F.transform(s["x"], lambda v: trunc(v / s["n"], width))))
+def checked(finite: bool) -> None:
+    if not finite:
+        raise ArithmeticError("the iteration left the finite numbers")
 
 
-def array_step(rows: Column, x: Column, stage: Stage, n: int) -> Column:
-    """The next vector, null if the product is zero in a power iteration."""
-    product = lambda r: F.aggregate(r, F.lit(0.0), lambda s, e: s + e["v"] * F.get(x, e["j"].cast("int")))
-    if stage.power:
-        return let(F.transform(rows, lambda r: trunc(product(r), stage.width)), lambda z: array_normalise(z, 2, 8))
-    new = F.transform(rows, lambda r: trunc(damped(product(r), stage.damping, n), stage.width))
-    return let(new, lambda z: array_normalise(z, 1, stage.width)) if stage.renormalize else new
-
-
-def array_difference(a: Column, b: Column, every_third: bool) -> Column:
-    d = F.zip_with(a, b, lambda x, y: F.abs(x - y))
-    return total(F.filter(d, lambda _, k: k % 3 == 0) if every_third else d)
-
-
-def array_stage(rows: Column, initial: Column, budget: Column, limit: int, stage: Stage, n: int) -> Column:
-    """struct(x, done, it) after the stage."""
-    cut = F.transform(initial, lambda v: trunc(v, stage.state_width))
-    start = let(cut, lambda x: array_normalise(x, 2 if stage.power else 1, stage.state_width)) if stage.start_normalised else cut
-    pack = lambda x, done, it, stop: F.struct(x.alias("x"), done.alias("done"), it.alias("it"), stop.alias("stop"))
-    true, false = F.lit(True), F.lit(False)
-
-    def turn(acc, _):
-        new = lambda z: F.when(z.isNull(), pack(acc["x"], false, acc["it"], true)).otherwise(
-            pack(z, array_difference(z, acc["x"], stage.every_third) < F.lit(stage.tolerance), acc["it"] + 1, false)
-        )
-        return F.when(acc["done"] | acc["stop"] | (acc["it"] >= budget), acc).otherwise(let(array_step(rows, acc["x"], stage, n), new))
+def array_plan(a: SparseMatrix, initial: DataFrame, stages: list[Stage], limit: int) -> Result:
+    rows = a.entries.select("i", "j", "v").unionByName(initial.select("i", F.lit(-1).cast("long").alias("j"), F.col("x").alias("v")))
+    found = written(rows.repartition(1).mapInArrow(local.task(stages, limit, a.n_rows), "i long, x double, " + META.replace("converged boolean", "converged boolean, finite boolean")))
+    metadata = found.where("stage is not null")
+    checked(all(r["finite"] for r in metadata.select("finite").collect()))  # a row for each stage
+    return Result(found.where("stage is null").select("i", "x"), metadata.drop("i", "x", "finite"))
 
-    def go(x):
-        first = pack(F.coalesce(x, cut).cast(VECTOR), false, F.lit(0), x.isNull())
-        return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, limit))), first, turn)
 
-    return let(start, go)
+# The join plan: a driver loop.
 
 
-def array_plan(a: SparseMatrix, initial: DataFrame, stages: list[Stage], limit: int) -> Result:
-    rows = a.packed_rows().agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "entries"))), lambda r: r["entries"]).alias("rows"))
-    x = initial.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda r: r["x"]).alias("x0"))
-    one = rows.join(F.broadcast(x), F.lit(True)).repartition(1)
-    budget, previous = F.lit(limit), F.col("x0")
-    for k, stage in enumerate(stages):
-        one = one.withColumn(f"s{k}", array_stage(F.col("rows"), previous, budget, limit, stage, a.n_rows))
-        previous, budget = F.col(f"s{k}.x"), budget - F.col(f"s{k}.it")
-    one = written(one.drop("rows", "x0")) if a.n_rows else one
-    vector = one.select(F.posexplode(f"s{len(stages) - 1}.x").alias("i", "x")).select(F.col("i").cast("long").alias("i"), "x")
-    none, times = F.lit(0).cast("long"), F.array().cast("array<bigint>")
-    parts = [
-        one.select(F.lit(k).alias("stage"), F.col(f"s{k}.done").alias("converged"), F.col(f"s{k}.it").alias("iterations"), none.alias("total_ns"), none.alias("prep_ns"), times.alias("spmv_ns"), times.alias("exchange_ns"), times.alias("overhead_ns"))
-        for k in range(len(stages))
-    ]
-    return Result(vector, reduce(DataFrame.unionByName, parts))
+def observed(rows: DataFrame, value) -> tuple[DataFrame, float]:
+    """rows written, and the sum of value over them, by the same job."""
+    seen = Observation()
+    out = written(rows.observe(seen, F.sum(value).alias("s")))
+    return out, seen.get["s"] or 0.0
 
 
-# The join plan: a driver loop.
+def divided(rows: DataFrame, size: float, width: int) -> DataFrame:
+    return cut(rows, "x", F.col("x") / F.lit(size), width)
 
 
-def stepped(a: SparseMatrix, x: DataFrame, stage: Stage) -> DataFrame | None:
-    """The next vector with the one before it, (i, x, before); None if a power step's product is zero."""
-    if stage.power or stage.renormalize:
-        new = written(spmv(a, x, 8, stage.width, None if stage.power else stage.damping))
-        size = norm(new, 2 if stage.power else 1)
-        if size == 0:
-            return None
-        new = new.select("i", trunc(F.col("x") / F.lit(size), stage.state_width).alias("x"))
-    else:
-        new = spmv(a, x, stage.width, stage.width, stage.damping)
-    return written(new.join(x.select("i", F.col("x").alias("before")), "i"))
+def stepped(a: SparseMatrix, x: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame, float] | None:
+    """(the table written, the next vector (i, x), the sum of differences); None if there is nothing to divide by."""
+    counted = (F.col("i") % 3 == 0) if stage.every_third else F.lit(True)
+    apart = F.when(counted, F.abs(F.col("x") - F.col("before")))
+    if not (stage.power or stage.renormalize):
+        table, difference = observed(spmv_with_old(a, x, stage.width, stage.width, stage.damping), apart)
+        return table, table.select("i", "x"), difference
+    raw = spmv_with_old(a, x, 8, stage.width, None if stage.power else stage.damping)
+    table, total = observed(raw, F.col("x") * F.col("x") if stage.power else F.abs("x"))
+    size = math.sqrt(total) if stage.power else total
+    if not size:
+        discard(table)
+        return None
+    new = divided(table, size, stage.state_width)
+    return table, new.select("i", "x"), new.agg(F.sum(apart)).first()[0] or 0.0
 
 
-def join_stage(a: SparseMatrix, initial: DataFrame, stage: Stage, budget: int, number: int) -> tuple[DataFrame, StageRun]:
+def join_stage(a: SparseMatrix, initial: DataFrame, stage: Stage, budget: int, number: int) -> tuple[DataFrame, DataFrame, StageRun]:
+    """(the table that the vector is read from, the vector, the stage's metadata)"""
     began = time.monotonic_ns()
     run = StageRun(number, False, 0)
-    x = written(initial.select("i", trunc(F.col("x"), stage.state_width).alias("x")))
+    value = F.col("x") * F.col("x") if stage.power else F.abs("x")
+    table, total = observed(cut(initial.select("i", "x"), "x", F.col("x"), stage.state_width), value)
+    x = table
     if stage.start_normalised:
-        size = norm(x, 2 if stage.power else 1)
-        if size == 0:
-            return x, run
-        x = written(x.select("i", trunc(F.col("x") / F.lit(size), stage.state_width).alias("x")))
+        size = math.sqrt(total) if stage.power else total
+        if not size:
+            return table, x, run
+        x = divided(table, size, stage.state_width)
     run.prep_ns = time.monotonic_ns() - began
     while not run.converged and run.iterations < budget:
         t0 = time.monotonic_ns()
-        both = stepped(a, x, stage)
-        if both is None:
+        step = stepped(a, x, stage)
+        if step is None:
             break
         t1 = time.monotonic_ns()
-        seen = both.where("i % 3 = 0") if stage.every_third else both
-        difference = seen.agg(F.sum(F.abs(F.col("x") - F.col("before")))).first()[0] or 0.0
-        if not math.isfinite(difference):
-            raise ArithmeticError("the iteration left the finite numbers")
+        old, (table, x, difference) = table, step
+        discard(old)
+        checked(math.isfinite(difference))
         run.converged = difference < stage.tolerance
         run.iterations += 1
-        x = both.select("i", "x")
-        run.spmv_ns.append(t1 - t0)  # the product and its shuffle are one job
+        run.spmv_ns.append(t1 - t0)  # the product, its shuffle and the difference are one job
         run.exchange_ns.append(0)
         run.overhead_ns.append(time.monotonic_ns() - t1)
     run.total_ns = time.monotonic_ns() - began
-    return x, run
+    return table, x, run
 
 
 def join_plan(a: SparseMatrix, initial: DataFrame, stages: list[Stage], limit: int) -> Result:
@@ -214,12 +173,18 @@ def join_plan(a: SparseMatrix, initial: DataFrame, stages: list[Stage], limit: i
     large = a.n_cols > vector.BROADCAST_ROWS
     name = f"lodestone_{uuid.uuid4().hex}"
     a = a.bucketed(name, int(spark.conf.get("spark.sql.shuffle.partitions"))) if large else a.kept()
+    table = None
     try:
         for k, stage in enumerate(stages):
-            x, run = join_stage(a, x, stage, left, k)
+            old = table
+            table, x, run = join_stage(a, x, stage, left, k)
+            if old is not None:
+                discard(old)
             left -= run.iterations
             runs.append(run)
     finally:
         if large:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
+        else:
+            discard(a.entries)
     return Result(x, spark.createDataFrame([tuple(vars(r).values()) for r in runs], META))

@@ -9,14 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone import workloads
 from lodestone.functions import codec
-from lodestone.functions.statistics import average, median
+from lodestone.functions.statistics import average, median, timing_report
 from lodestone.operators import vector
 from lodestone.operators.eigen import pagerank, power_iteration
 from lodestone.operators.matrix import SparseMatrix, partitioned_by_rows, row_blocks
 from lodestone.sources import generators as gen
 from lodestone.sources import graphs
 from lodestone.sources.graphs import table
+from lodestone.workloads import distances
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -48,7 +50,7 @@ for w in (2, 4, 6):
 
     @query(f"codec_trunc_{w}", f"SELECT l_orderkey, l_linenumber, {bits('l_extendedprice', w)} AS x FROM lineitem")
     def _(spark, d, w=w):
-        return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", codec.trunc(F.col("l_extendedprice"), w).alias("x"))
+        return codec.cut(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("x")), "x", F.col("x"), w)
 
     @query(f"codec_code_{w}", f"SELECT c_custkey, {code('c_acctbal', w)} AS code FROM customer")
     def _(spark, d, w=w):
@@ -79,8 +81,8 @@ for w in codec.WIDTHS:
 
     @query(f"elementwise_mul_{w}", f"SELECT l_orderkey, l_linenumber, {bits(f'{_a} * {_b}', w)} AS x FROM lineitem")
     def _(spark, d, w=w):
-        lines = table(spark, d, "lineitem")
-        return lines.select("l_orderkey", "l_linenumber", vector.elementwise_product(lines, "l_quantity", "l_extendedprice", w).alias("x"))
+        lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+        return vector.elementwise_product(lines, "l_quantity", "l_extendedprice", w).select("l_orderkey", "l_linenumber", "x")
 
 
 # Matrices
@@ -221,7 +223,7 @@ for _name, (_in, _out, _c) in PRODUCTS.items():
 def _(spark, d):
     cut = ramp(spark, 25).select("i", codec.decode(codec.encode(F.col("x"), 4), 4).alias("x"))
     whole = vector.spmv(graphs.nation_trade(spark, d), cut)
-    return whole.select("i", codec.trunc(F.col("x"), 4).alias("x"))
+    return codec.cut(whole, "x", F.col("x"), 4)
 
 
 # Norms and differences
@@ -232,8 +234,8 @@ for w in codec.WIDTHS:
 
     @query(f"norms_{w}", f"SELECT round(sum(abs({_x})), 6) AS l1, round(sqrt(sum({_x} * {_x})), 6) AS l2 FROM customer")
     def _(spark, d, w=w):
-        x = codec.trunc(F.col("c_acctbal"), w)
-        return table(spark, d, "customer").agg(F.round(vector.norm_column(x, 1), 6).alias("l1"), F.round(vector.norm_column(x, 2), 6).alias("l2"))
+        x = codec.cut(table(spark, d, "customer").select(F.col("c_acctbal").alias("x")), "x", F.col("x"), w)
+        return x.agg(F.round(vector.norm_column(F.col("x"), 1), 6).alias("l1"), F.round(vector.norm_column(F.col("x"), 2), 6).alias("l2"))
 
     _p = bits("p_size", w)
 
@@ -245,7 +247,7 @@ for w in codec.WIDTHS:
 @query("l1_difference", f"SELECT round(sum(abs(c_acctbal - {bits('c_acctbal', 2)})), 6) AS difference FROM customer")
 def _(spark, d):
     x = table(spark, d, "customer").select(F.col("c_custkey").alias("i"), F.col("c_acctbal").alias("x"))
-    value = vector.l1_difference(x, x.select("i", codec.trunc(F.col("x"), 2).alias("x")))
+    value = vector.l1_difference(x, codec.cut(x, "x", F.col("x"), 2))
     return spark.range(1).select(F.round(F.lit(value), 6).alias("difference"))
 
 
@@ -291,11 +293,32 @@ for _widths in ((2, 4, 6, 8), (4, 6, 8), (4, 8), (6, 8)):
         return rounded(pagerank(graphs.nation_trade(spark, d).scaled_columns(), widths).vector)
 
 
+def stages_sql(widths: tuple[int, ...], steps: int, power: bool = False) -> str:
+    """CTEs f0, f1, ...: each stage's vector (i, x) and number of iterations (it), from CTEs links (i, j, v) and nodes (n)."""
+    out, start = [], "SELECT range AS i, 1.0::DOUBLE AS x FROM range((SELECT n FROM nodes))"
+    for k, w in enumerate(widths):
+        s = 8 if power else w
+        size = "sqrt(sum(x * x) OVER ())" if power else "sum(abs(x)) OVER ()"
+        out.append(f"c{k} AS (SELECT i, {bits('x', s)} AS x FROM ({start}))")
+        z = "sum(m.v * p.x)"
+        new = bits(z, w) if power else bits(f"0.85 * {z} + 0.15 / (SELECT n FROM nodes)", w)
+        step = f"SELECT max(p.it) + 1 AS it, m.i AS i, {new} AS x FROM links m JOIN p{k} p ON p.i = m.j WHERE p.it < {steps} GROUP BY m.i"
+        step = f"SELECT it, i, x / sqrt(sum(x * x) OVER ()) FROM ({step})" if power else step
+        out.append(f"p{k}(it, i, x) AS (SELECT 0, i, {bits(f'x / {size}', s)} FROM c{k} UNION ALL {step})")
+        apart = f"SELECT a.it, sum(abs(a.x - b.x)) AS d FROM p{k} a JOIN p{k} b ON a.i = b.i AND b.it = a.it - 1 GROUP BY a.it"
+        out.append(f"t{k} AS (SELECT min(it) AS it FROM ({apart}) WHERE d < {codec.adjusted_epsilon(w, 10 * 2.0**-52)!r}::DOUBLE)")
+        out.append(f"f{k} AS (SELECT i, x, p.it FROM p{k} p JOIN t{k} USING (it))")
+        start = f"SELECT i, x FROM f{k}"
+    return ", ".join(out)
+
+
+LINKS = f"{NATION}, nodes AS (SELECT 25 AS n), links AS (SELECT i, j, v / sum(v) OVER (PARTITION BY j) AS v FROM n UNION ALL SELECT range, 0, 0.0 FROM range(25))"
+PAIRS = f"{SUPPLIERS}, nodes AS (SELECT count(*) AS n FROM supplier), links AS (SELECT i, j, v FROM n UNION ALL SELECT range, 0, 0.0 FROM range((SELECT n FROM nodes)))"
 for w in (2, 4, 6):
 
-    @query(f"pagerank_{w}")
+    @query(f"pagerank_{w}", f"WITH RECURSIVE {LINKS}, {stages_sql((w,), 60)} SELECT i, round(x, 9) AS x FROM f0")
     def _(spark, d, w=w):
-        return pagerank(graphs.nation_trade(spark, d).scaled_columns(), (w,)).vector
+        return rounded(pagerank(graphs.nation_trade(spark, d).scaled_columns(), (w,)).vector)
 
 
 @query("pagerank_every_third", NATION_RANK)
@@ -303,9 +326,23 @@ def _(spark, d):
     return rounded(pagerank(graphs.nation_trade(spark, d).scaled_columns(), (6, 8), every_third=True).vector)
 
 
-@query("pagerank_metadata")
+STAGED = " UNION ALL ".join(f"SELECT {k}::INT AS stage, true AS converged, max(it)::INT AS iterations FROM f{k}" for k in range(3))
+
+
+@query("pagerank_metadata", f"WITH RECURSIVE {LINKS}, {stages_sql((2, 4, 6), 60)} {STAGED}")
+def _(spark, d):
+    return pagerank(graphs.nation_trade(spark, d).scaled_columns(), (2, 4, 6)).metadata.select("stage", "converged", "iterations")
+
+
+@query("pagerank_metadata_join_plan", f"WITH RECURSIVE {LINKS}, {stages_sql((2, 4, 6), 60)} {STAGED}")
 def _(spark, d):
-    return pagerank(graphs.nation_trade(spark, d).scaled_columns(), (2, 4, 6, 8)).metadata.select("stage", "converged", "iterations")
+    return pagerank(graphs.nation_trade(spark, d).scaled_columns(), (2, 4, 6), plan="join").metadata.select("stage", "converged", "iterations")
+
+
+@query("pagerank_distances", f"WITH RECURSIVE {LINKS}, {stages_sql((2,), 60)}, g0 AS (SELECT i, x FROM f0) SELECT '2' AS a, '8' AS b, round(sum(abs(g0.x - r.x)), 7) AS distance FROM g0 JOIN (WITH RECURSIVE pr(it, i, x) AS (SELECT 0, range, 0.04::DOUBLE FROM range(25) UNION ALL SELECT max(p.it) + 1, m.i, 0.85 * sum(m.v * p.x) + 0.15 / 25 FROM links m JOIN pr p ON p.i = m.j WHERE p.it < 40 GROUP BY m.i) SELECT i, x FROM pr WHERE it = 40) r USING (i)")
+def _(spark, d):
+    found = distances(graphs.nation_trade(spark, d).scaled_columns(), ((2,), (8,)))
+    return found.select("a", "b", F.round("distance", 7).alias("distance"))
 
 
 def power_sql(graph: str, n: str, steps: int) -> str:
@@ -329,9 +366,9 @@ def _(spark, d):
 
 for w in (2, 4, 6):
 
-    @query(f"power_{w}")
+    @query(f"power_{w}", f"WITH RECURSIVE {PAIRS}, {stages_sql((w,), 40, True)} SELECT i, round(x, 9) AS x FROM f0")
     def _(spark, d, w=w):
-        return power_iteration(graphs.supplier_orders(spark, d), (w,)).vector
+        return rounded(power_iteration(graphs.supplier_orders(spark, d), (w,)).vector)
 
 
 # Generators
@@ -341,9 +378,15 @@ def draw_sql(purpose: str, place: str, seed: int = 7) -> str:
     return f"(CAST('0x' || substr(md5('{seed}:{purpose}:' || {place}), 1, 8) AS BIGINT)::DOUBLE / 4294967296.0)"
 
 
+def long_draw_sql(purpose: str, place: str, seed: int = 7) -> str:
+    return f"(CAST('0x' || substr(md5('{seed}:{purpose}:' || {place}), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0)"
+
+
 def chosen_sql(n: int, k: int, diagonal: bool, rows: str = "true") -> str:
-    order = f"CASE WHEN i = j THEN -1.0 ELSE {draw_sql('cell', 'i || ' + repr(':') + ' || j')} END" if diagonal else draw_sql("cell", "i || ':' || j")
-    return f"SELECT i, j FROM (SELECT a.range AS i, b.range AS j FROM range({n}) a, range({n}) b) WHERE {rows} QUALIFY row_number() OVER (PARTITION BY i ORDER BY {order}, j) <= {k}"
+    """The first k different columns of each row's draws."""
+    series = f"SELECT i, t, floor({long_draw_sql('draw', 'i || ' + repr(':') + ' || t')} * {n})::BIGINT AS j FROM (SELECT a.range AS i, b.range AS t FROM range({n}) a, range({gen.draws_for(k, n)}) b) WHERE {rows}"
+    own = f" UNION ALL SELECT range AS i, -1, range AS j FROM range({n}) WHERE {rows.replace('i BETWEEN', 'range BETWEEN')}" if diagonal else ""
+    return f"SELECT i, j FROM (SELECT i, j, min(t) AS t FROM ({series}{own}) GROUP BY i, j) QUALIFY row_number() OVER (PARTITION BY i ORDER BY t) <= {k}"
 
 
 VALUE = draw_sql("value", "i || ':' || j")
@@ -381,8 +424,8 @@ def _(spark, d):
 
 @query(
     "gen_random",
-    f"""SELECT i, j, round(0.001 + {VALUE} * 99999.999, 6) AS v FROM (SELECT a.range AS i, b.range AS j FROM range(20) a, range(30) b)
-QUALIFY row_number() OVER (ORDER BY {draw_sql('cell', "i || ':' || j")}, i, j) <= 60""",
+    f"""SELECT i, j, round(0.001 + {VALUE} * 99999.999, 6) AS v FROM (SELECT p // 30 AS i, p % 30 AS j FROM
+(SELECT floor({long_draw_sql('place', 'range')} * 600)::BIGINT AS p, min(range) AS t FROM range({gen.draws_for(60, 600)}) GROUP BY 1) QUALIFY row_number() OVER (ORDER BY t) <= 60)""",
 )
 def _(spark, d):
     return gen.random(spark, 30, 20, 0.1, 7).entries.select("i", "j", F.round("v", 6).alias("v"))
@@ -399,3 +442,65 @@ def _(spark, d):
 @query("average_by_group", "SELECT l_returnflag, trunc(avg(l_orderkey))::BIGINT AS m FROM lineitem GROUP BY l_returnflag")
 def _(spark, d):
     return table(spark, d, "lineitem").groupBy("l_returnflag").agg(average(F.col("l_orderkey")).alias("m"))
+
+
+@query("tolerances", " UNION ALL ".join(f"SELECT {w}::INT AS width, (10 * power(2.0, -52) * power(2.0, {64 - 8 * w}))::DOUBLE AS adjusted, (240 * power(2.0, {12 - 8 * w}))::DOUBLE AS usual" for w in codec.WIDTHS))
+def _(spark, d):
+    rows = [(w, codec.adjusted_epsilon(w, 10 * 2.0**-52), codec.default_epsilon(w)) for w in codec.WIDTHS]
+    return spark.createDataFrame(rows, "width int, adjusted double, usual double")
+
+
+@query("duplicate_indices", "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey HAVING count(*) > 1")
+def _(spark, d):
+    return vector.duplicates(table(spark, d, "lineitem"), "l_suppkey")
+
+
+@query("vector_lines", "SELECT c_nationkey::BIGINT AS part, string_agg(c_custkey::VARCHAR || '.0', ' ' ORDER BY c_custkey) AS line FROM customer GROUP BY ALL")
+def _(spark, d):
+    x = table(spark, d, "customer").select(F.col("c_custkey").alias("i"), F.col("c_custkey").cast("double").alias("x"), "c_nationkey")
+    return vector.lines(x, F.col("c_nationkey"))
+
+
+@query(
+    "timing_report",
+    """WITH t AS (SELECT p_size AS stage, unnest(['spmv_ns', 'exchange_ns', 'overhead_ns']) AS phase, unnest([p_partkey, p_partkey * 2, p_partkey * 7]) AS ns FROM part)
+SELECT stage, phase, trunc(median(ns))::BIGINT AS median_ns, trunc(avg(ns))::BIGINT AS average_ns FROM t GROUP BY ALL""",
+)
+def _(spark, d):
+    times = lambda k: F.collect_list(F.col("p_partkey") * k)
+    metadata = table(spark, d, "part").groupBy(F.col("p_size").alias("stage")).agg(times(1).alias("spmv_ns"), times(2).alias("exchange_ns"), times(7).alias("overhead_ns"))
+    return timing_report(metadata)
+
+
+# Workloads at small sizes: what they report besides times
+
+
+@query("workload_convergence", "SELECT * FROM (VALUES (10, 0.5, true), (10, 0.6, true), (20, 0.5, true), (20, 0.6, true)) t(n, density, converged)")
+def _(spark, d):
+    rows = workloads.convergence(spark, (10, 20), (0.5, 0.6), (1,))
+    return spark.createDataFrame([(r["n"], r["density"], all(done for done, _ in r["stages"])) for r in rows], "n int, density double, converged boolean")
+
+
+@query("workload_precision", "SELECT * FROM (VALUES ('2', true), ('4', true), ('6', true), ('8', true), ('2_4_6_8', true)) t(widths, near)")
+def _(spark, d):
+    rows = workloads.precision_levels(spark, 20, 0.5, 1)
+    most = {2: 0.5, 4: 1e-4, 6: 1e-9, 8: 1e-12}
+    return spark.createDataFrame([("_".join(map(str, r["widths"])), r["distance"] <= most[r["widths"][-1]]) for r in rows], "widths string, near boolean")
+
+
+@query("workload_power", "SELECT unnest(['2_4_6_8', '4_6_8', '4_8', '6_8', '8']) AS widths, true AS converged")
+def _(spark, d):
+    rows = workloads.power_iterations(spark, (64,), (0.125,), (0.6,))
+    return spark.createDataFrame([("_".join(map(str, r["widths"])), r["stages"][-1][0]) for r in rows], "widths string, converged boolean")
+
+
+@query("workload_spmv", "SELECT unnest(['doubles', '4 bytes, cut inside', '4 bytes, cut outside']) AS form, 64 AS n, true AS timed")
+def _(spark, d):
+    rows = workloads.spmv_speed(spark, (64,), (0.125,), runs=1, warmup=0)
+    return spark.createDataFrame([(r["form"], r["n"], r["median_s"] > 0) for r in rows], "form string, n int, timed boolean")
+
+
+@query("workload_sweep", "SELECT * FROM (VALUES (10, '4_8', true), (10, '8', true), (20, '4_8', true), (20, '8', true)) t(n, widths, timed)")
+def _(spark, d):
+    rows = workloads.pagerank_sweep(spark, (10, 20), (0.5,), tests=1, samples=1, widths=((4, 8), (8,)))
+    return spark.createDataFrame([(r["n"], "_".join(map(str, r["widths"])), r["median_s"] > 0) for r in rows], "n int, widths string, timed boolean")

@@ -6,7 +6,7 @@ import statistics
 import time
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import vector
@@ -54,6 +54,29 @@ def precision_levels(spark: SparkSession, n: int, density: float, seed: int) ->
     return out
 
 
+def distances(a: SparseMatrix, pipelines: Iterable[tuple[int, ...]]) -> DataFrame:
+    """(a, b, distance): the L1 distance between the PageRanks of every two pipelines of widths."""
+    found = [("_".join(map(str, w)), pagerank(a, w).vector) for w in pipelines]
+    rows = [(x, y, vector.l1_difference(v, u)) for k, (x, v) in enumerate(found) for y, u in found[k + 1 :]]
+    return a.spark.createDataFrame(rows, "a string, b string, distance double")
+
+
+def pagerank_sweep(spark: SparkSession, sizes: Iterable[int], densities: Iterable[float], tests: int = 2, samples: int = 2, widths: Iterable[tuple[int, ...]] = ((4, 8), (4, 6, 8), (8,))) -> list[dict]:
+    """Seconds of PageRank through each series of widths, over sizes and densities: tests matrices each, run samples
+    times; and how far the vectors are from that of doubles."""
+    out = []
+    for n in sizes:
+        for density in densities:
+            for seed in range(tests):
+                a = gen.column_stochastic(spark, n, density, seed).kept()
+                exact = pagerank(a).vector
+                for w in widths:
+                    result = pagerank(a, w)
+                    times = repeated(lambda w=w, a=a: pagerank(a, w), samples)
+                    out.append({"n": n, "density": density, "seed": seed, "widths": w, "stages": iterations(result), "distance": vector.l1_difference(result.vector, exact), **times})
+    return out
+
+
 def staged_speed(spark: SparkSession, n: int, density: float, seed: int, widths: Iterable[tuple[int, ...]] = ((4, 8), (4, 6, 8), (8,)), runs: int = 1, warmup: int = 0) -> list[dict]:
     """Seconds of PageRank through each series of widths on one matrix, and of one 6-byte step."""
     a = gen.column_stochastic(spark, n, density, seed).kept()
@@ -75,8 +98,16 @@ def power_iterations(spark: SparkSession, sizes: Iterable[int], densities: Itera
 
 
 def power_speed(spark: SparkSession, n: int, density: float, eta: float, seed: int = 1, runs: int = 3, warmup: int = 1) -> list[dict]:
+    """Seconds of power iteration through two series of widths, over the runs that converged."""
     a = gen.fixed_eta(spark, n, density, eta, seed).kept()
-    return [{"widths": w, **repeated(lambda w=w: power_iteration(a, w).vector.count(), runs, warmup)} for w in ((4, 8), (8,))]
+    out = []
+    for w in ((4, 8), (8,)):
+        for _ in range(warmup):
+            power_iteration(a, w)
+        found = [(iterations(result)[-1][0], seconds) for result, seconds in (timed(lambda w=w: power_iteration(a, w)) for _ in range(runs))]
+        times = [seconds for converged, seconds in found if converged]
+        out.append({"widths": w, "converged": len(times), "median_s": statistics.median(times) if times else None, "average_s": statistics.fmean(times) if times else None})
+    return out
 
 
 def spmv_speed(spark: SparkSession, sizes: Iterable[int], densities: Iterable[float], runs: int = 5, warmup: int = 1) -> list[dict]:
@@ -97,12 +128,12 @@ def spmv_speed(spark: SparkSession, sizes: Iterable[int], densities: Iterable[fl
 
 
 def cut(x, width: int = 4):
-    return x.select("i", vector.trunc(F.col("x"), width).alias("x"))
+    return vector.cut(x, "x", F.col("x"), width)
 
 
 def elementwise_speed(spark: SparkSession, n: int, runs: int = 5, warmup: int = 1) -> list[dict]:
     rows = spark.range(n).select((F.col("id") * 1.1).alias("a"), (F.col("id") * 0.7).alias("b"))
-    return [{"width": w, **repeated(lambda w=w: rows.select(vector.elementwise_product(rows, "a", "b", w).alias("x")).agg(F.sum("x")).collect(), runs, warmup)} for w in (8, 2, 4, 6)]
+    return [{"width": w, **repeated(lambda w=w: vector.elementwise_product(rows, "a", "b", w).agg(F.sum("x")).collect(), runs, warmup)} for w in (8, 2, 4, 6)]
 
 
 def slices_agree(a: SparseMatrix, x, edges: list[int], damping: float = 0.85) -> bool:

@@ -34,6 +34,8 @@ def test_every_pattern_is_cut_like_its_bits(spark, width):
     bits = x.view(np.uint64)
     kept = bits & np.uint64((2 ** (8 * width) - 1) << (64 - 8 * width))
     assert (cut["t"].to_numpy().view(np.uint64) == kept).all()
+    stepwise = codec.cut(rows, "t", F.col("x"), width).toPandas().sort_values("i")
+    assert (stepwise["t"].to_numpy().view(np.uint64) == kept).all()
     assert (cut["c"].to_numpy() == (bits >> np.uint64(64 - 8 * width)).astype(np.int64)).all()
     assert (back["d"].to_numpy().view(np.uint64) == kept).all()
 

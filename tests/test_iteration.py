@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 
 from lodestone.functions.statistics import average, median, timing_report
@@ -5,6 +7,7 @@ from lodestone.operators import vector
 from lodestone.operators.eigen import pagerank, power_iteration
 from lodestone.operators.matrix import SparseMatrix
 from lodestone.operators.vector import constant
+from lodestone.plans.state import shared_dir
 from lodestone.workloads import iterations
 from pyspark.sql import functions as F
 
@@ -48,9 +51,18 @@ def test_plans_agree(links, widths, options):
     a, b = (pagerank(links, widths, limit=4, plan=p, **options) for p in ("array", "join"))
     assert values(a.vector) == pytest.approx(values(b.vector), abs=1e-15)
     assert iterations(a) == iterations(b)
-    times = b.metadata.collect()
-    assert all(len(r["spmv_ns"]) == r["iterations"] for r in times)
-    assert timing_report(b.metadata).where("phase = 'spmv_ns'").count() >= 1
+    for result in (a, b):
+        times = result.metadata.collect()
+        assert all(len(r["spmv_ns"]) == r["iterations"] and r["total_ns"] > 0 for r in times)
+        assert timing_report(result.metadata).where("phase = 'spmv_ns' and median_ns > 0").count() >= 1
+
+
+def test_an_iteration_leaves_one_table(spark, links):
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = len(list(folder.iterdir()))
+    for plan in ("array", "join", "auto"):
+        pagerank(links, (4, 8), limit=4, plan=plan)
+    assert len(list(folder.iterdir())) == before + 3
 
 
 def test_power_iteration_plans_agree(spark):
@@ -101,10 +113,11 @@ def test_symmetric_spectrum_never_converges(spark):
     assert iterations(power_iteration(flip, limit=30)) == [(False, 30)]
 
 
-def test_overflow_is_an_error(spark):
+@pytest.mark.parametrize("plan", ["array", "join"])
+def test_overflow_is_an_error(spark, plan):
     big = SparseMatrix.of(spark.createDataFrame([(0, 0, 1e308), (0, 1, 1e308), (1, 0, 1e308)], "i long, j long, v double"), 2, 2)
     with pytest.raises(ArithmeticError):
-        pagerank(big, plan="join", limit=9)
+        pagerank(big, plan=plan, limit=9)
 
 
 def test_statistics(spark):
