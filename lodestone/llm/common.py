@@ -266,14 +266,45 @@ def sides(n, size):
     return F.greatest(F.when(n <= 512, F.lit(1)).otherwise(F.ceil(2 * F.pow(n / 1024, F.lit(0.25)))), F.ceil(size / SIDE_BYTES)).cast("int")
 
 
+class Forest:
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, a: int) -> int:
+        up = self.up
+        while (b := up.setdefault(a, a)) != a:
+            up[a] = up.setdefault(b, b)
+            a = up[a]
+        return a
+
+    def unite(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+
+    def edges(self) -> tuple[list[int], list[int]]:
+        pairs = [(a, r) for a in self.up if (r := self.root(a)) != a]
+        return [a for a, _ in pairs], [r for _, r in pairs]
+
+
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """(id, component) for the ids in edges (a, b): component is the smallest id that links reach.
 
     Every round hooks each id to the smallest label around it and then follows labels once (pointer jumping), so paths
     shorten geometrically. Rounds are written to the shared folder; only counts and hot keys reach the driver. Minima
     are aggregated before the shuffle, and joins deal the links of a hub and the ids of a large component over tasks.
+    First every task reduces the edges that it reads to a forest. Ids are longs.
     """
-    both = edges.select("a", "b").where("a <> b")
+
+    def reduced(batches):
+        forest = Forest()
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                forest.unite(a, b)
+        a, b = forest.edges()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    both = edges.select("a", "b").where("a <> b").mapInArrow(reduced, "a long, b long")
     both = materialise(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")))
     hubs = hot_keys(both, ["b"])

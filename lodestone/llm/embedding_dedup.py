@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, map_groups, materialise, sides, skew_join, table
+from .common import Forest, components, discard, map_groups, materialise, sides, skew_join, table
 
 WINDOW = 1024
 BITS = 40
@@ -55,27 +55,6 @@ def normalised(rows: list[np.ndarray]) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-class Forest:
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def root(self, a: int) -> int:
-        up = self.up
-        while (b := up.setdefault(a, a)) != a:
-            up[a] = up.setdefault(b, b)
-            a = up[a]
-        return a
-
-    def unite(self, a: int, b: int) -> None:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-
-    def edges(self) -> tuple[list[int], list[int]]:
-        pairs = [(a, r) for a in self.up if (r := self.root(a)) != a]
-        return [a for a, _ in pairs], [r for _, r in pairs]
-
-
 def spanning(linked: np.ndarray, of: np.ndarray) -> list[tuple[int, int]]:
     """Edges that connect the rows and columns of linked as it does, in the numbers of: rows first, then columns."""
     n = len(linked)

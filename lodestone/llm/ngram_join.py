@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, components, discard, grams, map_groups, materialise, mix, sides, skew_join, table, text_chunks
-from .embedding_dedup import Forest, spanning
+from .common import Forest, U, components, discard, grams, map_groups, materialise, mix, sides, skew_join, table, text_chunks
+from .embedding_dedup import spanning
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
@@ -171,8 +171,11 @@ def bucket_edges(classes: DataFrame, threshold: float) -> DataFrame:
         cid = rows.column("cid").to_numpy()
         sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(-1, VALUES)
         at = left if i == j else np.concatenate([left, right])
-        pairs = trees(sig[left], None if i == j else sig[right], threshold)
-        return {"a": [int(cid[at[x]]) for x, _ in pairs], "b": [int(cid[at[y]]) for _, y in pairs]}
+        forest = Forest()
+        for x, y in trees(sig[left], None if i == j else sig[right], threshold):
+            forest.unite(int(cid[at[x]]), int(cid[at[y]]))
+        a, b = forest.edges()  # buckets of the same classes have the same edges, to the least of them
+        return {"a": a, "b": b}
 
     banded = materialise(classes.select("cid", "sig").mapInArrow(bands, "bucket long, cid long"))
     # one byte of each value will do here: equal values have equal bytes, so that no pair looks less alike than it is
