@@ -30,7 +30,7 @@ ENDINGS = 1023
 VOCABULARY, END = UNITS - ENDINGS - 1, UNITS - 1
 MIN_COUNT = 3
 FREQUENT = 200_000
-GROUP_TOKENS = 1 << 22
+GROUP_TOKENS = 1 << 21
 NOISE, BATCH, EPOCHS, RATE = 16, 16384, 1, 0.1
 #: Preceding units that a unit's class is chosen by; all others are one.
 NEIGHBOURS = 64
@@ -294,9 +294,14 @@ def trigrams(rows: DataFrame, words, groups: int) -> DataFrame:
 
 
 def unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(the different trigrams in order, how often each occurs)"""
     code, count = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.int64) for c in ("codes", "counts"))
-    values, inverse = np.unique(code, return_inverse=True)
-    return values, np.bincount(inverse, count, len(values))
+    if not len(code):
+        return code, count.astype(float)
+    order = np.argsort(code, kind="stable")
+    code, count = code[order], count[order].astype(float)
+    start = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    return code[start], np.add.reduceat(count, start)
 
 
 def summed(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -333,7 +338,8 @@ def train(packed: DataFrame, unigram: np.ndarray, cls: np.ndarray) -> LogBilinea
 
     def run(key, rows):
         code, count = unpacked(rows)
-        w2, w1, w0 = code // UNITS**2, code // UNITS % UNITS, code % UNITS
+        w2, w1, w0 = ((code // UNITS**k % UNITS).astype(np.int16) for k in (2, 1, 0))
+        del code
         model, rng = LogBilinear(unigram, cls), np.random.default_rng(SEED)
         for _ in range(EPOCHS):
             model.train(w2, w1, w0, count, rng)
