@@ -32,7 +32,7 @@ from .common import Forest, components, discard, map_groups, materialise, sides,
 
 WINDOW = 1024
 BITS = 40
-MISS = 1e-3
+MISS = 1e-4
 #: Rows and columns of the matrices of cosines.
 BLOCK = 1024
 #: Passes at a time: each moves every pending vector once.
