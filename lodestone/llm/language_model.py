@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ VOCABULARY, END = UNITS - ENDINGS - 1, UNITS - 1
 MIN_COUNT = 3
 FREQUENT = 200_000
 GROUP_TOKENS = 1 << 21
+#: Tokens that a task holds at a time while it counts trigrams.
+HELD = 1 << 20
 NOISE, BATCH, EPOCHS, RATE = 16, 16384, 1, 0.1
 #: Preceding units that a unit's class is chosen by; all others are one.
 NEIGHBOURS = 64
@@ -273,11 +276,20 @@ def sequences(first: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def trigrams(rows: DataFrame, words, groups: int) -> DataFrame:
-    """(g, codes, counts): the different trigrams of the training texts of a group in a batch, packed."""
+    """(g, codes, counts): the different trigrams of the training texts of a group, packed after every HELD tokens."""
+
+    def packed(parts):
+        codes, counts = [], []
+        for x in parts.values():
+            code, count = np.unique(np.concatenate(x), return_counts=True)
+            codes.append(code.tobytes())
+            counts.append(count.astype(np.int32).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(list(parts)), pa.array(codes, pa.binary()), pa.array(counts, pa.binary())], names=["g", "codes", "counts"])
 
     def run(batches):
+        parts: dict[int, list] = {}
+        held = 0
         for batch in batches:
-            parts: dict[int, list] = {}
             for _, _, w in text_chunks(batch.column("text"), lower=True):
                 w2, w1, w0, start = sequences(w.first, words.value.find(w)[0])
                 code = (w2 * UNITS + w1) * UNITS + w0
@@ -286,16 +298,19 @@ def trigrams(rows: DataFrame, words, groups: int) -> DataFrame:
                 for g in np.unique(text).tolist():
                     of = np.repeat(text == g, np.diff(start))
                     parts.setdefault(g, []).append(code[of])
-            if parts:
-                found = [(g, *np.unique(np.concatenate(x), return_counts=True)) for g, x in parts.items()]
-                yield pa.RecordBatch.from_arrays([pa.array([g for g, _, _ in found]), pa.array([c.tobytes() for _, c, _ in found], pa.binary()), pa.array([n.tobytes() for _, _, n in found], pa.binary())], names=["g", "codes", "counts"])
+                held += len(code)
+                if held >= HELD:
+                    yield packed(parts)
+                    parts, held = {}, 0
+        if parts:
+            yield packed(parts)
 
     return materialise(rows.where("not held_out").select("text").mapInArrow(run, "g long, codes binary, counts binary"))
 
 
 def unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """(the different trigrams in order, how often each occurs)"""
-    code, count = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.int64) for c in ("codes", "counts"))
+    code, count = (np.frombuffer(b"".join(rows.column(c).to_pylist()), kind) for c, kind in (("codes", np.int64), ("counts", np.int32)))
     if not len(code):
         return code, count.astype(float)
     order = np.argsort(code, kind="stable")
@@ -304,6 +319,16 @@ def unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return code[start], np.add.reduceat(count, start)
 
 
+def pieces(batch: pa.RecordBatch):
+    """Consecutive rows of a batch of packed trigrams, HELD trigrams together at most or one row."""
+    ends = np.cumsum(pc.binary_length(batch.column("codes")).to_numpy()) // 8
+    low = 0
+    while low < len(ends):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + HELD, "right")))
+        yield pa.Table.from_batches([batch.slice(low, high - low)])
+        low = high
+
+
 def summed(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(k, n, v) of rows (k, n, v): sums by k, collected; there are no more k than parameter rows."""
     sums = rows.groupBy("k").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.get("v", F.lit(i))) for i in range(size)]).alias("v"))
@@ -318,8 +343,8 @@ def neighbours(packed: DataFrame) -> np.ndarray:
     def run(batches):
         total = np.zeros(UNITS * NEIGHBOURS, np.int64)
         for batch in batches:
-            if batch.num_rows:
-                code, count = unpacked(pa.Table.from_batches([batch]))
+            for piece in pieces(batch):
+                code, count = unpacked(piece)
                 w0, w1 = code % UNITS, code // UNITS % UNITS
                 before = np.where(w1 == END, NEIGHBOURS - 2, np.minimum(w1, NEIGHBOURS - 1))
                 total += np.bincount(w0 * NEIGHBOURS + before, count, len(total)).astype(np.int64)
