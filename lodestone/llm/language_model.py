@@ -32,8 +32,8 @@ VOCABULARY, END = UNITS - ENDINGS - 1, UNITS - 1
 MIN_COUNT = 3
 FREQUENT = 200_000
 GROUP_TOKENS = 1 << 21
-#: Tokens that a task holds at a time while it counts trigrams.
-HELD = 1 << 20
+#: Tokens that a task holds at a time while it counts words or trigrams.
+HELD = 1 << 19
 NOISE, BATCH, EPOCHS, RATE = 16, 16384, 1, 0.1
 #: Preceding units that a unit's class is chosen by; all others are one.
 NEIGHBOURS = 64
@@ -204,17 +204,24 @@ def endings(w, of=slice(None)) -> np.ndarray:
 def training_counts(rows: DataFrame) -> DataFrame:
     """(h, c, e): how often each word, by its hash, occurs in the training documents, and its ending's group."""
 
+    def summed_up(parts):
+        hashes, times, groups = (np.concatenate(x) for x in zip(*parts, strict=True))
+        h, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        c = np.bincount(back, times, len(h)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(c), pa.array(groups[first].astype(np.int32))], names=["h", "c", "e"])
+
     def run(batches):
+        parts, held = [], 0
         for batch in batches:
-            parts = []
             for _, _, w in text_chunks(batch.column("text"), lower=True):
                 h, first, c = np.unique(w.hash, return_index=True, return_counts=True)
                 parts.append((h, c, endings(w, first)))
-            if parts:
-                hashes, times, groups = (np.concatenate(x) for x in zip(*parts, strict=True))
-                h, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-                c = np.bincount(back, times, len(h)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(c), pa.array(groups[first].astype(np.int32))], names=["h", "c", "e"])
+                held += len(h)
+                if held >= HELD // 4:
+                    yield summed_up(parts)
+                    parts, held = [], 0
+        if parts:
+            yield summed_up(parts)
 
     counted = rows.where("not held_out").select("text").mapInArrow(run, "h long, c long, e int")
     return counted.groupBy("h").agg(F.sum("c").alias("c"), F.min("e").alias("e"))
