@@ -34,6 +34,7 @@ FREQUENT = 200_000
 GROUP_TOKENS = 1 << 21
 #: Tokens that a task holds at a time while it counts words or trigrams.
 HELD = 1 << 19
+RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 NOISE, BATCH, EPOCHS, RATE = 16, 16384, 1, 0.1
 #: Preceding units that a unit's class is chosen by; all others are one.
 NEIGHBOURS = 64
@@ -423,7 +424,13 @@ def score(documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
     context = documents.sparkSession.sparkContext
     words = context.broadcast(frequent)
     packed = trigrams(rows, words, -(-int(total + ends) // GROUP_TOKENS) or 1)
-    model = train(packed, unigram, classes_of(neighbours(packed)))
+    session = documents.sparkSession
+    before = session.conf.get(RECORDS)
+    session.conf.set(RECORDS, "32")  # packed rows are long, and a task holds whole batches of them
+    try:
+        model = train(packed, unigram, classes_of(neighbours(packed)))
+    finally:
+        session.conf.set(RECORDS, before)
     discard(packed)
     model.__dict__.pop("squares", None)
     log_group = np.log10(by_ending[:, 0] + 0.1 * (by_ending[:, 1] + 1))
