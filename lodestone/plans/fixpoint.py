@@ -1,7 +1,9 @@
 """Iterating a vector to a fixpoint, by two plans with the same steps, the same errors and the same metadata.
 
-The array plan runs in one task, with numpy over Arrow, and is for matrices of at most ARRAY_VALUES entries and ARRAY_ROWS
-rows, whose product takes less time than a Spark job does. The join plan takes any size: each step is a product by join
+The array plan runs in one task, with numpy over Arrow, and in more of them, at the same time, where a matrix has more than
+ARRAY_VALUES entries: each holds some rows, and the first gathers the product's numbers and sends them to all. It is for
+matrices of at most ARRAY_ROWS rows, TASK_VALUES entries for each task that can run at the same time, and steps that send
+SENT numbers together; a step takes less time than a Spark job does, and sums are always made in the same order. The join plan takes any size: each step is a product by join
 and aggregation, written to the shared folder (which cuts the lineage and survives lost executors). The old vector
 travels with the products, so that the job that writes a step also sums the differences, and only that sum returns to the
 driver; a step's table goes when the next one is written. Where the vector is too long to broadcast, the matrix is
@@ -25,7 +27,8 @@ from lodestone.operators.vector import spmv_with_old
 from lodestone.plans import local
 from lodestone.plans.state import discard, written
 
-ARRAY_ROWS, ARRAY_VALUES = 20_000, 2_000_000
+ARRAY_ROWS, ARRAY_VALUES, TASK_VALUES = 2_000_000, 2_000_000, 16_000_000
+SENT = 1 << 24
 BASE_EPSILON = 10 * 2.0**-52
 
 
@@ -86,8 +89,11 @@ def fixpoint(a: SparseMatrix, initial: DataFrame, stages: list[Stage], limit: in
     kept = a
     if plan == "auto":
         kept = a.kept()
-        plan = "array" if a.n_rows <= ARRAY_ROWS and kept.n_values() <= ARRAY_VALUES else "join"
-    result = array_plan(kept, initial, stages, limit) if plan == "array" else join_plan(kept, initial, stages, limit)
+        tasks = array_tasks(kept)
+        plan = "array" if tasks else "join"
+    else:
+        tasks = 1
+    result = array_plan(kept, initial, stages, limit, tasks) if plan == "array" else join_plan(kept, initial, stages, limit)
     if kept is not a:
         discard(kept.entries)
     return result
@@ -98,9 +104,30 @@ def checked(finite: bool) -> None:
         raise ArithmeticError("the iteration left the finite numbers")
 
 
-def array_plan(a: SparseMatrix, initial: DataFrame, stages: list[Stage], limit: int) -> Result:
+def slots(spark) -> int:
+    """How many tasks can run at the same time; executors that come and go cannot hold a barrier stage."""
+    if spark.conf.get("spark.dynamicAllocation.enabled", "false") == "true":
+        return 1
+    context = spark.sparkContext._jsc.sc()
+    return context.maxNumConcurrentTasks(context.resourceProfileManager().defaultResourceProfile())
+
+
+def array_tasks(a: SparseMatrix) -> int:
+    """How many tasks the array plan takes for a matrix, 0 where it is too large for it."""
+    if a.n_rows > ARRAY_ROWS:
+        return 0
+    values = a.n_values()
+    if values <= ARRAY_VALUES:
+        return 1
+    tasks = max(1, min(-(-values // ARRAY_VALUES), slots(a.spark), SENT // a.n_rows))
+    return tasks if values <= tasks * TASK_VALUES else 0
+
+
+def array_plan(a: SparseMatrix, initial: DataFrame, stages: list[Stage], limit: int, tasks: int = 1) -> Result:
     rows = a.entries.select("i", "j", "v").unionByName(initial.select("i", F.lit(-1).cast("long").alias("j"), F.col("x").alias("v")))
-    found = written(rows.repartition(1).mapInArrow(local.task(stages, limit, a.n_rows), "i long, x double, " + META.replace("converged boolean", "converged boolean, finite boolean")))
+    dealt = rows.repartition(1) if tasks == 1 else rows.repartitionById(tasks, F.pmod(F.hash("i"), F.lit(tasks)))
+    run = local.task(stages, limit, a.n_rows, tasks > 1)
+    found = written(dealt.sortWithinPartitions("i", "j", "v").mapInArrow(run, "i long, x double, " + META.replace("converged boolean", "converged boolean, finite boolean"), barrier=tasks > 1))
     metadata = found.where("stage is not null")
     checked(all(r["finite"] for r in metadata.select("finite").collect()))  # a row for each stage
     return Result(found.where("stage is null").select("i", "x"), metadata.drop("i", "x", "finite"))

@@ -1,12 +1,18 @@
-"""Iterating on a matrix small enough for one task: arrays over the entries, numbers cut by their bits."""
+"""Iterating on a matrix whose rows lie in the memory of one task or some: arrays over the entries, numbers cut by their
+bits. Every task holds the whole vector and takes the same steps; of a product it makes its own rows and gathers the
+others'. A row is summed in the order of its columns, so results don't depend on the number of tasks."""
 
 from __future__ import annotations
 
+import secrets
+import socket
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import ExitStack, suppress
 
 import numpy as np
 import pyarrow as pa
+from pyspark import BarrierTaskContext, TaskContext
 
 FIELDS = ("stage", "converged", "finite", "iterations", "total_ns", "prep_ns", "spmv_ns", "exchange_ns", "overhead_ns")
 
@@ -21,13 +27,97 @@ def size_of(x: np.ndarray, p: int) -> float:
     return float(np.abs(x).sum()) if p == 1 else float(np.sqrt((x * x).sum()))
 
 
-class Matrix:
-    def __init__(self, i: np.ndarray, j: np.ndarray, v: np.ndarray, n: int):
-        order = np.lexsort((j, i))
-        self.i, self.j, self.v, self.n = i[order], j[order], v[order], n
+def alone(part: np.ndarray) -> np.ndarray:
+    return part
+
+
+def received(peer: socket.socket, size: int) -> bytearray:
+    out, got = bytearray(size), 0
+    while got < size:
+        n = peer.recv_into(memoryview(out)[got:])
+        if not n:
+            raise ConnectionError("a task of the iteration has gone")
+        got += n
+    return out
+
+
+def sent(peer: socket.socket, part: np.ndarray) -> None:
+    peer.sendall(part.nbytes.to_bytes(8, "big"))
+    peer.sendall(np.ascontiguousarray(part).view(np.uint8))
+
+
+def read(peer: socket.socket) -> bytearray:
+    return received(peer, int.from_bytes(received(peer, 8), "big"))
+
+
+def connected(open_: ExitStack) -> list[socket.socket]:
+    """The first task's connections to the others in their order, another task's one to the first. Spark's own gathering
+    takes a second a call, so it only tells the others the first task's port, and the token that they must show."""
+    context = BarrierTaskContext.get()
+    hosts, me = [x.address.rsplit(":", 1)[0] for x in context.getTaskInfos()], context.partitionId()
+    if me:
+        token, port = context.allGather("")[0].split()
+        peers = {0: open_.enter_context(socket.create_connection((hosts[0], int(port))))}
+        peers[0].sendall(bytes.fromhex(token) + me.to_bytes(4, "big"))
+    else:
+        token = secrets.token_bytes(16)
+        server = open_.enter_context(socket.create_server(("", 0), backlog=len(hosts)))
+        context.allGather(f"{token.hex()} {server.getsockname()[1]}")
+        peers = {}
+        while len(peers) < len(hosts) - 1:
+            peer = open_.enter_context(server.accept()[0])
+            with suppress(OSError):  # whoever else calls has no token
+                peer.settimeout(60)
+                if secrets.compare_digest(received(peer, 16), token):
+                    peers[int.from_bytes(received(peer, 4), "big")] = peer
+                peer.settimeout(None)
+    for peer in peers.values():
+        peer.setsockopt(socket.IPPROTO_TCP, socket.TCP_NODELAY, 1)
+        peer.setsockopt(socket.SOL_SOCKET, socket.SO_KEEPALIVE, 1)
+    return [peers[k] for k in sorted(peers)]
+
+
+def gatherer(open_: ExitStack) -> Callable[[np.ndarray], np.ndarray]:
+    """What puts the arrays of all tasks of a barrier stage together, in the order of tasks."""
+    peers, first = connected(open_), BarrierTaskContext.get().partitionId() == 0
+
+    def together(part: np.ndarray) -> np.ndarray:
+        if not first:
+            sent(peers[0], part)
+            return np.frombuffer(read(peers[0]), part.dtype)
+        whole = np.concatenate([part, *(np.frombuffer(read(p), part.dtype) for p in peers)])
+        for p in peers:
+            sent(p, whole)
+        return whole
+
+    return together
+
 
-    def times(self, x: np.ndarray) -> np.ndarray:
-        return np.bincount(self.i, self.v * x[self.j], self.n)
+class Matrix:
+    #: Entries that a product is made of at a time, rows as a whole.
+    HELD = 1 << 18
+
+    def __init__(self, i: np.ndarray, j: np.ndarray, v: np.ndarray, n: int, together: Callable[[np.ndarray], np.ndarray]):
+        """Some rows' entries, in the order of i and j."""
+        new = np.concatenate([np.ones(min(len(i), 1), bool), i[1:] != i[:-1]])
+        self.place, self.j, self.v, self.n = np.cumsum(new, dtype=np.int32) - np.int32(1), j, v, n
+        self.together, self.rows = together, together(i[new])
+        start = np.append(np.flatnonzero(new), len(i))
+        edges = start[np.searchsorted(start, np.arange(0, len(i), self.HELD))]
+        self.pieces = np.unique(np.append(edges, len(i))).tolist()
+
+    def own(self, x: np.ndarray) -> np.ndarray:
+        """The product's numbers of the rows that this task has."""
+        out = np.zeros(self.place[-1] + 1 if len(self.place) else 0)
+        for low, high in zip(self.pieces[:-1], self.pieces[1:]):
+            first, end = self.place[low], self.place[high - 1] + 1
+            out[first:end] = np.bincount(self.place[low:high] - first, self.v[low:high] * x[self.j[low:high]], end - first)
+        return out
+
+    def all(self, own: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n)
+        out[self.rows] = self.together(own)
+        return out
 
 
 def next_vector(z: np.ndarray, stage) -> np.ndarray | None:
@@ -55,8 +145,10 @@ def run_stage(a: Matrix, x: np.ndarray, stage, budget: int, number: int) -> tupl
     run["prep_ns"] = time.monotonic_ns() - began
     while not run["converged"] and run["iterations"] < budget:
         t0 = time.monotonic_ns()
-        z = a.times(x)
+        own = a.own(x)
         t1 = time.monotonic_ns()
+        z = a.all(own)
+        t2 = time.monotonic_ns()
         new = next_vector(z, stage)
         if new is None:
             break
@@ -67,32 +159,39 @@ def run_stage(a: Matrix, x: np.ndarray, stage, budget: int, number: int) -> tupl
         run["finite"] = bool(np.isfinite(difference))
         run["converged"] = difference < stage.tolerance
         run["spmv_ns"].append(t1 - t0)
-        run["exchange_ns"].append(0)  # nothing leaves the task
-        run["overhead_ns"].append(time.monotonic_ns() - t1)
+        run["exchange_ns"].append(t2 - t1)
+        run["overhead_ns"].append(time.monotonic_ns() - t2)
         if not run["finite"]:
             break
     run["total_ns"] = time.monotonic_ns() - began
     return x, run
 
 
-def task(stages: list, limit: int, n: int):
-    """For mapInArrow over one partition of entries (i, j, v), and of the vector's numbers with j = -1."""
+def task(stages: list, limit: int, n: int, several: bool = False):
+    """For mapInArrow over entries (i, j, v) in the order of i and j, and the vector's numbers with j = -1; over one
+    partition, or over several of a barrier stage that have whole rows each. The first task returns the result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[b.column(c).to_numpy() for c in range(3)] for b in batches if b.num_rows]
-        i, j, v = (np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, (np.int64, np.int64, np.float64)[c]) for c in range(3))
+        kinds = (np.int32, np.int32, np.float64)
+        parts = [[b.column(c).to_numpy().astype(kind) for c, kind in enumerate(kinds)] for b in batches if b.num_rows]
+        i, j, v = (np.concatenate([np.zeros(0, kind), *(p[c] for p in parts)]) for c, kind in enumerate(kinds))
+        del parts
         own = j < 0
-        x = np.zeros(n)
-        x[i[own]] = v[own]
-        a = Matrix(i[~own], j[~own], v[~own], n)
         left, runs = limit, []
-        with np.errstate(all="ignore"):
+        with np.errstate(all="ignore"), ExitStack() as open_:
+            together = gatherer(open_) if several else alone
+            x = np.zeros(n)
+            x[together(i[own])] = together(v[own])
+            a = Matrix(i[~own], j[~own], v[~own], n, together)
+            del i, j, v
             for k, stage in enumerate(stages):
                 x, found = run_stage(a, x, stage, left, k)
                 left -= found["iterations"]
                 runs.append(found)
                 if not found["finite"]:
                     break
+        if several and TaskContext.get().partitionId():
+            return
         none = pa.nulls
         lists = pa.list_(pa.int64())
         kinds = (pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), lists, lists, lists)

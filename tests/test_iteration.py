@@ -7,6 +7,7 @@ from lodestone.operators import vector
 from lodestone.operators.eigen import pagerank, power_iteration
 from lodestone.operators.matrix import SparseMatrix
 from lodestone.operators.vector import constant
+from lodestone.plans import fixpoint
 from lodestone.plans.state import shared_dir
 from lodestone.workloads import iterations
 from pyspark.sql import functions as F
@@ -123,3 +124,17 @@ def test_overflow_is_an_error(spark, plan):
 def test_statistics(spark):
     got = spark.createDataFrame([(1,), (2,), (3,), (4,)], "x int").agg(median(F.col("x")).alias("m"), average(F.col("x")).alias("a"), median(F.col("x"), False).alias("e")).first()
     assert tuple(got) == (2, 2, 2.5)
+
+
+def test_several_tasks_take_the_same_steps(spark, monkeypatch):
+    monkeypatch.setattr(fixpoint, "ARRAY_VALUES", 300)
+    place = F.col("id") * 7919 % 4000  # of 100 rows and columns, rows 90 to 99 and column 99 are empty
+    entries = spark.range(1500).select((place % 90).alias("i"), (F.floor(place / 90) * 2 % 99).alias("j"), (F.col("id") % 5 + 0.1).alias("v"))
+    m = SparseMatrix.of(entries, 100, 100).kept()
+    assert fixpoint.array_tasks(m) == min(5, fixpoint.slots(spark))
+    for run in (lambda plan: pagerank(m.scaled_columns(), (4, 8), limit=50, plan=plan), lambda plan: power_iteration(m, (6, 8), limit=20, plan=plan)):
+        several, one, joined = (run(plan) for plan in ("auto", "array", "join"))
+        assert values(several.vector) == values(one.vector) == pytest.approx(values(joined.vector), abs=1e-12)
+        assert iterations(several) == iterations(one)
+    monkeypatch.setattr(fixpoint, "TASK_VALUES", 100)
+    assert fixpoint.array_tasks(m) == 0
