@@ -134,6 +134,9 @@ def next_vector(z: np.ndarray, stage) -> np.ndarray | None:
 
 
 def run_stage(a: Matrix, x: np.ndarray, stage, budget: int, number: int) -> tuple[np.ndarray, dict]:
+    """The last vector and the stage's metadata. A vector follows from the one before it alone. So one that was there
+    before, steps ago, comes again and again and none of them converges: whole rounds are counted without being taken,
+    and have no times."""
     began = time.monotonic_ns()
     run = dict(zip(FIELDS, (number, False, True, 0, 0, 0, [], [], []), strict=True))
     x = cut(x, stage.state_width)
@@ -142,6 +145,7 @@ def run_stage(a: Matrix, x: np.ndarray, stage, budget: int, number: int) -> tupl
         if not size:
             return x, run
         x = cut(x / size, stage.state_width)
+    seen, at = x, 0
     run["prep_ns"] = time.monotonic_ns() - began
     while not run["converged"] and run["iterations"] < budget:
         t0 = time.monotonic_ns()
@@ -163,6 +167,12 @@ def run_stage(a: Matrix, x: np.ndarray, stage, budget: int, number: int) -> tupl
         run["overhead_ns"].append(time.monotonic_ns() - t2)
         if not run["finite"]:
             break
+        taken = run["iterations"]
+        if taken < budget and not run["converged"]:
+            if np.array_equal(x, seen):
+                run["iterations"] += (budget - taken) // (taken - at) * (taken - at)
+            elif taken & (taken - 1) == 0:
+                seen, at = x, taken
     run["total_ns"] = time.monotonic_ns() - began
     return x, run
 

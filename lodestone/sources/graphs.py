@@ -30,8 +30,9 @@ def supplier_orders(spark: SparkSession, sf_dir: str) -> SparseMatrix:
     n = table(spark, sf_dir, "supplier").count()
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("i")).groupBy("l_orderkey", "i").agg(F.count("*").alias("a"))
     other = lines.select("l_orderkey", F.col("i").alias("j"), F.col("a").alias("b"))
-    pairs = lines.join(other, "l_orderkey").where("i <> j").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("v"))
-    return SparseMatrix.of(pairs, n, n)
+    pairs = lines.join(other, "l_orderkey").where("i < j").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("v"))
+    both = F.inline(F.array(F.struct("i", "j", "v"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "v")))
+    return SparseMatrix.of(pairs.select(both), n, n)
 
 
 def user_hops(spark: SparkSession, sf_dir: str) -> SparseMatrix:

@@ -138,3 +138,12 @@ def test_several_tasks_take_the_same_steps(spark, monkeypatch):
         assert iterations(several) == iterations(one)
     monkeypatch.setattr(fixpoint, "TASK_VALUES", 100)
     assert fixpoint.array_tasks(m) == 0
+
+
+def test_rounds_that_repeat_are_counted_and_not_taken(spark):
+    turn = SparseMatrix.of(spark.createDataFrame([(1, 0, 1.0), (2, 1, 2.0), (0, 2, 4.0)], "i long, j long, v double"), 3, 3)
+    for limit in (998, 999, 1000):
+        few, many = (power_iteration(turn, limit=n, plan="array") for n in (limit % 3 + 30, limit))
+        assert values(few.vector) == values(many.vector)
+        assert iterations(many) == [(False, limit)]
+        assert len(many.metadata.first()["spmv_ns"]) < 30
