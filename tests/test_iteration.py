@@ -147,3 +147,16 @@ def test_rounds_that_repeat_are_counted_and_not_taken(spark):
         assert values(few.vector) == values(many.vector)
         assert iterations(many) == [(False, limit)]
         assert len(many.metadata.first()["spmv_ns"]) < 30
+
+
+@pytest.mark.parametrize("widths", [(2, 4, 6, 8), (4, 6, 8), (4, 8), (8,)])
+def test_power_iteration_in_several_tasks_converges_by_the_same_steps(spark, monkeypatch, widths):
+    n = 60
+    entries = spark.range(n * n).select(F.floor(F.col("id") / n).alias("i"), (F.col("id") % n).alias("j"), (F.col("id") * 7919 % 13 + 1.0).alias("v"))
+    m = SparseMatrix.of(entries, n, n).kept()
+    one = power_iteration(m, widths, local=True)
+    monkeypatch.setattr(fixpoint, "ARRAY_VALUES", 1200)
+    several = power_iteration(m, widths, local=True)
+    assert fixpoint.array_tasks(m) == min(3, fixpoint.slots(spark))
+    assert iterations(one) == iterations(several) and all(done for done, _ in iterations(several))
+    assert values(one.vector) == values(several.vector)
