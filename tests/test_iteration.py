@@ -160,3 +160,13 @@ def test_power_iteration_in_several_tasks_converges_by_the_same_steps(spark, mon
     assert fixpoint.array_tasks(m) == min(3, fixpoint.slots(spark))
     assert iterations(one) == iterations(several) and all(done for done, _ in iterations(several))
     assert values(one.vector) == values(several.vector)
+
+
+def test_many_rows_of_few_entries_need_no_job_a_step(spark):
+    n = 90_000
+    hops = spark.range(n).select(((F.col("id") + 1) % n).alias("i"), F.col("id").alias("j"), (F.col("id") % 3 + 1.0).alias("v"))
+    m = SparseMatrix.of(hops, n, n).kept()
+    assert fixpoint.array_tasks(m) == 1
+    result = power_iteration(m, limit=200)
+    assert iterations(result) == [(False, 200)]
+    assert result.vector.count() == n
