@@ -17,6 +17,8 @@ Counts of the FREQUENT most frequent words go to all tasks; the rarer words of a
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,7 +36,9 @@ FREQUENT = 200_000
 GROUP_TOKENS = 1 << 21
 #: Tokens that a task holds at a time while it counts words or trigrams.
 HELD = 1 << 19
-RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that Spark hands to Python, and reads, at a time: texts, and packed trigrams, which are long. Both hold whole batches.
+RECORDS, READ = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
+TEXT_ROWS, PACKED_ROWS = 1000, 32
 NOISE, BATCH, EPOCHS, RATE = 16, 16384, 1, 0.1
 #: Preceding units that a unit's class is chosen by; all others are one.
 NEIGHBOURS = 64
@@ -316,9 +320,19 @@ def trigrams(rows: DataFrame, words, groups: int) -> DataFrame:
     return materialise(rows.where("not held_out").select("text").mapInArrow(run, "g long, codes binary, counts binary"))
 
 
+def numbers(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """What the rows of a binary column hold together, read where it lies if there is one chunk."""
+    parts = []
+    for x in column.chunks:
+        _, ends, data = x.buffers()
+        ends = np.frombuffer(ends, np.int32)[x.offset : x.offset + len(x) + 1] if len(x) else [0, 0]
+        parts.append(np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(kind) if ends[-1] > ends[0] else np.zeros(0, kind))
+    return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, kind), *parts])
+
+
 def unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """(the different trigrams in order, how often each occurs)"""
-    code, count = (np.frombuffer(b"".join(rows.column(c).to_pylist()), kind) for c, kind in (("codes", np.int64), ("counts", np.int32)))
+    code, count = numbers(rows.column("codes"), np.int64), numbers(rows.column("counts"), np.int32)
     if not len(code):
         return code, count.astype(float)
     order = np.argsort(code, kind="stable")
@@ -390,6 +404,18 @@ def train(packed: DataFrame, unigram: np.ndarray, cls: np.ndarray) -> LogBilinea
     return model
 
 
+@contextmanager
+def rows_at_a_time(session, n: int):
+    before = {k: session.conf.get(k) for k in (RECORDS, READ)}
+    try:
+        for k, v in before.items():
+            session.conf.set(k, str(min(int(v), n) if int(v) > 0 else n))
+        yield
+    finally:
+        for k, v in before.items():
+            session.conf.set(k, v)
+
+
 def score(documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -399,6 +425,11 @@ def score(documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
     both stay defined (base_score 0). Repeated rows are scored, and learned from, each by itself. Other columns are
     left out; an empty table gives no rows. A text's score does not depend on how rows are dealt over files or tasks.
     """
+    with rows_at_a_time(documents.sparkSession, TEXT_ROWS):
+        return scores(documents, id_col)
+
+
+def scores(documents: DataFrame, id_col: str) -> DataFrame:
     kind = documents.select(id_col).dtypes[0][1]
     held = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(10)) == 0
     rows = documents.select(F.col(id_col).alias("id"), F.col("text").alias("text"), held.alias("held_out"))
@@ -424,13 +455,8 @@ def score(documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
     context = documents.sparkSession.sparkContext
     words = context.broadcast(frequent)
     packed = trigrams(rows, words, -(-int(total + ends) // GROUP_TOKENS) or 1)
-    session = documents.sparkSession
-    before = session.conf.get(RECORDS)
-    session.conf.set(RECORDS, "32")  # packed rows are long, and a task holds whole batches of them
-    try:
+    with rows_at_a_time(documents.sparkSession, PACKED_ROWS):
         model = train(packed, unigram, classes_of(neighbours(packed)))
-    finally:
-        session.conf.set(RECORDS, before)
     discard(packed)
     model.__dict__.pop("squares", None)
     log_group = np.log10(by_ending[:, 0] + 0.1 * (by_ending[:, 1] + 1))

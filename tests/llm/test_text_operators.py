@@ -62,6 +62,7 @@ def collected(df):
 
 
 def test_hashing_kernels_split_words_as_the_pattern_does(rows):
+    import numpy as np
     import pyarrow as pa
 
     texts = [r[1] for r in rows]
@@ -695,3 +696,23 @@ def test_mixing(documents, rows, nothing):
     mixed = mixture.mix_documents(documents)
     assert mixed.schema == documents.schema and mixed.count() == sum(r["copies"] for r in got)
     assert mixture.mix_documents(nothing).count() == 0
+
+
+def test_language_model_hands_few_rows_to_python_at_a_time(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestone.llm import language_model as lm
+
+    seen, before = {}, spark.conf.get(lm.RECORDS)
+    for name in ("trigrams", "neighbours", "train"):
+        step = lambda *a, f=getattr(lm, name), n=name: (seen.__setitem__(n, int(spark.conf.get(lm.RECORDS))), f(*a))[1]
+        monkeypatch.setattr(lm, name, step)
+    assert lm.score(spark.createDataFrame([(k, "one two three") for k in range(30)], "doc_id long, text string")).count() == 30
+    assert seen == {"trigrams": 1000, "neighbours": 32, "train": 32} and spark.conf.get(lm.RECORDS) == before
+    packed = pa.table({"codes": [np.array([7, k], np.int64).tobytes() for k in range(4)], "counts": [np.array([1, k], np.int32).tobytes() for k in range(4)]}, pa.schema([("codes", pa.binary()), ("counts", pa.binary())]))
+    for rows in (packed, packed.slice(1, 2), pa.concat_tables([packed.slice(1, 1), packed.slice(2, 1)])):
+        code, count = lm.unpacked(rows)
+        want = {0: 0.0, 1: 1.0, 2: 2.0, 3: 3.0, 7: 4.0} if rows.num_rows == 4 else {1: 1.0, 2: 2.0, 7: 2.0}
+        assert dict(zip(code.tolist(), count.tolist())) == want
+    assert not len(lm.unpacked(packed.slice(0, 0))[0])
