@@ -150,26 +150,27 @@ class LogBilinear:
             self.step("c2", slice(None), g2)
 
     def log_probability(self, w2, w1, w0) -> np.ndarray:
-        """Of each token, normalised over all classes and all units of its class."""
+        """Of each token, normalised over all classes and all units of its class. Tokens are taken by their classes, so
+        that a class's units are multiplied with as many contexts at a time as there are."""
         out = np.empty(len(w0))
-        order = np.argsort(self.cls[w0], kind="stable")
+        cls = self.cls[w0].astype(np.int16)
+        order = np.argsort(cls, kind="stable")
+        cut = np.searchsorted(cls[order], np.arange(CLASSES + 1))
         single = {n: getattr(self, n).astype(np.float32) for n in ("r", "q", "b", "a", "d", "c1", "c2")}
-        p1, p2 = single["r"] @ single["c1"], single["r"] @ single["c2"]
-        for lo in range(0, len(order), 1 << 14):
-            at = order[lo : lo + (1 << 14)]
-            h, y = p1[w1[at]] + p2[w2[at]], w0[at]
-            c = self.cls[y]
-            scores = h @ single["a"].T + single["d"]
-            value = scores[np.arange(len(at)), c]
-            value -= log_sums(scores)
-            cut = np.searchsorted(c, np.arange(CLASSES + 1))
-            for k in np.unique(c).tolist():
-                s, members = slice(cut[k], cut[k + 1]), self.of_class[k]
-                scores = h[s] @ single["q"][members].T + single["b"][members]
-                place = np.searchsorted(members, y[s])
-                value[s] += scores[np.arange(len(place)), place]
-                value[s] -= log_sums(scores)
-            out[at] = value
+        p1, p2, classes = single["r"] @ single["c1"], single["r"] @ single["c2"], single["a"].T
+        for k in np.flatnonzero(np.diff(cut)).tolist():
+            members = self.of_class[k]
+            units, bias = single["q"][members].T, single["b"][members]
+            for lo in range(cut[k], cut[k + 1], 1 << 11):
+                at = order[lo : min(lo + (1 << 11), cut[k + 1])]
+                h = p1[w1[at]] + p2[w2[at]]
+                scores = h @ classes + single["d"]
+                value = scores[:, k].copy()
+                value -= log_sums(scores)
+                scores = h @ units + bias
+                value += scores[np.arange(len(at)), np.searchsorted(members, w0[at])]
+                value -= log_sums(scores)
+                out[at] = value
         return out
 
     def rows(self) -> np.ndarray:
