@@ -93,15 +93,37 @@ def gatherer(open_: ExitStack) -> Callable[[np.ndarray], np.ndarray]:
     return together
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(i, x) of the rows with j = -1, (i, j, v) of the others. The columns grow in place by an eighth, so that a task
+    holds little more than the 16 bytes of each entry."""
+    kinds = (np.int32, np.int32, np.float64)
+    entries, n, own = [np.zeros(0, kind) for kind in kinds], 0, [[np.zeros(0, kind)] for kind in kinds[::2]]
+    for b in batches:
+        got = [b.column(c).to_numpy().astype(kind) for c, kind in enumerate(kinds)]
+        first = got[1] < 0
+        for parts, column in zip(own, got[::2], strict=True):
+            parts.append(column[first])
+        end = n + int((~first).sum())
+        for whole, column in zip(entries, got, strict=True):
+            if end > len(whole):
+                whole.resize(end + len(whole) // 8, refcheck=False)
+            whole[n:end] = column[~first]
+        n = end
+    for whole in entries:
+        whole.resize(n, refcheck=False)
+    return [np.concatenate(parts) for parts in own], entries
+
+
 class Matrix:
     #: Entries that a product is made of at a time, rows as a whole.
     HELD = 1 << 18
 
     def __init__(self, i: np.ndarray, j: np.ndarray, v: np.ndarray, n: int, together: Callable[[np.ndarray], np.ndarray]):
-        """Some rows' entries, in the order of i and j."""
+        """Some rows' entries, in the order of i and j; the arrays are taken over, i for the rows' places."""
         new = np.concatenate([np.ones(min(len(i), 1), bool), i[1:] != i[:-1]])
-        self.place, self.j, self.v, self.n = np.cumsum(new, dtype=np.int32) - np.int32(1), j, v, n
         self.together, self.rows = together, together(i[new])
+        self.place, self.j, self.v, self.n = np.cumsum(new, dtype=np.int32, out=i), j, v, n
+        self.place -= np.int32(1)
         start = np.append(np.flatnonzero(new), len(i))
         edges = start[np.searchsorted(start, np.arange(0, len(i), self.HELD))]
         self.pieces = np.unique(np.append(edges, len(i))).tolist()
@@ -182,18 +204,13 @@ def task(stages: list, limit: int, n: int, several: bool = False):
     partition, or over several of a barrier stage that have whole rows each. The first task returns the result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (np.int32, np.int32, np.float64)
-        parts = [[b.column(c).to_numpy().astype(kind) for c, kind in enumerate(kinds)] for b in batches if b.num_rows]
-        i, j, v = (np.concatenate([np.zeros(0, kind), *(p[c] for p in parts)]) for c, kind in enumerate(kinds))
-        del parts
-        own = j < 0
+        (at, start), (i, j, v) = gathered(batches)
         left, runs = limit, []
         with np.errstate(all="ignore"), ExitStack() as open_:
             together = gatherer(open_) if several else alone
             x = np.zeros(n)
-            x[together(i[own])] = together(v[own])
-            a = Matrix(i[~own], j[~own], v[~own], n, together)
-            del i, j, v
+            x[together(at)] = together(start)
+            a = Matrix(i, j, v, n, together)
             for k, stage in enumerate(stages):
                 x, found = run_stage(a, x, stage, left, k)
                 left -= found["iterations"]

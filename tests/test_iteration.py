@@ -170,3 +170,32 @@ def test_many_rows_of_few_entries_need_no_job_a_step(spark):
     result = power_iteration(m, limit=200)
     assert iterations(result) == [(False, 200)]
     assert result.vector.count() == n
+
+
+def test_a_task_holds_little_more_than_its_entries():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestone.plans import local
+
+    n, rows, size = 2_000_000, 2000, 10_000
+
+    def batches():
+        for low in range(0, n, size):
+            place = np.arange(low, low + size)
+            i, j = place // (n // rows), place % (n // rows) * 2
+            first = j == 0  # a row's number of the vector comes before its entries
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(np.where(first, -1, j)), pa.array(np.ones(size))], names=["i", "j", "v"])
+
+    run = local.task([fixpoint.Stage(power=True)], 3, rows)
+    next(batches())  # what Arrow imports is not counted
+    tracemalloc.start()
+    try:
+        vector, metadata = run(batches())
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert vector.column("x").to_numpy() == pytest.approx(rows**-0.5) and metadata.column("iterations").to_pylist() == [1]
+    assert peak < 24 * n
