@@ -126,8 +126,9 @@ def array_tasks(a: SparseMatrix) -> int:
 def array_plan(a: SparseMatrix, initial: DataFrame, stages: list[Stage], limit: int, tasks: int = 1) -> Result:
     rows = a.entries.select("i", "j", "v").unionByName(initial.select("i", F.lit(-1).cast("long").alias("j"), F.col("x").alias("v")))
     dealt = rows.repartition(1) if tasks == 1 else rows.repartitionById(tasks, F.pmod(F.hash("i"), F.lit(tasks)))
+    dealt = dealt.sortWithinPartitions(F.col("i") * (a.n_cols + 1) + F.col("j"))  # Spark sorts one number by its bits
     run = local.task(stages, limit, a.n_rows, tasks > 1)
-    found = written(dealt.sortWithinPartitions("i", "j", "v").mapInArrow(run, "i long, x double, " + META.replace("converged boolean", "converged boolean, finite boolean"), barrier=tasks > 1))
+    found = written(dealt.mapInArrow(run, "i long, x double, " + META.replace("converged boolean", "converged boolean, finite boolean"), barrier=tasks > 1))
     metadata = found.where("stage is not null")
     checked(all(r["finite"] for r in metadata.select("finite").collect()))  # a row for each stage
     return Result(found.where("stage is null").select("i", "x"), metadata.drop("i", "x", "finite"))

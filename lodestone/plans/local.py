@@ -111,6 +111,11 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> tuple[list[np.ndarray], list[
         n = end
     for whole in entries:
         whole.resize(n, refcheck=False)
+    i, j, v = entries
+    same = (i[1:] == i[:-1]) & (j[1:] == j[:-1])
+    if same.any():  # at the same place by value
+        at = np.flatnonzero(np.append(same, False) | np.append(False, same))
+        v[at] = v[at][np.lexsort((v[at], j[at], i[at]))]
     return [np.concatenate(parts) for parts in own], entries
 
 

@@ -1,3 +1,4 @@
+import re
 from pathlib import Path
 
 import pytest
@@ -8,7 +9,7 @@ from lodestone.operators.eigen import pagerank, power_iteration
 from lodestone.operators.matrix import SparseMatrix
 from lodestone.operators.vector import constant
 from lodestone.plans import fixpoint
-from lodestone.plans.state import shared_dir
+from lodestone.plans.state import shared_dir, written
 from lodestone.workloads import iterations
 from pyspark.sql import functions as F
 
@@ -199,3 +200,27 @@ def test_a_task_holds_little_more_than_its_entries():
         tracemalloc.stop()
     assert vector.column("x").to_numpy() == pytest.approx(rows**-0.5) and metadata.column("iterations").to_pylist() == [1]
     assert peak < 24 * n
+
+
+def test_the_array_plan_sorts_by_one_number(spark, links, monkeypatch):
+    seen = []
+
+    def kept(df):
+        seen.append(df._jdf.queryExecution().sparkPlan().toString())
+        return written(df)
+
+    monkeypatch.setattr(fixpoint, "written", kept)
+    result = pagerank(links, plan="array")
+    assert values(result.vector) == pytest.approx(FIXPOINT, abs=1e-12)
+    (orders,) = re.findall(r"Sort \[(.*?)\], false", seen[0])
+    assert orders.count("ASC") == 1
+
+
+def test_entries_at_the_same_place_add_up_in_one_order(spark):
+    places = [(i, j) for i in range(3) for j in range(3)]
+    rows = [(i, j, v + k) for k, (i, j) in enumerate(places) for v in (1e16, 1.0, 1.0, -1e16, 0.3, 7.1e-9)]
+    found = set()
+    for turn in range(4):
+        dealt = spark.createDataFrame(rows[turn * 13 :] + rows[: turn * 13], "i long, j long, v double").repartition(turn + 1)
+        found.add(tuple(values(power_iteration(SparseMatrix.of(dealt, 3, 3), limit=3, plan="array").vector)))
+    assert len(found) == 1
