@@ -36,6 +36,8 @@ FREQUENT = 200_000
 GROUP_TOKENS = 1 << 21
 #: Tokens that a task holds at a time while it counts words or trigrams.
 HELD = 1 << 19
+#: Contexts whose scores are made at a time.
+HELD_SCORES = 1 << 11
 #: Rows that Spark hands to Python, and reads, at a time: texts, and packed trigrams, which are long. Both hold whole batches.
 RECORDS, READ = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
 TEXT_ROWS, PACKED_ROWS = 1000, 32
@@ -96,13 +98,19 @@ class LogBilinear:
         return self.r[w1] @ self.c1 + self.r[w2] @ self.c2
 
     @staticmethod
-    def nce(h, share, real_v, real_b, noise_v, noise_b, log_real, log_noise):
-        """Gradients of one choice: (of h, of the real ones' vectors and biases, of the noise's vectors and biases)."""
+    def told(h, share, real_v, real_b, log_real) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Gradients of telling the real ones from noise: (of h, of their vectors, of their biases)."""
         real = np.einsum("ij,ij->i", h, real_v) + real_b - log_real
-        false = h @ noise_v.T + noise_b - log_noise
         g_real = share / (1 + np.exp(np.clip(real, -30, 30)))
-        g_false = -share[:, None] / (1 + np.exp(-np.clip(false, -30, 30)))
-        return g_real[:, None] * real_v + g_false @ noise_v, g_real[:, None] * h, g_real, g_false.T @ h, g_false.sum(axis=0)
+        return g_real[:, None] * real_v, g_real[:, None] * h, g_real
+
+    @staticmethod
+    def refused(false: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """Gradients of the scores of noise, which are overwritten."""
+        np.clip(false, -30, 30, out=false)
+        np.exp(np.negative(false, out=false), out=false)
+        false += 1
+        return np.divide(-share[:, None], false, out=false)
 
     def step(self, name: str, rows, gradient) -> None:
         """Adagrad; rows: those that the gradient has."""
@@ -117,6 +125,7 @@ class LogBilinear:
         order = rng.permutation(len(w0))
         log_p = np.log(NOISE * self.class_unigram).astype(np.float32)
         log_own = np.log(NOISE * self.unigram / self.class_unigram[self.cls]).astype(np.float32)
+        up_to = np.cumsum(self.unigram[self.of_class] / self.class_unigram[:, None], axis=1)
         size = min(BATCH, max(512, len(order) // 100))  # few trigrams take smaller steps
         for lo in range(0, len(order), size):
             at = order[lo : lo + size]
@@ -125,20 +134,30 @@ class LogBilinear:
             share = (weight[at] / weight[at].sum()).astype(np.float32)
             h = self.contexts(x1, x2)
             noise = rng.choice(CLASSES, NOISE, p=self.class_unigram)
-            g_h, g_v, g_b, n_v, n_b = self.nce(h, share, self.a[c], self.d[c], self.a[noise], self.d[noise], log_p[c], log_p[noise])
+            noise_v = self.a[noise]
+            g_h, g_v, g_b = self.told(h, share, self.a[c], self.d[c], log_p[c])
+            g_false = self.refused(h @ noise_v.T + self.d[noise] - log_p[noise], share)
+            g_h += g_false @ noise_v
+            n_v, n_b = g_false.T @ h, g_false.sum(axis=0)
             a_rows, a_sums = row_sums(np.concatenate([c, noise]), np.concatenate([np.column_stack([g_v, g_b]), np.column_stack([n_v, n_b])]))
-            cut = np.searchsorted(c, np.arange(CLASSES + 1))
-            rows, sums = [], []
+            cut = np.searchsorted(c, np.arange(CLASSES + 1)).tolist()
             draws = rng.random((CLASSES, NOISE))
-            for k in np.unique(c).tolist():
-                s, members = slice(cut[k], cut[k + 1]), self.of_class[k]
-                p = self.unigram[members] / self.class_unigram[k]
-                noise = members[np.minimum(np.searchsorted(np.cumsum(p), draws[k]), MEMBERS - 1)]
-                g, v, b, v2, b2 = self.nce(h[s], share[s], self.q[y[s]], self.b[y[s]], self.q[noise], self.b[noise], log_own[y[s]], log_own[noise])
-                g_h[s] += g
-                rows += [y[s], noise]
-                sums += [np.column_stack([v, b]), np.column_stack([v2, b2])]
-            q_rows, q_sums = row_sums(np.concatenate(rows), np.concatenate(sums))
+            there = np.unique(c).tolist()
+            noise = np.concatenate([self.of_class[k][np.minimum(np.searchsorted(up_to[k], draws[k]), MEMBERS - 1)] for k in there])
+            noise_v, noise_b, log_noise = self.q[noise], self.b[noise], log_own[noise]
+            own, g_v, g_b = self.told(h, share, self.q[y], self.b[y], log_own[y])
+            places = [(slice(cut[k], cut[k + 1]), slice(n * NOISE, (n + 1) * NOISE)) for n, k in enumerate(there)]
+            g_false = np.empty((len(y), NOISE), np.float32)
+            for s, t in places:
+                g_false[s] = h[s] @ noise_v[t].T + noise_b[t] - log_noise[t]
+            self.refused(g_false, share)
+            n_v = np.empty((len(noise), WIDTH + 1), np.float32)
+            for s, t in places:
+                own[s] += g_false[s] @ noise_v[t]
+                n_v[t, :-1] = g_false[s].T @ h[s]
+                n_v[t, -1] = g_false[s].sum(axis=0)
+            g_h += own
+            q_rows, q_sums = row_sums(np.concatenate([y, noise]), np.concatenate([np.column_stack([g_v, g_b]), n_v]))
             r_rows, r_sums = row_sums(np.concatenate([x1, x2]), np.concatenate([g_h @ self.c1.T, g_h @ self.c2.T]))
             g1, g2 = self.r[x1].T @ g_h, self.r[x2].T @ g_h
             self.step("a", a_rows, a_sums[:, :-1])
@@ -149,28 +168,59 @@ class LogBilinear:
             self.step("c1", slice(None), g1)
             self.step("c2", slice(None), g2)
 
-    def log_probability(self, w2, w1, w0) -> np.ndarray:
-        """Of each token, normalised over all classes and all units of its class. Tokens are taken by their classes, so
-        that a class's units are multiplied with as many contexts at a time as there are."""
-        out = np.empty(len(w0))
+    def factors(self) -> tuple[np.ndarray, ...]:
+        """(p1, p2: what a preceding unit adds to a context, with a last number that takes the bias; e1, t1, e2, t2: the
+        exponentials of what it adds to each class's score, less the greatest one, and that one; each unit's place in
+        its class)."""
+        one = np.ones((UNITS, 1), np.float32)
+        p1, p2 = (np.concatenate([x, last], axis=1) for x, last in ((self.r @ self.c1, one), (self.r @ self.c2, 0 * one)))
+        classes = np.concatenate([self.a, self.d[:, None]], axis=1).T
+        found = [p1, p2]
+        for p in (p1, p2):
+            scores = p @ classes
+            top = scores.max(axis=1)
+            found += [np.exp(scores - top[:, None]), top]
+        place = np.empty(UNITS, np.int64)
+        place[self.of_class.ravel()] = np.tile(np.arange(MEMBERS), CLASSES)
+        return *found, place
+
+    def log_class_sums(self, w2, w1, factors) -> np.ndarray:
+        """log of the sum of exponentials of all classes' scores, for each context. An exponential is the product of
+        what the two units give, so a context takes no exponentials of its own, but where the sum nearly vanishes."""
+        p1, p2, e1, t1, e2, t2, _ = factors
+        out = np.empty(len(w1))
+        for lo in range(0, len(w1), HELD_SCORES):
+            x1, x2 = w1[lo : lo + HELD_SCORES], w2[lo : lo + HELD_SCORES]
+            sums = np.einsum("ij,ij->i", e1.take(x1, axis=0), e2.take(x2, axis=0))
+            few = np.flatnonzero(sums < 1e-20)
+            sums[few] = 1
+            out[lo : lo + HELD_SCORES] = np.log(sums) + t1[x1] + t2[x2]
+            if len(few):
+                out[lo + few] = log_sums((p1[x1[few]] + p2[x2[few]]) @ np.concatenate([self.a, self.d[:, None]], axis=1).T)
+        return out
+
+    def log_probability(self, w2, w1, w0, factors=None) -> np.ndarray:
+        """Of each token, normalised over all classes and all units of its class. Classes are summed up once for equal
+        contexts in a row; then tokens are taken by their classes, so that a class's units are multiplied with as many
+        contexts at a time as there are."""
+        factors = factors or self.factors()
+        p1, p2, *_, place = factors
+        first = np.ones(len(w0), bool)
+        first[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
+        out = -self.log_class_sums(w2[first], w1[first], factors)[np.cumsum(first) - 1]
         cls = self.cls[w0].astype(np.int16)
         order = np.argsort(cls, kind="stable")
         cut = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        single = {n: getattr(self, n).astype(np.float32) for n in ("r", "q", "b", "a", "d", "c1", "c2")}
-        p1, p2, classes = single["r"] @ single["c1"], single["r"] @ single["c2"], single["a"].T
+        classes, units = (np.concatenate([v, bias[:, None]], axis=1) for v, bias in ((self.a, self.d), (self.q, self.b)))
         for k in np.flatnonzero(np.diff(cut)).tolist():
-            members = self.of_class[k]
-            units, bias = single["q"][members].T, single["b"][members]
-            for lo in range(cut[k], cut[k + 1], 1 << 11):
-                at = order[lo : min(lo + (1 << 11), cut[k + 1])]
-                h = p1[w1[at]] + p2[w2[at]]
-                scores = h @ classes + single["d"]
-                value = scores[:, k].copy()
-                value -= log_sums(scores)
-                scores = h @ units + bias
-                value += scores[np.arange(len(at)), np.searchsorted(members, w0[at])]
-                value -= log_sums(scores)
-                out[at] = value
+            members = units[self.of_class[k]].T
+            for lo in range(cut[k], cut[k + 1], HELD_SCORES):
+                at = order[lo : min(lo + HELD_SCORES, cut[k + 1])]
+                h = p1.take(w1[at], axis=0)
+                h += p2.take(w2[at], axis=0)
+                scores = h @ members
+                value = h @ classes[k] + scores[np.arange(len(at)), place[w0[at]]]
+                out[at] += value - log_sums(scores)
         return out
 
     def rows(self) -> np.ndarray:
@@ -194,7 +244,7 @@ def log_sums(scores: np.ndarray) -> np.ndarray:
         scores -= top[:, None]
     else:
         top = 0
-    return top + np.log(np.exp(scores, out=scores).sum(axis=1))
+    return top + np.log(np.exp(scores, out=scores) @ np.ones(scores.shape[1], scores.dtype))
 
 
 def endings(w, of=slice(None)) -> np.ndarray:
@@ -465,12 +515,13 @@ def scores(documents: DataFrame, id_col: str) -> DataFrame:
 
     def run(batches):
         m, log_rest = shared.value
+        factors = m.factors()
         for batch in batches:
             for low, high, w in text_chunks(batch.column("text"), lower=True):
                 unit, c = words.value.find(w)
                 w2, w1, w0, start = sequences(w.first, unit)
                 code, back = np.unique((w2 * UNITS + w1) * UNITS + w0, return_inverse=True)
-                log_p = m.log_probability(code // UNITS**2, code // UNITS % UNITS, code % UNITS)[back]
+                log_p = m.log_probability(code // UNITS**2, code // UNITS % UNITS, code % UNITS, factors)[back]
                 by_text = lambda x, at: np.array([x[a:b].sum() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
                 rare = c < 0
                 part = np.where(rare, 0, np.log10(np.where(rare, 1, c + 0.1)))
