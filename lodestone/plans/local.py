@@ -120,25 +120,63 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> tuple[list[np.ndarray], list[
 
 
 class Matrix:
-    #: Entries that a product is made of at a time, rows as a whole.
-    HELD = 1 << 18
+    """Some rows' entries. A product adds the first entries of all rows at the same time, then the second ones and so on,
+    so that each row is summed in the order of its columns, and no addition waits for the one before it."""
+
+    #: Entries that are put in order together, rows as a whole; entries that are multiplied at a time, about.
+    HELD, MULTIPLIED = 1 << 19, 1 << 15
+    #: Rows, at least, whose entries are added at the same time; what is left of fewer rows is added one by one.
+    ABREAST = 256
 
     def __init__(self, i: np.ndarray, j: np.ndarray, v: np.ndarray, n: int, together: Callable[[np.ndarray], np.ndarray]):
-        """Some rows' entries, in the order of i and j; the arrays are taken over, i for the rows' places."""
+        """The entries in the order of i and j; j and v are taken over and put in the order of products."""
         new = np.concatenate([np.ones(min(len(i), 1), bool), i[1:] != i[:-1]])
         self.together, self.rows = together, together(i[new])
-        self.place, self.j, self.v, self.n = np.cumsum(new, dtype=np.int32, out=i), j, v, n
-        self.place -= np.int32(1)
+        self.j, self.v, self.n = j, v, n
         start = np.append(np.flatnonzero(new), len(i))
-        edges = start[np.searchsorted(start, np.arange(0, len(i), self.HELD))]
-        self.pieces = np.unique(np.append(edges, len(i))).tolist()
+        edges = np.unique(np.append(np.searchsorted(start, np.arange(0, len(i), self.HELD)), len(start) - 1)).tolist()
+        self.own_rows, self.pieces = len(start) - 1, [self.laid(first, start[first : end + 1]) for first, end in zip(edges[:-1], edges[1:])]
+
+    def laid(self, first: int, start: np.ndarray) -> tuple:
+        """Some rows' entries put in the order of a product: (the rows from the longest to the shortest; where entries to
+        multiply begin and end, and how many rows have the first one of them, the next one and so on; where the entries
+        left begin and end, and their numbers)."""
+        size, low, high = np.diff(start), int(start[0]), int(start[-1])
+        rows = np.argsort(-size, kind="stable")
+        width = int(size[rows[self.ABREAST - 1]]) if len(rows) >= self.ABREAST else 0
+        abreast = len(rows) - np.searchsorted(size[rows[::-1]], np.arange(width), "right")
+        ends = np.cumsum(abreast)
+        begin, order, at = start[rows] - low, np.empty(high - low, np.int64), 0
+        for k, n in enumerate(abreast.tolist()):
+            np.add(begin[:n], k, out=order[at : at + n])
+            at += n
+        left = size[rows] - width
+        left = left[left > 0]
+        if len(left):
+            np.concatenate([np.arange(b + width, b + width + n) for b, n in zip(begin.tolist(), left.tolist())], out=order[at:])
+        for whole in (self.j, self.v):
+            whole[low:high] = whole[low:high].take(order)
+        cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, at, self.MULTIPLIED), "right"), width)).tolist()
+        edges = (low + np.append(0, ends)).tolist()
+        groups = [(edges[a], edges[b], abreast[a:b].tolist()) for a, b in zip(cuts[:-1], cuts[1:])]
+        return first + rows, groups, low + at, high, left
 
     def own(self, x: np.ndarray) -> np.ndarray:
         """The product's numbers of the rows that this task has."""
-        out = np.zeros(self.place[-1] + 1 if len(self.place) else 0)
-        for low, high in zip(self.pieces[:-1], self.pieces[1:]):
-            first, end = self.place[low], self.place[high - 1] + 1
-            out[first:end] = np.bincount(self.place[low:high] - first, self.v[low:high] * x[self.j[low:high]], end - first)
+        out = np.zeros(self.own_rows)
+        for rows, groups, rest, high, left in self.pieces:
+            sums = np.zeros(len(rows))
+            for low, end, abreast in groups:
+                products, at = x.take(self.j[low:end]), 0
+                products *= self.v[low:end]
+                for n in abreast:
+                    sums[:n] += products[at : at + n]
+                    at += n
+            if m := len(left):
+                every = np.arange(m)
+                products = x.take(self.j[rest:high]) * self.v[rest:high]
+                sums[:m] = np.bincount(np.concatenate([every, np.repeat(every, left)]), np.concatenate([sums[:m], products]), m)
+            out[rows] = sums
         return out
 
     def all(self, own: np.ndarray) -> np.ndarray:
@@ -216,6 +254,7 @@ def task(stages: list, limit: int, n: int, several: bool = False):
             x = np.zeros(n)
             x[together(at)] = together(start)
             a = Matrix(i, j, v, n, together)
+            del i
             for k, stage in enumerate(stages):
                 x, found = run_stage(a, x, stage, left, k)
                 left -= found["iterations"]

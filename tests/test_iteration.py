@@ -224,3 +224,24 @@ def test_entries_at_the_same_place_add_up_in_one_order(spark):
         dealt = spark.createDataFrame(rows[turn * 13 :] + rows[: turn * 13], "i long, j long, v double").repartition(turn + 1)
         found.add(tuple(values(power_iteration(SparseMatrix.of(dealt, 3, 3), limit=3, plan="array").vector)))
     assert len(found) == 1
+
+
+def test_rows_of_a_product_are_added_at_the_same_time(monkeypatch):
+    import numpy as np
+
+    from lodestone.plans import local
+
+    rng = np.random.default_rng(4)
+    added, bincount = [], np.bincount
+    monkeypatch.setattr(local.np, "bincount", lambda place, weights, n: (added.append(len(place)), bincount(place, weights, n))[1])
+    for sizes, alone in ((rng.integers(1, 60, 3000), 0.02), (np.append(rng.integers(1, 9, 2000), [4000, 3000]), 0.6), (np.full(10, 700), 1.1), (np.full(1, 5), 2), (np.zeros(0, int), 0)):
+        i = np.repeat(3 * np.arange(len(sizes)), sizes).astype(np.int32)
+        j, v, x = rng.integers(0, 9000, len(i)).astype(np.int32), rng.normal(size=len(i)), rng.normal(size=9000)
+        x[:3] = np.inf, np.nan, -0.0
+        want = bincount(i, v * x[j], 9000)  # each row one by one, in the order of its entries
+        for held in (local.Matrix.HELD, 5000):
+            monkeypatch.setattr(local.Matrix, "HELD", held)
+            added.clear()
+            a = local.Matrix(i.copy(), j.copy(), v.copy(), 9000, local.alone)
+            assert np.array_equal(a.all(a.own(x)), want, equal_nan=True)
+            assert held == 5000 or sum(added) <= alone * len(i)
